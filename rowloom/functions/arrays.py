@@ -42,17 +42,35 @@ def cast_vector(vector: Column | str, element: str) -> Column:
     return _column(vector).cast(f"array<{element}>")
 
 
+def _filled(rows: int, width: int, places: pa.ListArray, amounts: np.ndarray | None) -> pa.ListArray:
+    row = np.repeat(np.arange(rows), np.diff(places.offsets.to_numpy()))
+    at = row * width + places.flatten().to_numpy(zero_copy_only=False)
+    flat = np.bincount(at.astype(np.int64), weights=amounts, minlength=rows * width).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * width), pa.array(flat))
+
+
 def dense(width: int):
     """Column function (indices, counts) -> vector of ``width`` with zeros elsewhere."""
 
     @F.arrow_udf("array<int>")
     def fill(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for indices, counts in batches:
-            row = np.repeat(np.arange(len(indices)), np.diff(indices.offsets.to_numpy()))
-            flat = np.zeros(len(indices) * width, dtype=np.int32)
-            flat[row * width + indices.flatten().to_numpy()] = counts.flatten().to_numpy()
-            offsets = np.arange(len(indices) + 1, dtype=np.int32) * width
-            yield pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
+            for i in range(0, len(indices), 1024):
+                part, amounts = indices.slice(i, 1024), counts.slice(i, 1024).flatten()
+                yield _filled(len(part), width, part, amounts.to_numpy(zero_copy_only=False))
+
+    return fill
+
+
+def tally(width: int):
+    """Column function (indices) -> vector of how often each index occurs."""
+
+    @F.arrow_udf("array<int>")
+    def fill(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for indices in batches:
+            for i in range(0, len(indices), 1024):
+                part = indices.slice(i, 1024)
+                yield _filled(len(part), width, part, None)
 
     return fill
 

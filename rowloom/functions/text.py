@@ -38,7 +38,7 @@ def words(value: Column | str) -> Column:
 
 def word_count(value: Column | str) -> Column:
     """Number of whitespace-separated tokens; 0 for blank text."""
-    return F.size(words(value))
+    return F.regexp_count(_column(value), F.lit(r"\S+"))
 
 
 def pieces(value: Column | str, pattern: str = BYTE_LEVEL_PATTERN) -> Column:

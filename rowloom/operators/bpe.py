@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from rowloom.functions.arrays import frame_ids, pad_ids, validity_mask
 from rowloom.functions.text import BYTE_LEVEL_PATTERN, _column, pieces
 from rowloom.operators.profile import longest_row
-from rowloom.session import materialize, spread
+from rowloom.session import discard, materialize, spread
 
 # Special tokens in id order.
 SPECIAL_TOKENS = ["<s>", "<pad>", "</s>", "<unk>", "<mask>"]
@@ -160,11 +160,11 @@ def _rewrite(state: DataFrame, merges: list[tuple[int, int, int]]) -> DataFrame:
 def _byte_symbols(counts: DataFrame, byte_ids: np.ndarray) -> DataFrame:
     def symbols(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data = batch.column(0).cast(pa.large_binary())
-            lengths = np.fromiter((len(v.as_py()) for v in data), dtype=np.int64, count=len(data))
-            joined = np.frombuffer(b"".join(data.to_pylist()), dtype=np.uint8)
-            offsets = np.r_[0, np.cumsum(lengths)].astype(np.int32)
-            out = pa.ListArray.from_arrays(pa.array(offsets), pa.array(byte_ids[joined]))
+            texts = batch.column(0).cast(pa.binary())
+            _, starts, data = texts.buffers()
+            offsets = np.frombuffer(starts, dtype=np.int32)[texts.offset : texts.offset + len(texts) + 1]
+            used = np.frombuffer(data, dtype=np.uint8)[offsets[0] : offsets[-1]]
+            out = pa.ListArray.from_arrays(pa.array(offsets - offsets[0]), pa.array(byte_ids[used]))
             yield pa.RecordBatch.from_arrays([out, batch.column(1)], names=["symbols", "weight"])
 
     return counts.select("piece", "n").mapInArrow(symbols, "symbols array<int>, weight bigint")
@@ -223,14 +223,16 @@ def learn(
     """
     vocabulary = Vocabulary.initial(special)
     tokens = vocabulary.by_id()
-    state = spread(materialize(_byte_symbols(counts, vocabulary.byte_ids()), "pieces")).persist()
+    written = materialize(_byte_symbols(counts, vocabulary.byte_ids()), "pieces")
+    state = spread(written).persist()
     pending: list[tuple[int, int, int]] = []
     limit = max_merges if max_merges is not None else vocab_size
     while len(vocabulary.ids) < vocab_size and len(vocabulary.merges) < limit:
         if len(pending) >= rewrite_after:
-            rewritten = spread(materialize(_rewrite(state, pending), "pieces")).persist()
+            previous, written = written, materialize(_rewrite(state, pending), "pieces")
             state.unpersist()
-            state, pending = rewritten, []
+            discard(previous)
+            state, pending = spread(written).persist(), []
         best = _count_pairs(state, pending).filter(F.col("n") >= min_frequency)
         rows = best.orderBy(F.desc("n"), "l", "r").limit(ranked).collect()
         if not rows:
@@ -246,6 +248,7 @@ def learn(
             vocabulary.merges.append((tokens[left], tokens[right]))
             pending.append((left, right, vocabulary.ids[text]))
     state.unpersist()
+    discard(written)
     return vocabulary
 
 
@@ -360,21 +363,24 @@ def decode(ids: Column | str, vocabulary: Vocabulary, skip_special: bool = True)
     return F.make_valid_utf8(F.unhex(joined).cast("string"))
 
 
+def _digests(ids: str, text: Column) -> list[Column]:
+    line = F.array_join(F.transform(ids, lambda i: i.cast("string")), " ")
+    return [F.sha2(line, 256).alias("ids_digest"), F.sha2(text, 256).alias("text_digest")]
+
+
 def verify(stored: DataFrame, corpus: DataFrame, text: str, vocabulary: Vocabulary, pos: str = "pos") -> DataFrame:
-    """Compare all stored sequences with fresh ones, line by line.
+    """Compare all stored sequences with fresh ones, line by line: (pos, ids_match, text_match).
 
-    (pos, ids_match, text_match, stored_text, fresh_text); the texts keep special
-    tokens and are filled where the ids differ. A line without partner differs.
+    Both sides are reduced to digests before they meet, so the join moves a few
+    bytes per line. A line without partner matches in nothing.
     """
-    fresh = encode(corpus.select(pos, text), text, vocabulary, "_fresh")
-    both = fresh.join(stored.select(pos, F.col("ids").alias("_stored")), pos, "full")
-    same = F.coalesce(F.col("_stored") == F.col("_fresh"), F.lit(False))
+    fresh = encode(corpus.select(pos, text), text, vocabulary, "_ids").select(pos, *_digests("_ids", F.col(text)))
+    kept = stored.select(pos, *_digests("ids", decode("ids", vocabulary))).toDF(pos, "_ids", "_text")
+    both = fresh.join(kept, pos, "full")
     return both.select(
         pos,
-        same.alias("ids_match"),
-        F.coalesce(decode("_stored", vocabulary) == F.col(text), F.lit(False)).alias("text_match"),
-        F.when(~same, decode("_stored", vocabulary, False)).alias("stored_text"),
-        F.when(~same, decode("_fresh", vocabulary, False)).alias("fresh_text"),
+        F.coalesce(F.col("ids_digest") == F.col("_ids"), F.lit(False)).alias("ids_match"),
+        F.coalesce(F.col("text_digest") == F.col("_text"), F.lit(False)).alias("text_match"),
     )
 
 
@@ -387,6 +393,21 @@ def verify_counts(verified: DataFrame) -> DataFrame:
     )
 
 
+def mismatches(
+    verified: DataFrame, stored: DataFrame, corpus: DataFrame, text: str, vocabulary: Vocabulary, pos: str = "pos"
+) -> DataFrame:
+    """The lines that differ, with original text and both sequences decoded, special tokens shown."""
+    wrong = verified.filter(~(F.col("ids_match") & F.col("text_match"))).select(pos)
+    fresh = encode(corpus.select(pos, text).join(wrong, pos, "left_semi"), text, vocabulary, "_fresh")
+    kept = stored.select(pos, F.col("ids").alias("_stored")).join(wrong, pos, "left_semi")
+    return fresh.join(kept, pos, "full").select(
+        pos,
+        text,
+        decode("_stored", vocabulary, False).alias("stored_text"),
+        decode("_fresh", vocabulary, False).alias("fresh_text"),
+    )
+
+
 def longest_encoded(df: DataFrame, text: str, vocabulary: Vocabulary, pos: str = "pos", shown: int = 15) -> DataFrame:
     """The longest text's length, its token count and its first tokens."""
     row = encode(longest_row(df.select(pos, text), text, pos), text, vocabulary)

@@ -68,23 +68,21 @@ def flag_duplicates(df: DataFrame, key: Column | str, pos: str, out: str = "is_d
 
 
 def duplicate_entities(
-    df: DataFrame, key: Column | str, entity: str, pos: Column | str, nulls_are_equal: bool = True
+    df: DataFrame, keys: list[str], entity: str, pos: str, nulls_are_equal: bool = True
 ) -> DataFrame:
     """Entities with at least one row that is not the first of its key.
 
     An entity is free of such rows exactly if it owns as many first rows as
     rows. Both counts go into one sum per entity: +1 for each row, -1 for each
     first row. All steps combine on the map side, so hot keys and hot entities
-    are no hazard.
+    are no hazard. ``pos`` is a number that tells rows of different entities apart.
     """
-    key = F.col(key) if isinstance(key, str) else key
-    pos = F.col(pos) if isinstance(pos, str) else pos
     if not nulls_are_equal:
-        df = df.filter(key.isNotNull())
-    rows = df.select(F.col(entity), F.lit(1).alias("_d"))
-    firsts = df.groupBy(key.alias("_key")).agg(
-        F.min(F.struct(pos.alias("p"), F.col(entity).alias("e"))).alias("_f")
-    ).select(F.col("_f.e").alias(entity), F.lit(-1).alias("_d"))
+        df = df.dropna(subset=keys)
+    rows = df.select(entity, F.lit(1).alias("_d"))
+    firsts = df.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(
+        F.min_by(entity, pos).alias(entity)
+    ).select(entity, F.lit(-1).alias("_d"))
     return (
         rows.unionByName(firsts).groupBy(entity).agg(F.sum("_d").alias("_d"))
         .filter(F.col("_d") > 0).select(entity)
@@ -92,7 +90,7 @@ def duplicate_entities(
 
 
 def drop_duplicate_entities(
-    df: DataFrame, key: Column | str, entity: str, pos: Column | str, nulls_are_equal: bool = True
+    df: DataFrame, keys: list[str], entity: str, pos: str, nulls_are_equal: bool = True
 ) -> DataFrame:
     """Drop every row of every entity that has a duplicate row.
 
@@ -100,7 +98,7 @@ def drop_duplicate_entities(
     kept first row when it belongs to the same entity. ``nulls_are_equal=False``
     exempts rows without a key.
     """
-    return exclude(df, duplicate_entities(df, key, entity, pos, nulls_are_equal), entity)
+    return exclude(df, duplicate_entities(df, keys, entity, pos, nulls_are_equal), entity)
 
 
 def lookup(

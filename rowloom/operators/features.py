@@ -9,51 +9,62 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rowloom.functions.arrays import cast_vector, dense
+from rowloom.functions.arrays import cast_vector, tally
 from rowloom.functions.text import md5_number, words
-from rowloom.operators.order import null_safe_join
 
 
-def ngrams(tokens: Column, longest: int) -> Column:
-    """All runs of 1..longest neighbouring tokens, joined by a space."""
+# Fixed values of the run hash: a prime modulus and the multiplier per neighbour.
+HASH_PRIME = 2_147_483_647
+HASH_STEP = 31
+
+
+def run_buckets(codes: Column, longest: int, width: int) -> Column:
+    """Bucket of every run of 1..longest neighbouring codes.
+
+    The hash of a run is the sum of its codes, each times a power of the step for
+    its place. Words are hashed once; runs cost whole-number arithmetic only.
+    """
 
     def runs(n: int) -> Column:
-        starts = F.sequence(F.lit(1), F.size(tokens) - (n - 1))
-        joined = F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, F.lit(n)), " "))
-        return F.when(F.size(tokens) >= n, joined).otherwise(F.array().cast("array<string>"))
+        def hashed(start: Column) -> Column:
+            total = F.element_at(codes, start)
+            for place in range(1, n):
+                factor = F.lit(pow(HASH_STEP, place, HASH_PRIME)).cast("bigint")
+                total = total + F.element_at(codes, start + place) * factor % HASH_PRIME
+            return F.pmod(total, F.lit(width)).cast("int")
+
+        starts = F.sequence(F.lit(1), F.size(codes) - (n - 1))
+        return F.when(F.size(codes) >= n, F.transform(starts, hashed)).otherwise(F.array().cast("array<int>"))
 
     return F.concat(*[runs(n) for n in range(1, longest + 1)])
 
 
+def _word_codes(df: DataFrame, id_col: str, text: str) -> DataFrame:
+    return df.select(id_col, F.transform(words(text), lambda w: md5_number(w) % HASH_PRIME).alias("_w"))
+
+
 def hashed_counts(df: DataFrame, id_col: str, text: str, width: int = 2048, radius: int = 3) -> DataFrame:
     """Occurrences of hashed token runs, long form: (id, bucket, n).
 
     A run is one token with up to ``radius`` neighbours behind it. Each text's
     counts are complete before the shuffle, which moves one row per used bucket.
     """
-    runs = df.select(id_col, words(text).alias("_w")).select(
-        id_col, F.explode(ngrams(F.col("_w"), radius + 1)).alias("_g")
-    )
-    bucket = F.pmod(md5_number("_g"), F.lit(width)).cast("int").alias("bucket")
-    return runs.groupBy(id_col, bucket).agg(F.count(F.lit(1)).alias("n"))
+    codes = _word_codes(df, id_col, text)
+    # Exploding the expression itself, not a column of it: Spark would put a
+    # filter on such a column and work out the codes once per run.
+    buckets = codes.select(id_col, F.explode(run_buckets(F.col("_w"), radius + 1, width)).alias("bucket"))
+    return buckets.groupBy(id_col, "bucket").agg(F.count(F.lit(1)).alias("n"))
 
 
 def hashed_vectors(
     df: DataFrame, id_col: str, text: str, width: int = 2048, radius: int = 3, out: str = "features"
 ) -> DataFrame:
-    """The counts as one vector per id; all zeros where the text has no tokens.
+    """The counts as one vector per row; all zeros where the text has no tokens.
 
-    A vector has at most ``width`` filled places, which bounds what a row gathers.
+    A row needs nothing but its own text, so this scans and writes without a shuffle.
     """
-    counts = hashed_counts(df, id_col, text, width, radius)
-    sparse = counts.groupBy(id_col).agg(
-        F.collect_list(F.struct("bucket", F.col("n").cast("int").alias("n"))).alias("_c")
-    )
-    every = null_safe_join(df.select(id_col).distinct(), sparse, [id_col], "left")
-    filled = F.coalesce(F.col("_c"), F.array().cast("array<struct<bucket:int,n:int>>"))
-    return every.withColumn("_c", filled).select(
-        id_col, dense(width)(F.col("_c.bucket"), F.col("_c.n")).alias(out)
-    )
+    runs = F.coalesce(run_buckets(F.col("_w"), radius + 1, width), F.array().cast("array<int>"))
+    return _word_codes(df, id_col, text).select(id_col, tally(width)(runs).alias(out))
 
 
 def mean_pool(df: DataFrame, id_col: str, vector: str, mask: str, out: str = "features") -> DataFrame:

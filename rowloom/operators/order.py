@@ -75,19 +75,21 @@ def dense_order(df: DataFrame, *order: Column | str, name: str = "pos") -> DataF
     return _with_offsets(fixed, ["_part"], name, columns)
 
 
+# Positions count rows, so none of them reaches this.
+BEHIND_ALL = 1 << 62
+
+
 def concat_rows(first: DataFrame, second: DataFrame, pos: str = "pos", dense: bool = True) -> DataFrame:
     """Union by column name; the second table's rows come after the first's.
 
     ``dense`` numbers the result 0..n-1. Otherwise the second table's positions
-    are moved behind the largest position of the first, which keeps the order
-    with one small aggregate and no sort.
+    are moved behind every possible position, which keeps the order without a
+    sort or a pass over the first table.
     """
     if dense:
         tagged = first.withColumn("_src", F.lit(0)).unionByName(second.withColumn("_src", F.lit(1)))
         return dense_order(tagged, "_src", pos, name=pos).drop("_src")
-    last = first.agg(F.max(pos)).first()[0]
-    shift = 0 if last is None else last + 1
-    return first.unionByName(second.withColumn(pos, F.col(pos) + F.lit(shift)))
+    return first.unionByName(second.withColumn(pos, F.col(pos) + F.lit(BEHIND_ALL)))
 
 
 def head(df: DataFrame, n: int = 5, pos: str = "pos") -> DataFrame:
@@ -96,23 +98,33 @@ def head(df: DataFrame, n: int = 5, pos: str = "pos") -> DataFrame:
 
 
 def running_sums(
-    df: DataFrame, order: str, values: list[str], keys: list[str] | None = None, bins: int = 256
+    df: DataFrame,
+    order: str,
+    values: list[str],
+    keys: list[str] | None = None,
+    rows_per_bin: int = 1_000_000,
+    most_bins: int = 10_000,
 ) -> DataFrame:
     """Exact inclusive running sums of ``values`` in rising ``order`` within ``keys``.
 
     Adds ``run_<value>`` columns. ``df`` has one row per key and order value and
-    is read three times, so it should be a written table. Cut points taken from
-    all of it split the order into bins that each hold about 1/bins of its rows,
-    so even a key with most rows is sorted in many tasks. Any cut points give
-    exact sums: they only say who sorts what.
+    is read several times, so it should be a written table. Cut points taken
+    from all of it split the order into bins of about ``rows_per_bin`` rows, so
+    even a key with most rows is sorted in many tasks. Any cut points give exact
+    sums: they only say who sorts what.
     """
     keys = keys or []
-    probabilities = [i / bins for i in range(1, bins)]
-    cuts = sorted(set(df.approxQuantile(order, probabilities, 1 / (2 * bins))))
+    bins = min(most_bins, -(-df.count() // rows_per_bin))
+    cuts = []
+    if bins > 1:
+        probabilities = [i / bins for i in range(1, bins)]
+        cuts = sorted(set(df.approxQuantile(order, probabilities, 1 / (2 * bins))))
     edges = [-float("inf"), *cuts, float("inf")]
     binned = Bucketizer(
         splits=edges, inputCol="_order", outputCol="_bin", handleInvalid="keep"
-    ).transform(df.withColumn("_order", F.col(order).cast("double"))).drop("_order")
+    ).transform(df.withColumn("_order", F.col(order).cast("double"))).drop("_order") if cuts else (
+        df.withColumn("_bin", F.lit(0.0))
+    )
 
     totals = binned.groupBy(*keys, "_bin").agg(*[F.sum(v).alias(f"_t_{v}") for v in values])
     before = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)

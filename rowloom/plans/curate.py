@@ -53,9 +53,8 @@ def curate(
     Labels stay apart from the entity rows until these are final, so that an
     entity with a very long list, kept in parts, is still one entity.
     """
-    coded = ops.non_empty(
-        names.select("entity", "pos", name_to_code("name", phrase, prefix, token).alias("label")), "label"
-    )
+    label = name_to_code("name", phrase, prefix, token).alias("label")
+    coded = materialize(ops.non_empty(names.select("entity", "pos", label), "label"), "coded")
     lists = ordered_lists(coded, "entity", "label", "pos")
     entities = coded.groupBy("entity").agg(F.min("pos").alias("first"))
 
@@ -80,7 +79,7 @@ def curate(
 
     every = concat_rows(rows, enriched, dense=False)
     clean = ops.drop_missing(every, ["value"])
-    clean = ops.drop_duplicate_entities(clean, "key", "entity", "pos")
+    clean = ops.drop_duplicate_entities(clean, ["key"], "entity", "pos")
     if excluded is not None:
         clean = ops.exclude_value(clean, "entity", excluded)
 

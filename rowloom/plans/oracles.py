@@ -196,15 +196,17 @@ SELECT 'outcomes' AS report, count(*) AS n, count(*) FILTER (WHERE page_id % 2 =
 UNION ALL SELECT 'verified', count(*), 0 FROM pages WHERE page_id % 2 = 0
 UNION ALL SELECT 'sequences', count(*), 0 FROM pages WHERE page_id % 2 = 0""",
     "hashed_counts": f"""
-WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
-places AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d),
-sized AS (SELECT doc_id, w, i, unnest([1, 2, 3, 4]) AS k FROM places),
-runs AS (SELECT doc_id, array_to_string(w[i:i + k - 1], ' ') AS g FROM sized WHERE i + k - 1 <= len(w))
-SELECT doc_id, CAST(CAST('0x' || substr(md5(g), 1, 8) AS UBIGINT) % 2048 AS INTEGER) AS bucket, count(*) AS n
-FROM runs GROUP BY 1, 2""",
+WITH places AS (SELECT doc_id, unnest({_WORDS}) AS g, generate_subscripts({_WORDS}, 1) AS i FROM documents),
+codes AS (SELECT doc_id, i, CAST(CAST('0x' || substr(md5(g), 1, 8) AS UBIGINT) AS BIGINT) % 2147483647 AS c FROM places),
+near AS (SELECT doc_id, c, lead(c, 1) OVER w AS c1, lead(c, 2) OVER w AS c2, lead(c, 3) OVER w AS c3
+ FROM codes WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+runs AS (SELECT doc_id, unnest([c, c + c1 * 31 % 2147483647,
+ c + c1 * 31 % 2147483647 + c2 * 961 % 2147483647,
+ c + c1 * 31 % 2147483647 + c2 * 961 % 2147483647 + c3 * 29791 % 2147483647]) AS h FROM near)
+SELECT doc_id, CAST(h % 2048 AS INTEGER) AS bucket, count(*) AS n FROM runs WHERE h IS NOT NULL GROUP BY 1, 2""",
     "dense_vectors": f"""
 WITH runs AS (SELECT doc_id, unnest({_WORDS}) AS g FROM documents),
-counts AS (SELECT doc_id, CAST('0x' || substr(md5(g), 1, 8) AS UBIGINT) % 2048 AS bucket, count(*) AS n FROM runs GROUP BY 1, 2)
+counts AS (SELECT doc_id, CAST('0x' || substr(md5(g), 1, 8) AS UBIGINT) % 2147483647 % 2048 AS bucket, count(*) AS n FROM runs GROUP BY 1, 2)
 SELECT d.doc_id, CAST(coalesce(sum(n), 0) AS INTEGER) AS total, CAST(count(n) AS INTEGER) AS filled
 FROM documents d LEFT JOIN counts c ON d.doc_id = c.doc_id GROUP BY 1""",
     "mean_pool": """

@@ -201,10 +201,9 @@ def flag_duplicates(spark, folder):
 @query
 def drop_duplicate_entities(spark, folder):
     """No order stays that has a line whose part and supplier were seen before."""
-    lines = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
-    return curate.drop_duplicate_entities(
-        lines, F.struct("l_partkey", "l_suppkey"), "l_orderkey", F.struct("l_orderkey", "l_linenumber")
-    )
+    place = (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("pos")
+    lines = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", place)
+    return curate.drop_duplicate_entities(lines, ["l_partkey", "l_suppkey"], "l_orderkey", "pos").drop("pos")
 
 
 def parties(spark, folder) -> tuple[DataFrame, DataFrame]:
