@@ -30,17 +30,18 @@ def read_matrix(
     """First column = id, the rest one vector; an empty or unreadable number is NULL.
 
     The header is the first line of the first file by name; files that repeat it
-    are read as well.
+    are read as well. Ids may be quoted but hold no line breaks.
     """
     lines = spark.read.text(path)
     files = sorted(lines.inputFiles())
     header = spark.read.text(files[0]).first() if files else None
-    fields = F.split("value", "\t", -1)
-    raw = F.element_at(fields, 1)
+    quoted = F.regexp_extract("value", r'^("(?:[^"]++|"")*+")', 1)
+    raw = F.when(F.col("value").startswith('"'), quoted).otherwise(F.substring_index("value", "\t", 1))
     plain = F.when(
         raw.startswith('"'), F.replace(F.substring(raw, F.lit(2), F.length(raw) - 2), F.lit('""'), F.lit('"'))
     ).otherwise(raw)
-    numbers = F.transform(F.slice(fields, F.lit(2), F.size(fields) - 1), lambda v: v.try_cast(element))
+    rest = F.substring("value", F.length(raw) + 2, F.length("value"))
+    numbers = F.transform(F.split(rest, "\t", -1), lambda v: v.try_cast(element))
     return lines.filter(F.col("value") != (header[0] if header else "")).select(
         plain.alias(id_name), numbers.alias(out)
     )
