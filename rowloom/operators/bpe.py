@@ -9,6 +9,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -268,15 +269,18 @@ def merge_symbols(symbols: list[int], ranks: dict[tuple[int, int], tuple[int, in
     takes n log n steps, however long it is.
     """
     n = len(symbols)
+    waiting = [
+        (ranks[pair][0], i, *pair) for i, pair in enumerate(zip(symbols, symbols[1:])) if pair in ranks
+    ]
+    if not waiting:
+        return symbols
+    heapq.heapify(waiting)
     symbols, after, before = list(symbols), list(range(1, n + 1)), list(range(-1, n - 1))
-    waiting = []
 
     def offer(i: int, j: int) -> None:
         if 0 <= i and j < n and (symbols[i], symbols[j]) in ranks:
             heapq.heappush(waiting, (ranks[symbols[i], symbols[j]][0], i, symbols[i], symbols[j]))
 
-    for i in range(n - 1):
-        offer(i, i + 1)
     while waiting:
         _, i, left, right = heapq.heappop(waiting)
         j = after[i]
@@ -290,40 +294,40 @@ def merge_symbols(symbols: list[int], ranks: dict[tuple[int, int], tuple[int, in
     return [s for s in symbols if s >= 0]
 
 
-def _encoder(vocabulary: Vocabulary, spark, remembered: int = 1 << 18, longest: int = 64):
+def _encoder(vocabulary: Vocabulary, spark, remembered_bytes: int = 1 << 25):
     shared = spark.sparkContext.broadcast((vocabulary.byte_ids(), vocabulary.ranks()))
 
     @F.arrow_udf("array<int>")
     def encode_pieces(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         byte_ids, ranks = shared.value
-        memory: dict[str, np.ndarray] = {}
-
-        def ids_of(piece: str) -> np.ndarray:
-            found = memory.get(piece)
-            if found is None:
-                data = np.frombuffer(piece.encode("utf-8"), dtype=np.uint8)
-                found = np.array(merge_symbols(byte_ids[data].tolist(), ranks), dtype=np.int32)
-                if len(piece) <= longest:
-                    if len(memory) >= remembered:
-                        memory.clear()
-                    memory[piece] = found
-            return found
-
+        memory: dict[str, list[int]] = {}
+        held = 0
         for texts in batches:
             distinct = texts.flatten().dictionary_encode()
-            coded = [ids_of(piece) for piece in distinct.dictionary.to_pylist()]
-            sizes = np.array([len(c) for c in coded], dtype=np.int64)
+            known = distinct.dictionary.to_pylist()
+            fresh = [piece for piece in known if piece not in memory]
+            data = [piece.encode("utf-8") for piece in fresh]
+            symbols = byte_ids[np.frombuffer(b"".join(data), dtype=np.uint8)].tolist()
+            at = 0
+            for piece, spelled in zip(fresh, data):
+                memory[piece] = merge_symbols(symbols[at : at + len(spelled)], ranks)
+                at += len(spelled)
+            held += at
+
+            coded = [memory[piece] for piece in known]
+            sizes = np.fromiter(map(len, coded), dtype=np.int64, count=len(coded))
+            table = np.fromiter(chain.from_iterable(coded), dtype=np.int32, count=sizes.sum())
             starts = np.cumsum(sizes) - sizes
-            table = np.concatenate(coded) if coded else np.array([], dtype=np.int32)
             which = distinct.indices.to_numpy()
-            taken = sizes[which] if len(which) else np.array([], dtype=np.int64)
+            taken = sizes[which]
             ends = np.cumsum(taken)
-            place = np.repeat(starts[which] - (ends - taken), taken) if len(which) else taken
-            ids = table[place + np.arange(len(place))]
+            ids = table[np.repeat(starts[which] - (ends - taken), taken) + np.arange(taken.sum())]
             lists = texts.offsets.to_numpy() - texts.offsets[0].as_py()
             offsets = np.r_[0, ends][lists].astype(np.int32)
             mask = texts.is_null() if texts.null_count else None
-            yield pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.astype(np.int32)), mask=mask)
+            yield pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids), mask=mask)
+            if held > remembered_bytes:
+                memory, held = {}, 0
 
     return encode_pieces
 

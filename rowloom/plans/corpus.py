@@ -53,7 +53,7 @@ def build_corpus(
     vocabulary = learn(counts, vocab_size, min_frequency, max_merges=max_merges)
     write_vocabulary(spark, vocabulary, f"{folder}/vocabulary")
 
-    write_token_ids(encode(lines, "line", vocabulary), "ids", f"{folder}/ids")
+    write_token_ids(encode(lines.orderBy("pos"), "line", vocabulary), "ids", f"{folder}/ids")
     stored = read_token_ids(spark, f"{folder}/ids")
     return Corpus(
         vocabulary,

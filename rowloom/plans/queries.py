@@ -516,14 +516,14 @@ def bpe_learn(spark, folder):
 @query
 def bpe_roundtrip(spark, folder):
     """Learn, write and read the vocabulary, encode, write and read the ids, check every line."""
-    documents = spread(table(spark, folder, "documents").select(F.col("doc_id").alias("pos"), "text"), "pos")
+    documents = table(spark, folder, "documents").select(F.col("doc_id").alias("pos"), "text")
     where = scratch_path(spark, "vocabulary")
     tokens.write_vocabulary(spark, learned(spark, folder), where)
     vocabulary = tokens.read_vocabulary(spark, where)
     ids = scratch_path(spark, "ids")
-    tokens.write_token_ids(bpe.encode(documents, "text", vocabulary), "ids", ids)
+    tokens.write_token_ids(bpe.encode(documents.orderBy("pos"), "text", vocabulary), "ids", ids)
     stored = tokens.read_token_ids(spark, ids)
-    return bpe.verify_counts(bpe.verify(stored, documents, "text", vocabulary))
+    return bpe.verify_counts(bpe.verify(stored, spread(documents, "pos"), "text", vocabulary))
 
 
 @query

@@ -89,7 +89,7 @@ def test_files_round_trip_and_every_line_is_verified(spark, corpus, vocabulary,
     tokens.write_vocabulary(spark, vocabulary, str(tmp_path / "v"))
     read = tokens.read_vocabulary(spark, str(tmp_path / "v"))
     assert read.ids == vocabulary.ids and read.merges == vocabulary.merges
-    tokens.write_token_ids(bpe.encode(corpus, "text", read), "ids", str(tmp_path / "ids"))
+    tokens.write_token_ids(bpe.encode(corpus.orderBy("pos"), "text", read), "ids", str(tmp_path / "ids"))
     stored = tokens.read_token_ids(spark, str(tmp_path / "ids"))
     good = bpe.verify(stored, corpus, "text", read)
     assert tuple(bpe.verify_counts(good).first()) == (len(LINES) * 3, 0, 0)
