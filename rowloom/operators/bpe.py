@@ -429,7 +429,7 @@ def frame_batches(
 
     A batch is ``batch`` neighbouring positions, which bounds what one window holds.
     """
-    group = F.floor(F.col(pos) / F.lit(batch))
+    group = F.expr(f"`{pos}` div {batch}")
     framed = df.withColumn("batch", group).withColumn("_f", frame_ids(ids, limit, start, end))
     width = framed.withColumn("_w", F.max(F.size("_f")).over(Window.partitionBy("batch")))
     return width.withColumn("input_ids", pad_ids("_f", F.col("_w"), pad)).withColumn(

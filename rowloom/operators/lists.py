@@ -33,7 +33,7 @@ def ordered_lists(
         .filter(F.col("_n") > max_items)
         .select(key, F.lit(True).alias("_long"))
     )
-    part = F.when(F.col("_long"), F.floor(F.col(pos) / F.lit(max_items))).otherwise(F.lit(0))
+    part = F.when(F.col("_long"), F.expr(f"`{pos}` div {max_items}")).otherwise(F.lit(0))
     item = F.struct(F.col(pos).alias("pos"), F.col(value).alias("value"))
     return (
         null_safe_join(df.select(key, value, pos), F.broadcast(long_keys), [key], "left")
@@ -50,15 +50,18 @@ def label_counts(df: DataFrame, labels: str, pos: str | None = None) -> DataFram
     """Occurrences of each label over all lists: (label, n[, first]).
 
     A label repeated in a row, or an entity on several rows, counts each time.
-    ``first`` is the place of the first occurrence, for breaking ties.
+    ``first`` is the place of the first occurrence, for breaking ties: the row's
+    position and the place in its list in one number, because a minimum over
+    numbers is hashed and one over structs is sorted.
     """
     if pos is None:
         return df.select(F.explode(labels).alias("label")).groupBy("label").agg(
             F.count(F.lit(1)).alias("n")
         )
     long = df.select(F.col(pos).alias("_pos"), F.posexplode(labels).alias("_i", "label"))
+    place = F.col("_pos").cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(10,0)") + F.col("_i")
     return long.groupBy("label").agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.struct("_pos", "_i")).alias("first")
+        F.count(F.lit(1)).alias("n"), F.min(place.cast("decimal(38,0)")).alias("first")
     )
 
 

@@ -96,10 +96,11 @@ def describe_text(df: DataFrame, columns: list[str], pos: str | None = None) ->
     """
     rows = None
     for name in columns:
-        first = F.min(pos) if pos else F.min(name)
-        counts = df.filter(F.col(name).isNotNull()).groupBy(name).agg(
-            F.count(F.lit(1)).alias("_n"), first.alias("_first")
-        )
+        groups = df.filter(F.col(name).isNotNull()).groupBy(name)
+        if pos:
+            counts = groups.agg(F.count(F.lit(1)).alias("_n"), F.min(pos).alias("_first"))
+        else:
+            counts = groups.agg(F.count(F.lit(1)).alias("_n")).withColumn("_first", F.col(name))
         is_list = df.schema[name].dataType.typeName() == "array"
         shown = F.to_json(name) if is_list else F.col(name).cast("string")
         one = counts.agg(

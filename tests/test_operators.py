@@ -107,6 +107,15 @@ def test_pruning_keeps_emptied_rows(spark, literal_limit):
     assert got == {"x": ["a", "a"], "y": [], "z": [], "w": None}
 
 
+def test_counts_are_hashed_and_not_sorted(spark):
+    df = spark.createDataFrame([(1, ["b"])], "pos bigint, l array<string>")
+    plan = lists.label_counts(df, "l", "pos")._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "HashAggregate" in plan
+    keys = spark.createDataFrame([(1, 2, 3)], "k int, e bigint, pos bigint")
+    plan = curate.duplicate_entities(keys, ["k"], "e", "pos")._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan
+
+
 # --- curation ----------------------------------------------------------------------
 
 
