@@ -171,6 +171,12 @@ def _byte_symbols(counts: DataFrame, byte_ids: np.ndarray) -> DataFrame:
     return counts.select("piece", "n").mapInArrow(symbols, "symbols array<int>, weight bigint")
 
 
+def _shared_out(written: DataFrame) -> DataFrame:
+    """Chunks on all cores, unless there are fewer chunks than cores."""
+    cores = written.sparkSession.sparkContext.defaultParallelism
+    return spread(written) if written.count() >= cores else written
+
+
 def _next_merges(
     top: list[tuple[int, int, int]], complete: bool, tokens: list[str], known: dict[str, int]
 ) -> list[tuple[int, int]]:
@@ -225,7 +231,7 @@ def learn(
     vocabulary = Vocabulary.initial(special)
     tokens = vocabulary.by_id()
     written = materialize(_byte_symbols(counts, vocabulary.byte_ids()), "pieces")
-    state = spread(written).persist()
+    state = _shared_out(written).persist()
     pending: list[tuple[int, int, int]] = []
     limit = max_merges if max_merges is not None else vocab_size
     while len(vocabulary.ids) < vocab_size and len(vocabulary.merges) < limit:
@@ -233,7 +239,7 @@ def learn(
             previous, written = written, materialize(_rewrite(state, pending), "pieces")
             state.unpersist()
             discard(previous)
-            state, pending = spread(written).persist(), []
+            state, pending = _shared_out(written).persist(), []
         best = _count_pairs(state, pending).filter(F.col("n") >= min_frequency)
         rows = best.orderBy(F.desc("n"), "l", "r").limit(ranked).collect()
         if not rows:

@@ -63,11 +63,13 @@ def fit_labels(
     rounds: int = 500,
     learning_rate: float = 0.1,
     max_depth: int = 6,
+    validation_tol: float = 0.0,
     seed: int = 0,
 ) -> list[GBTClassificationModel]:
     """One boosted-tree model per label, stopped early on the validation rows.
 
-    The table is cached once and shared by all fits.
+    With ``validation_tol`` 0 boosting stops at the first round that makes them
+    worse. The table is cached once and shared by all fits.
     """
     vectors = df.select(
         array_to_vector(cast_vector(features, "double")).alias("_x"),
@@ -80,7 +82,8 @@ def fit_labels(
             rows = vectors.select("_x", "_val", F.col(truth)[i].cast("double").alias("_y"))
             trees = GBTClassifier(
                 featuresCol="_x", labelCol="_y", validationIndicatorCol="_val",
-                maxIter=rounds, stepSize=learning_rate, maxDepth=max_depth, seed=seed,
+                maxIter=rounds, stepSize=learning_rate, maxDepth=max_depth,
+                validationTol=validation_tol, seed=seed,
             )
             models.append(trees.fit(rows))
         return models

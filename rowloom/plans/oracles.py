@@ -192,9 +192,9 @@ WITH f AS (SELECT doc_id, text, doc_id // 16 AS batch, CAST(least({_BYTES}, 510)
 SELECT doc_id, batch, max(n) OVER (PARTITION BY batch) AS width, n AS n_valid, 0 AS first_id, 2 AS last_id FROM f""",
     "truncate_mask": f"SELECT doc_id, CAST(least({_BYTES}, 1024) AS INTEGER) AS n_ids, 1024 AS width FROM documents",
     "corpus_report": """
-SELECT 'outcomes' AS report, count(*) AS n, count(*) FILTER (WHERE page_id % 2 = 1) AS n_bad FROM pages
-UNION ALL SELECT 'verified', count(*), 0 FROM pages WHERE page_id % 2 = 0
-UNION ALL SELECT 'sequences', count(*), 0 FROM pages WHERE page_id % 2 = 0""",
+SELECT 'outcomes' AS report, count(*) AS n, count(*) FILTER (WHERE NOT starts_with(url, 'https://')) AS n_bad FROM pages
+UNION ALL SELECT 'verified', count(*), 0 FROM pages WHERE starts_with(url, 'https://')
+UNION ALL SELECT 'sequences', count(*), 0 FROM pages WHERE starts_with(url, 'https://')""",
     "hashed_counts": f"""
 WITH places AS (SELECT doc_id, unnest({_WORDS}) AS g, generate_subscripts({_WORDS}, 1) AS i FROM documents),
 codes AS (SELECT doc_id, i, CAST(CAST('0x' || substr(md5(g), 1, 8) AS UBIGINT) AS BIGINT) % 2147483647 AS c FROM places),
@@ -210,8 +210,8 @@ counts AS (SELECT doc_id, CAST('0x' || substr(md5(g), 1, 8) AS UBIGINT) % 214748
 SELECT d.doc_id, CAST(coalesce(sum(n), 0) AS INTEGER) AS total, CAST(count(n) AS INTEGER) AS filled
 FROM documents d LEFT JOIN counts c ON d.doc_id = c.doc_id GROUP BY 1""",
     "mean_pool": """
-WITH long AS (SELECT label, vec_id, generate_subscripts(embedding, 1) - 1 AS dim, unnest(embedding) AS v FROM embeddings)
-SELECT label, CAST(dim AS INTEGER) AS dim, round(avg(CAST(v AS DOUBLE)), 6) AS mean FROM long WHERE vec_id % 3 <> 0 GROUP BY 1, 2""",
+WITH long AS (SELECT label, embedding[1] >= 0 AS valid, generate_subscripts(embedding, 1) - 1 AS dim, unnest(embedding) AS v FROM embeddings)
+SELECT label, CAST(dim AS INTEGER) AS dim, round(avg(CAST(v AS DOUBLE)), 6) AS mean FROM long WHERE valid GROUP BY 1, 2""",
     "feature_shape": """SELECT 'hashed' AS matrix, count(*) AS n_rows, CAST(2048 AS BIGINT) AS width FROM documents
 UNION ALL SELECT 'pooled', count(DISTINCT label), 64 FROM embeddings""",
     "binarize": """

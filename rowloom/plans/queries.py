@@ -570,14 +570,13 @@ def truncate_mask(spark, folder):
 
 @query
 def corpus_report(spark, folder):
-    """The whole corpus pipeline over page addresses; addresses with an odd number fail."""
+    """The whole corpus pipeline over page addresses; only secure ones can be converted."""
     source, target = scratch_path(spark, "bulk"), scratch_path(spark, "corpus")
     pages = table(spark, folder, "pages").select(F.concat_ws("\t", "url", F.col("page_id").cast("string")).alias("line"))
     tables.write_lines(pages, "line", source)
-    odd = F.col("page_id").cast("bigint") % 2 == 1
+    host_and_path = F.when(F.col("url").startswith("https://"), F.substring("url", 9, 1 << 30))
     made = build_corpus(
-        spark, source, target, names=["url", "page_id"], column="url",
-        how=F.when(~odd, F.col("url")), max_merges=16,
+        spark, source, target, names=["url", "page_id"], column="url", how=host_and_path, max_merges=16
     )
     facts = [
         made.outcomes.select(F.lit("outcomes").alias("report"), F.col("total").alias("n"), F.col("failure").alias("n_bad")),
@@ -598,8 +597,9 @@ def hashed_counts(spark, folder):
 
 @query
 def mean_pool(spark, folder):
-    """Mean embedding per label over two thirds of the vectors, the others masked."""
-    vectors = table(spark, folder, "embeddings").select("label", "embedding", (F.col("vec_id") % 3 != 0).cast("int").alias("mask"))
+    """Mean embedding per label; vectors that start below zero are masked."""
+    mask = (F.element_at("embedding", 1) >= 0).cast("int").alias("mask")
+    vectors = table(spark, folder, "embeddings").select("label", "embedding", mask)
     pooled = features.mean_pool(vectors, "label", "embedding", "mask")
     return rounded(pooled.select("label", F.posexplode("features").alias("dim", "mean")), "mean")
 
