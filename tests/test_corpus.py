@@ -1,6 +1,8 @@
 import json
 
 import pytest
+from hypothesis import given
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from rowloom.functions.text import pieces
@@ -9,7 +11,7 @@ from rowloom.sources import matrix, tables, tokens
 from rowloom.streaming.convert import convert_files
 
 LINES = [
-    "InChI=1S/C6H6/c1-2-4-6-5-3-1/h1-6H", "aaaaaaa aaaa aaa", "the cat's hat, we'll see 12345 123",
+    "InChI=1S/C2H6O/c1-2-3/h3H,2H2,1H3", "aaaaaaa aaaa aaa", "the cat's hat, we'll see 12345 123",
     "Ünïcödé  naïve\tcafé 日本語 12", "<s> is plain text </s>", "InChI=1S/CH4/h1H4", "x" * 50 + " the the",
 ]
 
@@ -80,6 +82,24 @@ def test_a_very_long_piece_is_merged_whole(spark):
     assert bpe.encode(df, "text", vocabulary).select(F.size("ids")).first()[0] == 30_000
 
 
+@given(st.text(alphabet="abc", max_size=40), st.permutations([(a, b) for a in "abc" for b in "abc"]))
+def test_merging_equals_the_plain_rule(text, order):
+    """Against a loop that looks for the lowest-ranked, leftmost pair each time."""
+    ids = {"a": 0, "b": 1, "c": 2}
+    ranks = {}
+    for rank, (left, right) in enumerate(order[:5]):
+        ranks[ids[left], ids[right]] = (rank, 10 + rank)
+    ranks[10, 0], ranks[1, 11], ranks[10, 10] = (7, 20), (6, 21), (8, 22)
+    plain = [ids[c] for c in text]
+    while True:
+        open_pairs = [(ranks[pair][0], i) for i, pair in enumerate(zip(plain, plain[1:])) if pair in ranks]
+        if not open_pairs:
+            break
+        _, i = min(open_pairs)
+        plain[i : i + 2] = [ranks[plain[i], plain[i + 1]][1]]
+    assert bpe.merge_symbols([ids[c] for c in text], ranks) == plain
+
+
 def test_pieces_rebuild_the_text(corpus):
     wrong = corpus.filter(F.array_join(pieces("text"), "") != F.col("text"))
     assert wrong.count() == 0
