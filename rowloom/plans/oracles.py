@@ -14,7 +14,7 @@ _BUILDING = "SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING'"
 
 _DICTIONARY = """SELECT 'Customer#' || lpad(CAST(o_custkey AS VARCHAR), 9, '0') AS name, o_orderkey AS ord,
  o_orderpriority AS matched_name,
- o_orderstatus || '/' || strftime(o_orderdate, '%Y%m%d') || '/' || CAST(o_orderkey AS VARCHAR) AS matched_value,
+ o_orderstatus || '/' || CAST(o_orderkey AS VARCHAR) AS matched_value,
  o_orderstatus <> 'P' AS found FROM orders"""
 
 _PRUNED = f"""

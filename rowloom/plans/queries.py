@@ -228,7 +228,7 @@ def order_dictionary(spark, folder) -> DataFrame:
         name.alias("name"),
         F.col("o_orderkey").alias("order"),
         F.col("o_orderpriority").alias("matched_name"),
-        F.concat_ws("/", "o_orderstatus", F.date_format("o_orderdate", "yyyyMMdd"), F.col("o_orderkey").cast("string")).alias("matched_value"),
+        F.concat_ws("/", "o_orderstatus", F.col("o_orderkey").cast("string")).alias("matched_value"),
         (F.col("o_orderstatus") != "P").alias("found"),
     )
 
