@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rowloom.llm.words import chunks, lowered, word_hashes
+from rowloom.llm.words import chunks, lowered, restored, word_hashes
 
 WINDOW = 10
 CHUNK_BYTES = 6 << 20
@@ -208,12 +208,13 @@ def scan(
     schema = f"doc_id {kind}, text_hash bigint, n_words bigint, hits array<int>, items array<string>, longest bigint"
     parts = []
     for block in _blocks(benchmark, item_id, item_text, window, block_bytes):
-        sent = spark.sparkContext.broadcast(block)
+        sent = spark.sparkContext.broadcast(vars(block))
 
         def search(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            names = sent.value.names
+            known = restored(Benchmark, sent.value)
+            names = known.names
             for piece in chunks(batches, "text", CHUNK_BYTES):
-                rows = findings(piece.column("text").cast(pa.binary()).to_pylist(), sent.value)
+                rows = findings(piece.column("text").cast(pa.binary()).to_pylist(), known)
                 items = [sorted({names[i] for i in r[2]} - {None}) for r in rows]
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -244,11 +245,12 @@ def remove(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_text:
     spark = docs.sparkSession
     items = benchmark.select(F.col(item_text).alias("text")).withColumn("item_id", F.lit(""))
     for block in _blocks(items, "item_id", "text", window, block_bytes):
-        sent = spark.sparkContext.broadcast(block)
+        sent = spark.sparkContext.broadcast(vars(block))
 
         def clean(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            known = restored(Benchmark, sent.value)
             for piece in chunks(batches, text, CHUNK_BYTES):
-                rows = findings(piece.column(text).cast(pa.binary()).to_pylist(), sent.value)
+                rows = findings(piece.column(text).cast(pa.binary()).to_pylist(), known)
                 yield piece.filter(pa.array([not r[1] for r in rows], pa.bool_()))
 
         docs = docs.mapInArrow(clean, docs.schema)

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rowloom.llm.words import chunks
+from rowloom.llm.words import chunks, restored
 
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
@@ -161,7 +161,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", buckets: int
 
 def predict(docs: DataFrame, model: Model, text: str = "text", lang_pred: str = "lang_pred", score: str = "score") -> DataFrame:
     """All columns of ``docs`` with the predicted language and its posterior probability."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = docs.sparkSession.sparkContext.broadcast(vars(model))
     kept = [c for c in docs.columns if c not in (lang_pred, score)]
     schema = T.StructType([
         *docs.select(*[F.col(f"`{c}`") for c in kept]).schema.fields,
@@ -169,8 +169,9 @@ def predict(docs: DataFrame, model: Model, text: str = "text", lang_pred: str =
     ])
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = restored(Model, sent.value)
         for piece in chunks(batches, text, CHUNK_BYTES):
-            names, scores = sent.value.predict(piece.column(text).to_pylist())
+            names, scores = known.predict(piece.column(text).to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [*(piece.column(c) for c in kept), pa.array(names, pa.string()), pa.array(scores, pa.float64())],
                 names=[*kept, lang_pred, score],

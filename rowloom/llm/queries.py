@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowloom.llm import decontaminate, language, lines, packing, simhash
+from rowloom.llm import decontaminate, language, licences, lines, lm, mtree, packing, pii, quality, simhash
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -53,6 +53,34 @@ def decontamination(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def licence_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return licences.scan(_table(spark, folder, "documents"), licences.known_licences(spark))
+
+
+def lm_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return lm.score(_table(spark, folder, "documents"), fold("doc_id", 5) == 1)
+
+
+def nearest_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    return mtree.top_k(_table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+def personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    found = pii.spans(_table(spark, folder, "documents").select("doc_id", "text"))
+    counts = [F.size(f"pii_{k.name}").cast("bigint").alias(f"n_{k.name}") for k in pii.BASE + pii.ADDED]
+    return found.select(
+        "doc_id", *counts, F.sha2(pii.listed(pii.BASE), 256).alias("base_sha256"), pii.listed(pii.BASE + pii.ADDED).alias("spans"),
+    )
+
+
+def quality_scores(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents").select("doc_id", "text", (fold("doc_id", 5) == 0).alias("held_out"))
+    learned = docs.filter(~F.col("held_out"))
+    model = quality.train(learned, _table(spark, folder, "labels").filter(fold("doc_id", 5) != 0))
+    found = quality.score(docs, model)
+    return found.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     from corpus_pipeline import run
 
@@ -61,9 +89,14 @@ def pipeline(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": line_dedup,
+    "op2_licence_scan": licence_scan,
     "op3_language_id": language_id,
+    "op4_lm_scoring": lm_scores,
     "op5_packing": packing_batches,
     "op6_simhash": simhash_groups,
+    "op7_top_k": nearest_vectors,
+    "op8_pii": personal_data,
     "op9_decontamination": decontamination,
+    "op10_quality": quality_scores,
     "pipeline": pipeline,
 }

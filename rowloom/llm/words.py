@@ -63,3 +63,10 @@ def word_hashes(data: np.ndarray, gap: np.ndarray) -> tuple[np.ndarray, np.ndarr
         live, at, left = live[more], at[more] + 8, left[more] - 8
     found[found == 0] = 1
     return begin, found
+
+
+def restored(kind: type, state: dict):
+    """An object of ``kind`` with the attributes ``state``, for broadcast values that workers build up again."""
+    made = object.__new__(kind)
+    made.__dict__.update(state)
+    return made
