@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowloom.llm import decontaminate, language, lines, packing, simhash
+from rowloom.llm.words import fresh
 from rowloom.session import materialize
 
 #: A text whose best language is no likelier than this is rejected.
@@ -20,9 +21,9 @@ LEAST_POSTERIOR = 0.5
 def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Language ID: learns from the labelled documents; texts without letters or without a clear language go."""
     model = language.train(docs)
-    found = language.predict(docs, model, lang_pred="_lang", score="_score")
-    clear = (F.col("_lang") != language.UNDETERMINED) & (F.col("_score") > LEAST_POSTERIOR)
-    return found.filter(clear).select(*docs.columns)
+    lang, score = fresh(docs.columns, "_lang"), fresh(docs.columns, "_score")
+    found = language.predict(docs, model, lang_pred=lang, score=score)
+    return found.filter((F.col(lang) != language.UNDETERMINED) & (F.col(score) > LEAST_POSTERIOR)).drop(lang, score)
 
 
 def drop_boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -165,10 +165,22 @@ class Benchmark:
         return longest, suffix, order[slot], self.asked[suffix]
 
 
+    def extended(self, words: np.ndarray, suffix: np.ndarray, place: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Words that each occurrence goes on to match, the window included."""
+        size, live = size.copy(), np.arange(suffix.size)
+        while live.size:
+            at = size[live]
+            live, at = live[self.left[suffix[live]] > at], at[self.left[suffix[live]] > at]
+            same = self.words[self.begin[suffix[live]] + at] == words[place[live] + at]
+            live = live[same]
+            size[live] += 1
+        return size
+
+
 def findings(texts: list[bytes | None], benchmark: Benchmark) -> list[tuple[int, list[int], list[int], int]]:
-    """Per text: words, numbers of the hit words, numbers of the items, longest window-or-more match."""
+    """Per text: words, numbers of the hit words, numbers of the items, words of the longest match of a window or more."""
     words, edges = numbered(texts)
-    longest, suffix, place, size = benchmark.find(words)
+    _, suffix, place, size = benchmark.find(words)
     change = np.zeros(words.size + 1, dtype=np.int64)
     np.add.at(change, place, 1)
     np.add.at(change, place + size, -1)
@@ -179,8 +191,7 @@ def findings(texts: list[bytes | None], benchmark: Benchmark) -> list[tuple[int,
     pairs = np.unique(np.stack([np.searchsorted(edges, place, side="right") - 1, benchmark.owner[suffix]]), axis=1)
     parts = np.searchsorted(pairs[0], np.arange(len(texts) + 1))
     reach = np.zeros(len(texts), dtype=np.int64)
-    if place.size:
-        np.maximum.at(reach, np.searchsorted(edges, place, side="right") - 1, longest[suffix])
+    np.maximum.at(reach, np.searchsorted(edges, place, side="right") - 1, benchmark.extended(words, suffix, place, size))
     return [
         (int(edges[i + 1] - edges[i] - 1), inside[cuts[i] : cuts[i + 1]].tolist(), pairs[1][parts[i] : parts[i + 1]].tolist(), int(reach[i]))
         for i in range(len(texts))

@@ -46,19 +46,15 @@ def letters() -> np.ndarray:
 
 def _points(texts: list[str | None], kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Cleaned code points of all texts, a space around each; where each text begins; which have a letter."""
-    whole = "\n".join([(t or "").lower() for t in texts]) + "\n"
-    points = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    # lower() may change the length of a text, so the ends are looked up and not counted
+    low = [(t or "").lower() for t in texts]
+    points = np.frombuffer("".join([f"\n{t}\n" for t in low]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     kind = kinds[points]
-    sizes = np.array([len((t or "").lower()) + 1 for t in texts], dtype=np.int64)
-    edges = np.concatenate([[0], np.cumsum(sizes)])
+    edges = np.concatenate([[0], np.cumsum([len(t) + 2 for t in low])])
     has = np.add.reduceat((kind == 1).astype(np.int64), edges[:-1]) > 0
     inside = kind > 0
     keep = inside.copy()
-    keep[0] = True
     keep[1:] |= inside[:-1]  # the first character after a word stands for the gap
     keep[edges[:-1]] = True
-    keep[edges[1:] - 1] = True
     clean = np.where(inside, points, 32)[keep]
     before = np.concatenate([[0], np.cumsum(keep)])
     return clean, before[edges], has

@@ -118,7 +118,7 @@ def known_licences(spark: SparkSession) -> DataFrame:
 
 
 def _head(text: Column) -> Column:
-    return F.substring_index(F.btrim(F.regexp_replace(text, "^[ \n]+", "")), " ", 1)
+    return F.regexp_extract(text, "^[ \n]*([^ \n]+)", 1)
 
 
 def digests(licences: DataFrame) -> DataFrame:

@@ -20,6 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rowloom.llm.words import fresh
 from rowloom.session import materialize
 
 RATIO = 0.05
@@ -28,7 +29,7 @@ MIN_PAGES = 5
 
 def site_of(url: Column) -> Column:
     """Host of an address in lower case, without ``www.``."""
-    return F.regexp_replace(F.lower(F.parse_url(url, F.lit("HOST"))), "^www\\.", "")
+    return F.regexp_replace(F.lower(F.try_parse_url(url, F.lit("HOST"))), "^www\\.", "")
 
 
 def _key(line: Column) -> Column:
@@ -59,15 +60,16 @@ def drop_boilerplate(
     it to all tasks if it is small and joins by host, splitting hosts, if not.
     """
     found = materialize(boilerplate(pages, host, text, ratio, min_pages), "boilerplate")
-    found = found.select(F.col("host").alias("_site"), F.col("lines").alias("_boilerplate"))
-    joined = pages.join(found, F.col(f"`{host}`") == F.col("_site"), "left")
+    site, listed, left = (fresh(pages.columns, name) for name in ("_site", "_boilerplate", "_left"))
+    found = found.select(F.col("host").alias(site), F.col("lines").alias(listed))
+    joined = pages.join(found, F.col(f"`{host}`") == F.col(site), "left")
     parts = F.split(F.col(f"`{text}`"), "\n", -1)
-    left = F.filter(parts, lambda x: ~F.coalesce(F.array_contains(F.col("_boilerplate"), _key(x)), F.lit(False)))
-    joined = joined.withColumn("_left", F.when(F.col("_site").isNotNull(), left))
+    clean = F.filter(parts, lambda x: ~F.coalesce(F.array_contains(F.col(listed), _key(x)), F.lit(False)))
+    joined = joined.withColumn(left, F.when(F.col(site).isNotNull(), clean))
     extra = {}
     if n_lines:
         extra[n_lines] = F.when(F.col(f"`{text}`").isNull(), 0).otherwise(F.size(parts))
     if n_dropped:
-        extra[n_dropped] = F.when(F.col("_left").isNull(), 0).otherwise(F.size(parts) - F.size("_left"))
-    extra[text] = F.when(F.col("_left").isNull(), F.col(f"`{text}`")).otherwise(F.array_join("_left", "\n"))
-    return joined.withColumns(extra).drop("_site", "_boilerplate", "_left")
+        extra[n_dropped] = F.when(F.col(left).isNull(), 0).otherwise(F.size(parts) - F.size(left))
+    extra[text] = F.when(F.col(left).isNull(), F.col(f"`{text}`")).otherwise(F.array_join(left, "\n"))
+    return joined.withColumns(extra).drop(site, listed, left)

@@ -129,16 +129,17 @@ class Automaton:
             else:
                 prefix, suffix = index[k - 1][place - 1], index[k - 1][place]
                 p = (counts[k] + mass * probability[k - 1][suffix]) / (counts[k - 1][prefix] + mass)
-                before = states[k][prefix] if k > 0 else prefix
+                before = states[k][prefix]
             probability.append(p)
             # a known n-gram below the highest order becomes a state; longer ones lead to their suffix
-            number = np.full(own.size, 0, dtype=np.int64)
+            number = np.zeros(own.size, dtype=np.int64)
             if k + 1 < order:
-                number[seen] = n_states + np.arange(int(seen.sum()))
-                n_states += int(seen.sum())
-                lower = np.zeros(int(seen.sum()), dtype=np.int64) if k == 0 else states[k][index[k - 1][place[seen]]]
+                opens = seen & (words[place] != 0)  # nothing follows an end
+                number[opens] = n_states + np.arange(int(opens.sum()))
+                n_states += int(opens.sum())
+                lower = np.zeros(int(opens.sum()), dtype=np.int64) if k == 0 else states[k][index[k - 1][place[opens]]]
                 fail.append(lower)
-                fail_weight.append(np.log10(mass / (counts[k][seen] + mass)))
+                fail_weight.append(np.log10(mass / (counts[k][opens] + mass)))
                 to = number
             else:
                 to = np.zeros(own.size, dtype=np.int64) if k == 0 else states[k][index[k - 1][place]]

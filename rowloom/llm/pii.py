@@ -24,6 +24,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rowloom.llm.words import fresh
+
 NEAR = 40
 RUN = 256
 LEAST = 0.5
@@ -160,13 +162,14 @@ def listed(kinds: tuple[Kind, ...]) -> Column:
 
 def masked(docs: DataFrame, text: str = "text", kinds: tuple[Kind, ...] = BASE + ADDED) -> DataFrame:
     """All columns, ``text`` with each kept span replaced by its kind in angle brackets; overlapping spans become one."""
-    found = spans(docs.withColumn("_whole", F.col(f"`{text}`")), text, kinds)
+    kept = fresh(docs.columns, "_whole")
+    found = spans(docs.withColumn(kept, F.col(f"`{text}`")), text, kinds)
 
     def labelled(name: str):
         return lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), F.lit(f"<{name}>").alias("label"))
 
     every = F.array_sort(reduce(F.concat, [F.transform(F.col(f"pii_{k.name}"), labelled(k.name)) for k in kinds]))
-    whole = F.col("_whole")
+    whole = F.col(kept)
     first = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(state: Column, s: Column) -> Column:
@@ -178,4 +181,4 @@ def masked(docs: DataFrame, text: str = "text", kinds: tuple[Kind, ...] = BASE +
         )
 
     made = F.aggregate(every, first, step, lambda state: F.concat(state["out"], whole.substr(state["at"] + 1, F.length(whole) - state["at"])))
-    return found.withColumn(text, F.when(whole.isNotNull(), made)).drop("_whole", *[f"pii_{k.name}" for k in kinds])
+    return found.withColumn(text, F.when(whole.isNotNull(), made)).drop(kept, *[f"pii_{k.name}" for k in kinds])

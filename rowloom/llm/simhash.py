@@ -34,6 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rowloom.llm.words import fresh
 from rowloom.session import discard, materialize
 
 SHINGLE = 3
@@ -223,8 +224,9 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how)
     found = near_duplicates(docs, doc_id, text, **how).filter("doc_id IS NOT NULL")
     verdicts = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.bool_or(F.expr("doc_id = component_id")).alias("first"))
     verdicts = materialize(verdicts.filter("NOT first OR n > 1"), "verdicts")
-    gone = materialize(verdicts.filter("NOT first").select(F.col("doc_id").alias("_gone")), "gone")
-    left = docs.join(gone, F.col(f"`{doc_id}`") == F.col("_gone"), "left_anti")
+    name = fresh(docs.columns, "_gone")
+    gone = materialize(verdicts.filter("NOT first").select(F.col("doc_id").alias(name)), "gone")
+    left = docs.join(gone, F.col(f"`{doc_id}`") == F.col(name), "left_anti")
     if verdicts.filter("first").isEmpty():
         return left
     known = F.col(f"`{doc_id}`").isNotNull()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +13,14 @@ _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 _FIRST = np.array([(1 << 8 * i) - 1 for i in range(9)], dtype=np.uint64)
 
 
+def fresh(taken: Iterable[str], name: str) -> str:
+    """``name``, with underscores behind it until no column is called so."""
+    used = {c.lower() for c in taken}
+    while name.lower() in used:
+        name += "_"
+    return name
+
+
 def chunks(batches: Iterator[pa.RecordBatch], text: str, limit: int) -> Iterator[pa.RecordBatch]:
     """Slices of the batches whose texts have at most ``limit`` bytes together, or one row."""
     for batch in batches:
