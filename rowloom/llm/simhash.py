@@ -180,7 +180,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     label = materialize(nodes.withColumn("root", F.col("node")), "labels")
     while True:
         hooks = left.groupBy(F.col("b").alias("root")).agg(F.min("a").alias("next"))
-        hooks = materialize(hooks, "hooks")
+        hooks = written = materialize(hooks, "hooks")
         if hooks.isEmpty():
             discard(left)
             discard(hooks)
@@ -188,8 +188,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         while True:  # follow the hooks to their ends
             after = hooks.join(hooks.select(F.col("root").alias("next"), F.col("next").alias("far")), "next", "left")
             longer = materialize(after.select("root", F.coalesce("far", "next").alias("next"), F.col("far").isNotNull().alias("moved")), "hooks")
-            discard(hooks)
-            hooks = longer.select("root", "next")
+            discard(written)
+            written, hooks = longer, longer.select("root", "next")
             if longer.filter("moved").isEmpty():
                 break
         moved = label.join(hooks, "root", "left").select("node", F.coalesce("next", "root").alias("root"))
@@ -197,7 +197,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         ends = left.join(hooks.withColumnsRenamed({"root": "a", "next": "ra"}), "a", "left").join(hooks.withColumnsRenamed({"root": "b", "next": "rb"}), "b", "left")
         ends = ends.select(F.coalesce("ra", "a").alias("x"), F.coalesce("rb", "b").alias("y")).filter("x <> y")
         rest = materialize(ends.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
-        for old in (left, label, longer):
+        for old in (left, label, written):
             discard(old)
         left, label = rest, fresh
 
