@@ -20,6 +20,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rowloom.session import materialize
+
 # Words that count as equal (variant, canonical form), whole words of lower-case text.
 EQUIVALENT = (
     ("acknowledgement", "acknowledgment"), ("analogue", "analog"), ("analyse", "analyze"), ("artefact", "artifact"),
@@ -146,13 +148,15 @@ def scan(docs: DataFrame, licences: DataFrame, doc_id: str = "doc_id", text: str
 
     Of the units only those with a first word that can lead to a known text are spelled and digested.
     """
-    known = digests(licences)
+    # written tables, so that Spark knows their size and sends them to the tasks if they are small
+    known = materialize(digests(licences), "licences")
+    heads = materialize(_heads(known), "heads")
     longest = known.agg(F.max("length")).first()[0] or 0
     rows = docs.select(F.col(doc_id).alias("doc_id"), skeleton(F.col(text)).alias("bones")).filter(F.col(text).isNotNull())
     # a text of one line is a unit once, as the whole text
     parts = F.split("bones", "\n", -1)
     units = F.concat(F.array("bones"), F.when(F.size(parts) > 1, parts).otherwise(F.array().cast("array<string>")))
     units = rows.select("doc_id", F.posexplode(units).alias("line", "unit")).filter(F.length("unit") <= 2 * longest + 2)
-    likely = units.withColumn("head", _head(F.col("unit"))).join(_heads(known), "head", "left_semi")
+    likely = units.withColumn("head", _head(F.col("unit"))).join(heads, "head", "left_semi")
     found = likely.select("doc_id", "line", F.sha2(spelled(F.col("unit")), 256).alias("digest"))
     return found.join(known.select("digest", "licence").distinct(), "digest").select("doc_id", "line", "licence")
