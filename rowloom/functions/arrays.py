@@ -12,22 +12,13 @@ from pyspark.sql import functions as F
 from rowloom.functions.text import _column
 
 
-def without(labels: Column | str, unwanted: list[str]) -> Column:
-    """The list without the unwanted labels; order and repeats of the rest stay."""
-    labels = _column(labels)
-    if not unwanted:
-        return labels
-    drop = F.split(F.lit("\x00".join(unwanted)), "\x00")
-    return F.filter(labels, lambda label: ~F.coalesce(F.array_contains(drop, label), F.lit(False)))
-
-
 def indicator(labels: Column | str, classes: list[str]) -> Column:
-    """0/1 vector over the ordered classes."""
+    """0/1 vector over the ordered classes; a NULL in the list is no class."""
     labels = _column(labels)
     if not classes:
         return F.array().cast("array<int>")
     every = F.split(F.lit("\x00".join(classes)), "\x00")
-    return F.transform(every, lambda name: F.array_contains(labels, name).cast("int"))
+    return F.transform(every, lambda name: F.when(labels.isNotNull(), F.coalesce(F.array_contains(labels, name), F.lit(False))).cast("int"))
 
 
 def top_class(scores: Column | str, classes: list[str]) -> Column:
@@ -49,19 +40,6 @@ def _filled(rows: int, width: int, places: pa.ListArray, amounts: np.ndarray | N
     return pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * width), pa.array(flat))
 
 
-def dense(width: int):
-    """Column function (indices, counts) -> vector of ``width`` with zeros elsewhere."""
-
-    @F.arrow_udf("array<int>")
-    def fill(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for indices, counts in batches:
-            for i in range(0, len(indices), 1024):
-                part, amounts = indices.slice(i, 1024), counts.slice(i, 1024).flatten()
-                yield _filled(len(part), width, part, amounts.to_numpy(zero_copy_only=False))
-
-    return fill
-
-
 def tally(width: int):
     """Column function (indices) -> vector of how often each index occurs."""
 
@@ -75,6 +53,23 @@ def tally(width: int):
     return fill
 
 
+def sparse_counts(indices: Column) -> Column:
+    """Each index that occurs in the list with how often it does, in order."""
+
+    @F.arrow_udf("array<struct<bucket:int,n:bigint>>")
+    def counted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for lists in batches:
+            edges = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+            row = np.repeat(np.arange(len(lists)), np.diff(edges))
+            key = (row.astype(np.int64) << 32) | lists.flatten().to_numpy(zero_copy_only=False)
+            found, n = np.unique(key, return_counts=True)
+            places = np.searchsorted(found >> 32, np.arange(len(lists) + 1)).astype(np.int32)
+            pairs = pa.StructArray.from_arrays([pa.array((found & 0xFFFFFFFF).astype(np.int32)), pa.array(n)], names=["bucket", "n"])
+            yield pa.ListArray.from_arrays(pa.array(places), pairs)
+
+    return counted(_column(indices))
+
+
 def frame_ids(ids: Column | str, limit: int = 512, start: int = 0, end: int = 2) -> Column:
     """Start and end ids around the sequence, cut so that the whole fits ``limit``."""
     return F.concat(

@@ -21,6 +21,11 @@ NA_TOKENS = (
 )
 
 
+# The phrase that marks names with a code, and the code's prefix.
+CODE_PHRASE = "Cytochrome P450"
+CODE_PREFIX = "CYP"
+
+
 def _column(value: Column | str) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
@@ -48,8 +53,8 @@ def pieces(value: Column | str, pattern: str = BYTE_LEVEL_PATTERN) -> Column:
 
 def name_to_code(
     name: Column | str,
-    phrase: str = "Cytochrome P450",
-    prefix: str = "CYP",
+    phrase: str = CODE_PHRASE,
+    prefix: str = CODE_PREFIX,
     token: int = 3,
 ) -> Column:
     """Short code of a descriptive name: prefix + the given token, without the

@@ -9,7 +9,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import chain
+from itertools import chain, takewhile
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from rowloom.functions.arrays import frame_ids, pad_ids, validity_mask
 from rowloom.functions.text import BYTE_LEVEL_PATTERN, _column, pieces
 from rowloom.operators.profile import longest_row
-from rowloom.session import discard, materialize, spread
+from rowloom.session import discard, materialize
 
 # Special tokens in id order.
 SPECIAL_TOKENS = ["<s>", "<pad>", "</s>", "<unk>", "<mask>"]
@@ -78,7 +78,7 @@ def piece_counts(
     by the reader but should be learned from.
     """
     whole = F.concat(F.col(text), F.lit(terminator)) if terminator else F.col(text)
-    long = spread(df.select(text)).select(F.explode(pieces(whole, pattern)).alias("piece"))
+    long = df.select(F.explode(pieces(whole, pattern)).alias("piece"))
     return long.groupBy("piece").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -104,17 +104,38 @@ def _flat(symbols: pa.ListArray, weights: np.ndarray) -> tuple[np.ndarray, np.nd
     return flat, np.repeat(weights, lengths + 1)
 
 
-def _apply(flat: np.ndarray, weights: np.ndarray, merges: list[tuple[int, int, int]]):
-    """Replace the pairs one merge after the other, left to right, never overlapping."""
-    for left, right, merged in merges:
-        at = np.flatnonzero((flat[:-1] == left) & (flat[1:] == right))
-        if left == right and len(at) > 1:
+#: Merges of one round: (left, right, merged), none of which can overlap another.
+Round = list[tuple[int, int, int]]
+
+
+def _apply(flat: np.ndarray, weights: np.ndarray, rounds: list[Round]):
+    """Replace the pairs round after round, left to right, never overlapping.
+
+    The merges of a round are looked up together: first by which symbols can
+    stand left and right at all, then by the pair.
+    """
+    for merges in rounds:
+        if not len(flat):
+            break
+        keys = np.array([(left << 32) | right for left, right, _ in merges], dtype=np.int64)
+        by_key = np.argsort(keys)
+        keys, made = keys[by_key], np.array([m for _, _, m in merges], dtype=np.int32)[by_key]
+        size = max(int(flat.max()), *(max(left, right) for left, right, _ in merges)) + 2
+        can_left, can_right = np.zeros(size, dtype=bool), np.zeros(size, dtype=bool)
+        can_left[[left for left, _, _ in merges]] = True
+        can_right[[right for _, right, _ in merges]] = True
+        at = np.flatnonzero(can_left[flat[:-1]] & can_right[flat[1:]])
+        pair = (flat[at].astype(np.int64) << 32) | flat[at + 1]
+        place = np.minimum(np.searchsorted(keys, pair), len(keys) - 1)
+        hit = keys[place] == pair
+        at, place = at[hit], place[hit]
+        if len(merges) == 1 and merges[0][0] == merges[0][1] and len(at) > 1:
             starts = np.r_[True, np.diff(at) > 1]
             run_start = at[starts][np.cumsum(starts) - 1]
-            at = at[(at - run_start) % 2 == 0]
+            at, place = at[(at - run_start) % 2 == 0], place[(at - run_start) % 2 == 0]
         if len(at):
             flat = flat.copy()
-            flat[at] = merged
+            flat[at] = made[place]
             keep = np.ones(len(flat), dtype=bool)
             keep[at + 1] = False
             flat, weights = flat[keep], weights[keep]
@@ -136,20 +157,20 @@ def _counted(flat: np.ndarray, weights: np.ndarray) -> pa.RecordBatch:
     )
 
 
-def _count_pairs(state: DataFrame, merges: list[tuple[int, int, int]]) -> DataFrame:
+def _count_pairs(state: DataFrame, rounds: list[Round]) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield _counted(*_apply(*_flat(batch.column(0), batch.column(1).to_numpy()), merges))
+            yield _counted(*_apply(*_flat(batch.column(0), batch.column(1).to_numpy()), rounds))
 
     partial = state.mapInArrow(count, "l int, r int, n bigint")
     return partial.groupBy("l", "r").agg(F.sum("n").alias("n"))
 
 
-def _rewrite(state: DataFrame, merges: list[tuple[int, int, int]]) -> DataFrame:
+def _rewrite(state: DataFrame, rounds: list[Round]) -> DataFrame:
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             weights = batch.column(1).to_numpy()
-            flat, _ = _apply(*_flat(batch.column(0), weights), merges)
+            flat, _ = _apply(*_flat(batch.column(0), weights), rounds)
             ends = np.flatnonzero(flat == -1)
             offsets = np.r_[0, ends - np.arange(len(ends))].astype(np.int32)
             symbols = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat[flat >= 0]))
@@ -161,51 +182,46 @@ def _rewrite(state: DataFrame, merges: list[tuple[int, int, int]]) -> DataFrame:
 def _byte_symbols(counts: DataFrame, byte_ids: np.ndarray) -> DataFrame:
     def symbols(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(0).cast(pa.binary())
-            _, starts, data = texts.buffers()
-            offsets = np.frombuffer(starts, dtype=np.int32)[texts.offset : texts.offset + len(texts) + 1]
-            used = np.frombuffer(data, dtype=np.uint8)[offsets[0] : offsets[-1]]
-            out = pa.ListArray.from_arrays(pa.array(offsets - offsets[0]), pa.array(byte_ids[used]))
+            texts = batch.column(0).cast(pa.binary()).to_pylist()
+            offsets = np.cumsum([0, *map(len, texts)]).astype(np.int32)
+            used = np.frombuffer(b"".join(texts), dtype=np.uint8)
+            out = pa.ListArray.from_arrays(pa.array(offsets), pa.array(byte_ids[used]))
             yield pa.RecordBatch.from_arrays([out, batch.column(1)], names=["symbols", "weight"])
 
     return counts.select("piece", "n").mapInArrow(symbols, "symbols array<int>, weight bigint")
 
 
-def _shared_out(written: DataFrame) -> DataFrame:
-    """Chunks on all cores, unless there are fewer chunks than cores."""
-    cores = written.sparkSession.sparkContext.defaultParallelism
-    return spread(written) if written.count() >= cores else written
-
-
 def _next_merges(
     top: list[tuple[int, int, int]], complete: bool, tokens: list[str], known: dict[str, int]
 ) -> list[tuple[int, int]]:
     """The pairs at the head of the ranking that can be merged in one round.
 
     The best pair always merges. Those behind it join only while merging them one
-    by one would choose the same pairs: they share no symbol with the accepted
-    ones, are no self-pair, make no text that exists, and are strictly more
-    frequent than every lower pair that an accepted merge could change. A pair
-    made from a merged symbol is at most as frequent as the pair it replaces.
+    by one would choose the same pairs: none can overlap an accepted one (it does
+    not end with a symbol that one begins with, or begin with one that one ends
+    with), none is a self-pair or makes a text that exists, and none ties with a lower pair that can.
+    What an accepted merge changes or brings about is at most as frequent as such
+    an overlapping pair, and those rank lower, or the scan would have ended at them.
     """
     (first_l, first_r, _), accepted, made = top[0], [top[0][:2]], set()
     text = tokens[first_l] + tokens[first_r]
     if first_l == first_r or text in known:
         return accepted
-    used = {first_l, first_r}
+    lefts, rights = {first_l}, {first_r}
     made.add(text)
     for j in range(1, len(top)):
         left, right, n = top[j]
         text = tokens[left] + tokens[right]
-        if left in used or right in used or left == right or text in known or text in made:
+        if right in lefts or left in rights or left == right or text in known or text in made:
             break
         if not complete and top[-1][2] == n:
             break
-        ties = (t for t in top[j + 1:] if t[2] == n)
-        if any(t[0] in used or t[1] in used for t in ties):
+        ties = list(takewhile(lambda t: t[2] == n, top[j + 1:]))
+        if any(t[1] in lefts or t[0] in rights for t in ties):
             break
         accepted.append((left, right))
-        used |= {left, right}
+        lefts.add(left)
+        rights.add(right)
         made.add(text)
     return accepted
 
@@ -216,14 +232,14 @@ def learn(
     min_frequency: int = 2,
     special: list[str] | None = None,
     max_merges: int | None = None,
-    ranked: int = 256,
-    rewrite_after: int = 48,
+    ranked: int = 1024,
+    rewrite_after: int = 16,
 ) -> Vocabulary:
     """Learn merges from (piece, n): the most frequent pair first, ties by ids.
 
     Each round is one Spark aggregate over the piece table; only the ``ranked``
-    best pairs reach the driver. The merges since the last rewrite are replayed
-    on the fly. Every ``rewrite_after`` merges the piece table is written anew,
+    best pairs reach the driver. The rounds since the last rewrite are replayed
+    on the fly. Every ``rewrite_after`` rounds the piece table is written anew,
     which keeps both the replay and the lineage short. Learning ends at
     ``vocab_size``, at ``max_merges``, or when no pair occurs ``min_frequency``
     times.
@@ -231,20 +247,21 @@ def learn(
     vocabulary = Vocabulary.initial(special)
     tokens = vocabulary.by_id()
     written = materialize(_byte_symbols(counts, vocabulary.byte_ids()), "pieces")
-    state = _shared_out(written).persist()
-    pending: list[tuple[int, int, int]] = []
+    state = written.persist()
+    pending: list[Round] = []
     limit = max_merges if max_merges is not None else vocab_size
     while len(vocabulary.ids) < vocab_size and len(vocabulary.merges) < limit:
         if len(pending) >= rewrite_after:
             previous, written = written, materialize(_rewrite(state, pending), "pieces")
             state.unpersist()
             discard(previous)
-            state, pending = _shared_out(written).persist(), []
+            state, pending = written.persist(), []
         best = _count_pairs(state, pending).filter(F.col("n") >= min_frequency)
         rows = best.orderBy(F.desc("n"), "l", "r").limit(ranked).collect()
         if not rows:
             break
         top = [(r["l"], r["r"], r["n"]) for r in rows]
+        pending.append([])
         for left, right in _next_merges(top, len(rows) < ranked, tokens, vocabulary.ids):
             if len(vocabulary.ids) >= vocab_size or len(vocabulary.merges) >= limit:
                 break
@@ -253,7 +270,7 @@ def learn(
                 vocabulary.ids[text] = len(tokens)
                 tokens.append(text)
             vocabulary.merges.append((tokens[left], tokens[right]))
-            pending.append((left, right, vocabulary.ids[text]))
+            pending[-1].append((left, right, vocabulary.ids[text]))
     state.unpersist()
     discard(written)
     return vocabulary
@@ -429,15 +446,17 @@ def longest_encoded(df: DataFrame, text: str, vocabulary: Vocabulary, pos: str =
 
 def frame_batches(
     df: DataFrame, ids: str, pos: str = "pos", batch: int = 1_000, limit: int = 512,
-    start: int = 0, end: int = 2, pad: int = 1,
+    start: int = 0, end: int = 2, pad: int = 1, dropped: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Model input: framed, cut to ``limit``, padded to the longest of its batch.
+    """Model input: framed, cut to ``limit``, padded to the longest of its batch; without ``ids`` and ``dropped``.
 
-    A batch is ``batch`` neighbouring positions, which bounds what one window holds.
+    A batch is ``batch`` neighbouring positions. Only lengths are gathered to find
+    the widths, which then meet their rows; texts and uncut sequences stay where they are.
     """
-    group = F.expr(f"`{pos}` div {batch}")
-    framed = df.withColumn("batch", group).withColumn("_f", frame_ids(ids, limit, start, end))
-    width = framed.withColumn("_w", F.max(F.size("_f")).over(Window.partitionBy("batch")))
+    framed = df.withColumn("batch", F.expr(f"`{pos}` div {batch}")).withColumn("_f", frame_ids(ids, limit, start, end))
+    sizes = df.select(F.expr(f"`{pos}` div {batch}").alias("batch"), F.least(F.size(ids), F.lit(limit - 2)).alias("_n"))
+    widths = sizes.groupBy("batch").agg((F.max("_n") + 2).alias("_w"))
+    width = framed.drop(ids, *dropped).join(widths, "batch")
     return width.withColumn("input_ids", pad_ids("_f", F.col("_w"), pad)).withColumn(
         "attention_mask", validity_mask("_f", F.col("_w"))
     ).drop("_f", "_w")

@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from rowloom.operators.order import dense_order, null_safe_join
 
 
+# Fixed value: what made-up codes begin with.
+CODE_PREFIX = "DBX0"
+
+
 def ids_of_type(df: DataFrame, id_col: str, type_col: str, wanted: str) -> DataFrame:
     """Ids of the rows of one type."""
     return df.filter(F.col(type_col) == F.lit(wanted)).select(id_col)
@@ -74,15 +78,16 @@ def duplicate_entities(
 
     An entity is free of such rows exactly if it owns as many first rows as
     rows. Both counts go into one sum per entity: +1 for each row, -1 for each
-    first row. All steps combine on the map side, so hot keys and hot entities
-    are no hazard. ``pos`` is a number that tells rows of different entities apart.
+    first row. A key's first place is a minimum over numbers, which is hashed and
+    combined on the map side, and finds its entity by place; so hot keys and hot
+    entities are no hazard. ``pos`` is a number that tells rows of different entities apart.
     """
     if not nulls_are_equal:
         df = df.dropna(subset=keys)
     rows = df.select(entity, F.lit(1).alias("_d"))
-    firsts = df.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(
-        F.min_by(entity, pos).alias(entity)
-    ).select(entity, F.lit(-1).alias("_d"))
+    places = df.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(F.min(pos).alias(pos))
+    owners = df.select(entity, pos).distinct()
+    firsts = owners.join(places.select(pos), pos).select(entity, F.lit(-1).alias("_d"))
     return (
         rows.unionByName(firsts).groupBy(entity).agg(F.sum("_d").alias("_d"))
         .filter(F.col("_d") > 0).select(entity)
@@ -110,7 +115,7 @@ def lookup(
     dict_name: str = "name",
     dict_order: str = "order",
     found: str = "found",
-    prefix: str = "DBX0",
+    prefix: str = CODE_PREFIX,
 ) -> DataFrame:
     """All dictionary entries for the name of each row with a gap.
 

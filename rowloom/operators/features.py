@@ -9,7 +9,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rowloom.functions.arrays import cast_vector, tally
+from rowloom.functions.arrays import cast_vector, sparse_counts, tally
 from rowloom.functions.text import md5_number, words
 
 
@@ -46,14 +46,13 @@ def _word_codes(df: DataFrame, id_col: str, text: str) -> DataFrame:
 def hashed_counts(df: DataFrame, id_col: str, text: str, width: int = 2048, radius: int = 3) -> DataFrame:
     """Occurrences of hashed token runs, long form: (id, bucket, n).
 
-    A run is one token with up to ``radius`` neighbours behind it. Each text's
-    counts are complete before the shuffle, which moves one row per used bucket.
+    A run is one token with up to ``radius`` neighbours behind it. A text's
+    counts need nothing but the text, so they are made in its row and never shuffled.
     """
-    codes = _word_codes(df, id_col, text)
-    # Exploding the expression itself, not a column of it: Spark would put a
-    # filter on such a column and work out the codes once per run.
-    buckets = codes.select(id_col, F.explode(run_buckets(F.col("_w"), radius + 1, width)).alias("bucket"))
-    return buckets.groupBy(id_col, "bucket").agg(F.count(F.lit(1)).alias("n"))
+    runs = run_buckets(F.col("_w"), radius + 1, width)
+    # The expression itself, not a column of it: Spark would put a filter on such
+    # a column and work everything out again.
+    return _word_codes(df, id_col, text).select(id_col, F.inline(sparse_counts(runs)))
 
 
 def hashed_vectors(
@@ -84,14 +83,31 @@ def mean_pool(df: DataFrame, id_col: str, vector: str, mask: str, out: str = "fe
     return pooled.unionByName(unusable)
 
 
-FEATURISERS: dict[str, Callable[..., DataFrame]] = {
-    "hashed": hashed_vectors,
-    "pooled": mean_pool,
+#: Method -> (function, element type of its vectors, largest value of that type or None).
+FEATURISERS: dict[str, tuple[Callable[..., DataFrame], str, int | None]] = {
+    "hashed": (hashed_vectors, "smallint", (1 << 15) - 1),
+    "pooled": (mean_pool, "double", None),
 }
 
 
-def featurise(df: DataFrame, id_col: str, column: str, method: str = "hashed", **options) -> DataFrame:
-    """(id, features) by the named method; an unknown name fails before any work."""
-    if method not in FEATURISERS:
-        raise ValueError(f"Unknown featurization method: {method}")
-    return FEATURISERS[method](df, id_col, column, **options)
+def featurise(
+    df: DataFrame, id_col: str, column: str, method: str | Callable[..., DataFrame] = "hashed",
+    element: str | None = None, **options,
+) -> DataFrame:
+    """(id, features) by a method of ``FEATURISERS`` or by a function of the caller.
+
+    A function takes (df, id_col, column, **options) and returns (id, features).
+    Vectors get the element type that the method declares, or ``element``; counts
+    beyond the declared type stay at its largest value. An unknown name fails before any work.
+    """
+    if callable(method):
+        made, most = method(df, id_col, column, **options), None
+    elif method in FEATURISERS:
+        build, declared, most = FEATURISERS[method]
+        made, element = build(df, id_col, column, **options), element or declared
+        most = most if element == declared else None
+    else:
+        raise ValueError(f"no method {method!r}; known are {', '.join(sorted(FEATURISERS))}, or pass a function")
+    if most is not None:
+        made = made.withColumn("features", F.transform("features", lambda v: F.least(v, F.lit(most))))
+    return made.withColumn("features", cast_vector("features", element)) if element else made

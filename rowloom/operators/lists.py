@@ -5,44 +5,42 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rowloom.functions.arrays import without
-from rowloom.operators.order import null_safe_join
+from rowloom.operators.order import dense_order, null_safe_join
 
 
 def ordered_lists(
-    df: DataFrame,
-    key: str,
-    value: str,
-    pos: str,
-    max_items: int = 1_000_000,
-    out: str = "labels",
+    df: DataFrame, key: str, value: str, pos: str, out: str = "labels", kept: str | None = None
 ) -> DataFrame:
-    """One list per key: its values in input order, repeats kept.
+    """One list per key: its values in input order, repeats kept: (key, out, first).
 
-    Returns (key, part, out, first). A key with more than ``max_items`` values
-    gets several rows instead of one unbounded list: part k holds its values at
-    positions [k * max_items, (k + 1) * max_items), so no task gathers more than
-    ``max_items`` values of a key, and the parts in order are the whole list. All
-    other keys have the single part 0. ``pos`` is a whole number unique per row.
-
-    There are fewer than rows / max_items such long keys, which bounds the
-    broadcast that marks them.
+    ``pos`` is a whole number unique per row. ``kept`` names a boolean column:
+    rows where it is false leave their key in place but not their value. A list
+    is one value of a row; ``list_parts`` is for keys whose lists outgrow a row.
     """
-    long_keys = (
-        df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-        .filter(F.col("_n") > max_items)
-        .select(key, F.lit(True).alias("_long"))
+    item = F.struct(F.col(pos).alias("pos"), F.col(value).alias("value"))
+    if kept:
+        item = F.when(F.col(kept), item)
+    return df.groupBy(key).agg(
+        F.transform(F.array_sort(F.collect_list(item)), lambda x: x["value"]).alias(out),
+        F.min(pos).alias("first"),
     )
-    part = F.when(F.col("_long"), F.expr(f"`{pos}` div {max_items}")).otherwise(F.lit(0))
+
+
+def list_parts(df: DataFrame, key: str, value: str, pos: str, size: int, out: str = "labels") -> DataFrame:
+    """The lists of ``ordered_lists`` in parts of ``size`` values: (key, part, out).
+
+    The parts of a key in order are its whole list. Ranks come from numbering all
+    rows by key and position, so a key that holds most rows is spread over many
+    tasks and none gathers more than ``size`` values.
+    """
+    numbered = dense_order(df.select(key, value, pos), key, pos, name="_n")
+    firsts = numbered.groupBy(key).agg(F.min("_n").alias("_first"))
+    ranked = null_safe_join(numbered, firsts, [key])
     item = F.struct(F.col(pos).alias("pos"), F.col(value).alias("value"))
     return (
-        null_safe_join(df.select(key, value, pos), F.broadcast(long_keys), [key], "left")
-        .withColumn("part", part.cast("bigint"))
+        ranked.withColumn("part", F.expr(f"(_n - _first) div {size}"))
         .groupBy(key, "part")
-        .agg(
-            F.transform(F.array_sort(F.collect_list(item)), lambda x: x["value"]).alias(out),
-            F.min(pos).alias("first"),
-        )
+        .agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["value"]).alias(out))
     )
 
 
@@ -92,32 +90,34 @@ def cumulative_counts(top: DataFrame, tie: str = "first") -> DataFrame:
     return zero.unionByName(rows)
 
 
-def rare_labels(counts: DataFrame, threshold: int = 10) -> DataFrame:
+def rare_labels(counts: DataFrame, threshold: float = 10) -> DataFrame:
     """Labels that occur fewer than ``threshold`` times."""
     return counts.filter(F.col("n") < threshold).select("label")
 
 
-def prune_labels(
-    df: DataFrame, labels: str, rare: DataFrame, row: list[str], literal_limit: int = 1_000
-) -> DataFrame:
+def median_count(counts: DataFrame) -> float:
+    """The median of the label counts, a threshold that fits any scale; 0 without labels."""
+    return counts.agg(F.median("n")).first()[0] or 0.0
+
+
+def mark_kept(df: DataFrame, value: str, rare: DataFrame, out: str = "kept") -> DataFrame:
+    """Rows of single labels with a column that is false for the rare ones; a NULL label can be rare too."""
+    marks = rare.select(F.col("label").alias(value), F.lit(True).alias("_rare")).distinct()
+    return null_safe_join(df, marks, [value], "left").withColumn(out, F.col("_rare").isNull()).drop("_rare")
+
+
+def prune_labels(df: DataFrame, labels: str, rare: DataFrame, row: list[str]) -> DataFrame:
     """Take the rare labels out of every list; emptied lists stay as rows.
 
-    Up to ``literal_limit`` rare labels become a literal and the lists are
-    filtered where they are, without a shuffle. Beyond that the lists are joined
-    with the rare labels and put together again row by row (``row`` names the
-    columns that tell rows apart).
+    The lists become rows, which are matched with the rare labels, and are put
+    together again; ``row`` names the columns that tell rows apart. Rows that
+    are still in long form need only ``mark_kept`` and one ``ordered_lists``.
     """
-    some = [found[0] for found in rare.select("label").limit(literal_limit + 1).collect()]
-    if len(some) <= literal_limit:
-        return df.withColumn(labels, without(labels, some))
-
     long = df.select(*row, F.posexplode(labels).alias("_i", "label"))
-    marked = long.join(rare.select("label"), "label", "left_anti")
+    marked = mark_kept(long, "label", rare, "_kept_row").filter("_kept_row")
     lists = marked.groupBy(*row).agg(
-        F.transform(
-            F.array_sort(F.collect_list(F.struct("_i", "label"))), lambda x: x["label"]
-        ).alias("_kept")
+        F.transform(F.array_sort(F.collect_list(F.struct("_i", "label"))), lambda x: x["label"]).alias("_kept")
     )
-    empty = F.when(F.col(labels).isNotNull(), F.array().cast("array<string>"))
+    empty = F.when(F.col(labels).isNotNull(), F.array().cast(df.schema[labels].dataType))
     joined = null_safe_join(df, lists, row, "left")
     return joined.withColumn(labels, F.coalesce("_kept", empty)).select(*df.columns)

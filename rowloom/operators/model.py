@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
@@ -14,18 +17,17 @@ from rowloom.operators.order import dense_order, null_safe_join
 
 def label_classes(df: DataFrame, labels: str) -> DataFrame:
     """The sorted distinct labels with their index: (label, index)."""
-    distinct = df.select(F.explode(labels).alias("label")).distinct()
+    distinct = df.select(F.explode(labels).alias("label")).dropna().distinct()
     return dense_order(distinct, "label", name="index")
 
 
-def class_list(df: DataFrame, labels: str, widest: int = 10_000) -> list[str]:
-    """The sorted distinct labels as the column order of a label matrix.
+def class_list(df: DataFrame, labels: str) -> list[str]:
+    """The sorted distinct labels, without NULL, as the column order of a label matrix.
 
-    A matrix wider than ``widest`` is refused; ``label_indices`` has no width.
+    The matrix has a column, and the baseline a model, for each of them;
+    ``label_indices`` is for label sets beyond that.
     """
-    found = df.select(F.explode(labels).alias("label")).distinct().orderBy("label").limit(widest + 1).collect()
-    if len(found) > widest:
-        raise ValueError(f"more than {widest} classes: use label_indices")
+    found = df.select(F.explode(labels).alias("label")).dropna().distinct().orderBy("label").collect()
     return [row[0] for row in found]
 
 
@@ -65,28 +67,31 @@ def fit_labels(
     max_depth: int = 6,
     validation_tol: float = 0.0,
     seed: int = 0,
+    at_once: int = 4,
 ) -> list[GBTClassificationModel]:
     """One boosted-tree model per label, stopped early on the validation rows.
 
     With ``validation_tol`` 0 boosting stops at the first round that makes them
-    worse. The table is cached once and shared by all fits.
+    worse. The table is cached once and shared by all fits, of which ``at_once`` run side by side.
     """
     vectors = df.select(
         array_to_vector(cast_vector(features, "double")).alias("_x"),
         truth,
         F.col(validation).alias("_val"),
     ).persist()
+
+    def fit(i: int) -> GBTClassificationModel:
+        rows = vectors.select("_x", "_val", F.col(truth)[i].cast("double").alias("_y"))
+        trees = GBTClassifier(
+            featuresCol="_x", labelCol="_y", validationIndicatorCol="_val",
+            maxIter=rounds, stepSize=learning_rate, maxDepth=max_depth,
+            validationTol=validation_tol, seed=seed,
+        )
+        return trees.fit(rows)
+
     try:
-        models = []
-        for i in range(n_labels):
-            rows = vectors.select("_x", "_val", F.col(truth)[i].cast("double").alias("_y"))
-            trees = GBTClassifier(
-                featuresCol="_x", labelCol="_y", validationIndicatorCol="_val",
-                maxIter=rounds, stepSize=learning_rate, maxDepth=max_depth,
-                validationTol=validation_tol, seed=seed,
-            )
-            models.append(trees.fit(rows))
-        return models
+        with ThreadPoolExecutor(at_once) as pool:
+            return list(pool.map(inheritable_thread_target(df.sparkSession)(fit), range(n_labels)))
     finally:
         vectors.unpersist()
 

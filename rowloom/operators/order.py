@@ -7,6 +7,7 @@ rules and positional joins. It is held in a ``pos`` column.
 from __future__ import annotations
 
 from functools import reduce
+from math import isfinite
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
@@ -30,8 +31,8 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str
 def _with_offsets(numbered: DataFrame, groups: list[str], name: str, keep: list[str]) -> DataFrame:
     """Turn ids that rise by one inside each group into one dense numbering.
 
-    There is one group per partition or input split, so the table of offsets is
-    bounded by the number of tasks that read the data.
+    There is one group per partition or input split. Spark picks the join by the
+    size of the table of offsets.
     """
     totals = numbered.groupBy(*groups).agg(
         F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_first")
@@ -41,7 +42,7 @@ def _with_offsets(numbered: DataFrame, groups: list[str], name: str, keep: list[
         *groups, "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset")
     )
     dense = F.col("_offset") + F.col("_id") - F.col("_first")
-    return numbered.join(F.broadcast(offsets), groups).select(*keep, dense.alias(name))
+    return numbered.join(offsets, groups).select(*keep, dense.alias(name))
 
 
 def ingest_order(df: DataFrame, name: str = "pos") -> DataFrame:
@@ -75,21 +76,18 @@ def dense_order(df: DataFrame, *order: Column | str, name: str = "pos") -> DataF
     return _with_offsets(fixed, ["_part"], name, columns)
 
 
-# Positions count rows, so none of them reaches this.
-BEHIND_ALL = 1 << 62
-
-
 def concat_rows(first: DataFrame, second: DataFrame, pos: str = "pos", dense: bool = True) -> DataFrame:
     """Union by column name; the second table's rows come after the first's.
 
     ``dense`` numbers the result 0..n-1. Otherwise the second table's positions
-    are moved behind every possible position, which keeps the order without a
-    sort or a pass over the first table.
+    are moved behind the largest of the first, whose positions are read for it.
     """
     if dense:
         tagged = first.withColumn("_src", F.lit(0)).unionByName(second.withColumn("_src", F.lit(1)))
         return dense_order(tagged, "_src", pos, name=pos).drop("_src")
-    return first.unionByName(second.withColumn(pos, F.col(pos) + F.lit(BEHIND_ALL)))
+    last = first.agg(F.max(pos)).first()[0]
+    behind = 0 if last is None else last + 1
+    return first.unionByName(second.withColumn(pos, F.col(pos) + F.lit(behind).cast("bigint")))
 
 
 def head(df: DataFrame, n: int = 5, pos: str = "pos") -> DataFrame:
@@ -103,7 +101,6 @@ def running_sums(
     values: list[str],
     keys: list[str] | None = None,
     rows_per_bin: int = 1_000_000,
-    most_bins: int = 10_000,
 ) -> DataFrame:
     """Exact inclusive running sums of ``values`` in rising ``order`` within ``keys``.
 
@@ -111,14 +108,15 @@ def running_sums(
     is read several times, so it should be a written table. Cut points taken
     from all of it split the order into bins of about ``rows_per_bin`` rows, so
     even a key with most rows is sorted in many tasks. Any cut points give exact
-    sums: they only say who sorts what.
+    sums: they only say who sorts what. Infinite values lie in the outer bins.
     """
     keys = keys or []
-    bins = min(most_bins, -(-df.count() // rows_per_bin))
+    bins = -(-df.count() // rows_per_bin)
     cuts = []
     if bins > 1:
         probabilities = [i / bins for i in range(1, bins)]
-        cuts = sorted(set(df.approxQuantile(order, probabilities, 1 / (2 * bins))))
+        found = df.approxQuantile(order, probabilities, 1 / (2 * bins))
+        cuts = sorted({x for x in found if isfinite(x)})
     edges = [-float("inf"), *cuts, float("inf")]
     binned = Bucketizer(
         splits=edges, inputCol="_order", outputCol="_bin", handleInvalid="keep"

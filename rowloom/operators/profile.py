@@ -29,11 +29,11 @@ def distinct_count(df: DataFrame, column: str) -> DataFrame:
 
 
 def _value_counts_fixed(df: DataFrame, column: str) -> DataFrame:
-    """(value, n), written once: one pass over the rows serves all that follows."""
-    counts = (
-        df.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("value"))
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+    """(value, n) of what is neither NULL nor NaN, written once: one pass over the rows serves all that follows."""
+    present = F.col(column).isNotNull()
+    if df.schema[column].dataType.typeName() in ("float", "double"):
+        present = present & ~F.isnan(column)
+    counts = df.filter(present).groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n"))
     return materialize(counts, "values")
 
 
@@ -47,10 +47,11 @@ def _picked_ranks(counts: DataFrame, total: int, fractions: list[float]):
         .cast("double").alias(f"_{rank}")
         for rank in ranks
     ]
-    blends = [
-        F.col(f"_{floor(p)}") + (F.col(f"_{ceil(p)}") - F.col(f"_{floor(p)}")) * F.lit(p - floor(p))
-        for p in places
-    ]
+    blends = []
+    for p in places:
+        low, high = F.col(f"_{floor(p)}"), F.col(f"_{ceil(p)}")
+        # equal neighbours may be infinite, whose difference is no number
+        blends.append(F.when(low == high, low).otherwise(low + (high - low) * F.lit(p - floor(p))))
     return ranked, picks, blends
 
 

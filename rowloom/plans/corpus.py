@@ -15,7 +15,7 @@ from rowloom.operators.convert import convert, outcome_counts, successes
 from rowloom.operators.profile import length_profile
 from rowloom.session import materialize
 from rowloom.sources.tables import read_headerless, read_lines, write_lines
-from rowloom.sources.tokens import read_token_ids, write_token_ids, write_vocabulary
+from rowloom.sources.tokens import read_token_ids, write_settings, write_token_ids, write_vocabulary
 
 
 @dataclass
@@ -52,8 +52,9 @@ def build_corpus(
     counts = piece_counts(lines, "line", terminator="\n")
     vocabulary = learn(counts, vocab_size, min_frequency, max_merges=max_merges)
     write_vocabulary(spark, vocabulary, f"{folder}/vocabulary")
+    write_settings(spark, vocabulary, f"{folder}/vocabulary")
 
-    write_token_ids(encode(lines.orderBy("pos"), "line", vocabulary), "ids", f"{folder}/ids")
+    write_token_ids(encode(lines, "line", vocabulary), "ids", f"{folder}/ids")
     stored = read_token_ids(spark, f"{folder}/ids")
     return Corpus(
         vocabulary,

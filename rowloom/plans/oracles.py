@@ -19,7 +19,7 @@ _DICTIONARY = """SELECT 'Customer#' || lpad(CAST(o_custkey AS VARCHAR), 9, '0')
 
 _PRUNED = f"""
 WITH counts AS ({_NAMES}),
-rare AS (SELECT label FROM counts WHERE n < 925),
+rare AS (SELECT label FROM counts WHERE n < (SELECT median(n) FROM counts)),
 long AS (SELECT o_custkey AS customer, p_name AS label, l_orderkey * 8 + l_linenumber AS pos
  FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey)
 SELECT customer, coalesce(string_agg(label, ',' ORDER BY pos, label)
@@ -96,22 +96,60 @@ _EVEN = "CAST(json_extract_string(props, '$.k') AS INTEGER)"
 
 _BYTES = "octet_length(encode(text))"
 
+_RUNS = f"""
+WITH places AS (SELECT doc_id, unnest({_WORDS}) AS g, generate_subscripts({_WORDS}, 1) AS i FROM documents),
+codes AS (SELECT doc_id, i, CAST(CAST('0x' || substr(md5(g), 1, 8) AS UBIGINT) AS BIGINT) % 2147483647 AS c FROM places),
+near AS (SELECT doc_id, c, lead(c, 1) OVER w AS c1, lead(c, 2) OVER w AS c2, lead(c, 3) OVER w AS c3
+ FROM codes WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+runs AS (SELECT doc_id, unnest([c, c + c1 * 31 % 2147483647,
+ c + c1 * 31 % 2147483647 + c2 * 961 % 2147483647,
+ c + c1 * 31 % 2147483647 + c2 * 961 % 2147483647 + c3 * 29791 % 2147483647]) AS h FROM near),
+counts AS (SELECT doc_id, CAST(h % 2048 AS INTEGER) AS bucket, count(*) AS n FROM runs WHERE h IS NOT NULL GROUP BY 1, 2)"""
+
+# The full pattern without lookahead: the last of several blanks before a word is cut off beforehand.
+_PIECES = r"""
+WITH marked AS (SELECT doc_id, regexp_replace(text, '(\s)(\s\S)', '\1' || chr(30) || '\2', 'g') AS t FROM documents),
+cut AS (SELECT doc_id, regexp_extract_all(t, '''s|''t|''re|''ve|''m|''ll|''d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}\x1e]+|\s+') AS p FROM marked)
+SELECT doc_id, CAST(len(p) AS INTEGER) AS n, md5(array_to_string(p, chr(31))) AS cuts FROM cut"""
+
+
+def _byte_ids(limit: int | None) -> str:
+    """Number and sum of the byte ids of each text, of its first ``limit`` bytes if there is a limit.
+
+    Ids follow the code points of the printable byte alphabet, behind five special tokens.
+    """
+    plain = "(33 <= b AND b <= 126) OR (161 <= b AND b <= 172) OR 174 <= b"
+    hex_text = "hex(encode(text))" if limit is None else f"substr(hex(encode(text)), 1, {2 * limit})"
+    return f"""
+WITH alphabet AS (
+ SELECT b, 4 + row_number() OVER (ORDER BY CASE WHEN {plain} THEN b ELSE 256 + rest END) AS id FROM (
+  SELECT b, row_number() OVER (PARTITION BY {plain} ORDER BY b) - 1 AS rest FROM (SELECT unnest(range(0, 256)) AS b))),
+spelled AS (SELECT doc_id, {hex_text} AS h FROM documents),
+bytes AS (SELECT doc_id, CAST('0x' || substr(h, 2 * i + 1, 2) AS INTEGER) AS b
+ FROM (SELECT doc_id, h, unnest(range(0, CAST(length(h) / 2 AS BIGINT))) AS i FROM spelled))
+SELECT d.doc_id, CAST(count(id) AS INTEGER) AS n, CAST(coalesce(sum(id), 0) AS INTEGER) AS total
+FROM documents d LEFT JOIN (SELECT doc_id, id FROM bytes JOIN alphabet USING (b)) x ON x.doc_id = d.doc_id GROUP BY 1"""
+
+
 ORACLES: dict[str, str] = {
     "ordered_label_list": _USER_LISTS,
     "ordered_label_list_parts": """
-WITH sized AS (SELECT *, count(*) OVER (PARTITION BY user_id) AS size FROM events)
-SELECT user_id, CASE WHEN size > 64 THEN event_id // 64 ELSE 0 END AS part,
- string_agg(event_type, ',' ORDER BY event_id) AS labels FROM sized GROUP BY 1, 2""",
+WITH ranked AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS rank FROM events)
+SELECT user_id, rank // 64 AS part, string_agg(event_type, ',' ORDER BY event_id) AS labels FROM ranked GROUP BY 1, 2""",
     "label_counts_top20": f"""
 WITH top AS (SELECT * FROM ({_BRANDS}) ORDER BY n DESC, label LIMIT 20)
 SELECT CAST(0 AS BIGINT) AS rank, '' AS label, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS total
 UNION ALL
 SELECT row_number() OVER w, label, n, CAST(sum(n) OVER w AS BIGINT) FROM top WINDOW w AS (ORDER BY n DESC, label)""",
-    "label_counts": "SELECT event_type AS label, count(*) AS n FROM events GROUP BY 1 ORDER BY n DESC, min(event_id) LIMIT 3",
+    "label_counts": "SELECT event_type AS label, count(*) AS n FROM events GROUP BY 1",
     "value_counts": "SELECT o_orderpriority, count(*) AS n FROM orders WHERE o_orderpriority IS NOT NULL GROUP BY 1",
-    "rare_label_list": f"SELECT label FROM ({_NAMES}) WHERE n < 925",
+    "rare_label_list": f"WITH counts AS ({_NAMES}) SELECT label FROM counts WHERE n < (SELECT median(n) FROM counts)",
     "prune_rare_labels": _PRUNED,
-    "prune_rare_labels_by_join": _PRUNED,
+    "prune_rare_events": """
+WITH counts AS (SELECT event_type, count(*) AS n FROM events GROUP BY 1),
+rare AS (SELECT event_type FROM counts WHERE n < (SELECT median(n) FROM counts))
+SELECT user_id, coalesce(string_agg(event_type, ',' ORDER BY event_id)
+ FILTER (WHERE event_type NOT IN (SELECT event_type FROM rare)), '') AS labels FROM events GROUP BY 1""",
     "name_to_code": """SELECT p_partkey,
  CASE WHEN contains(p_type || ' ' || p_name, 'small') THEN 'X' || split_part(p_type || ' ' || p_name, ' ', 3) END AS code FROM part""",
     "attach_left": _LABELLED,
@@ -139,12 +177,12 @@ candidates AS (SELECT c_custkey AS pos, c_name AS query_name, matched_name, matc
 SELECT pos, query_name, matched_name, matched_value, match_count, 'DBX0' || pos || match_count AS code
 FROM candidates WHERE found""",
     "curate_table": _CURATED + """
-, rare AS (SELECT label FROM before WHERE n < 300),
+, rare AS (SELECT label FROM before WHERE n < (SELECT median(n) FROM before)),
 lists AS (SELECT entity, coalesce(string_agg(label, ',' ORDER BY pos, label)
  FILTER (WHERE label NOT IN (SELECT label FROM rare)), '') AS labels FROM coded GROUP BY entity)
 SELECT c.entity, c.name, c.key, c.value, l.labels FROM clean c JOIN lists l ON c.entity = l.entity""",
     "curate_counts": _CURATED + """
-SELECT label, n AS n_before, CASE WHEN n >= 300 THEN n END AS n_after FROM before""",
+SELECT label, n AS n_before, CASE WHEN n >= (SELECT median(n) FROM before) THEN n END AS n_after FROM before""",
     "ingest_positions": "SELECT event_id, row_number() OVER (ORDER BY event_id) - 1 AS pos FROM events",
     "dense_positions": "SELECT c_custkey, c_acctbal, row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) - 1 AS pos FROM customer",
     "head_rows": "SELECT p_partkey, p_name, p_brand FROM part ORDER BY p_partkey LIMIT 5",
@@ -179,36 +217,32 @@ SELECT count(*) AS total, count(*) FILTER (WHERE good) AS success, count(*) FILT
     "roundtrip_cached": "SELECT * FROM supplier",
     "piece_counts": r"""SELECT piece, count(*) AS n FROM (
  SELECT unnest(regexp_extract_all(text, '\p{L}+|\p{N}+|[^\s\p{L}\p{N}]+')) AS piece FROM documents) GROUP BY piece""",
-    "byte_level_pieces": "SELECT doc_id, 1 AS whole FROM documents",
+    "byte_level_pieces": _PIECES,
     "pair_counts": r"""
 WITH pieces AS (SELECT piece, count(*) AS n FROM (
  SELECT unnest(regexp_extract_all(text, '\p{L}+|\p{N}+|[^\s\p{L}\p{N}]+')) AS piece FROM documents) GROUP BY piece),
 places AS (SELECT piece, n, unnest(range(1, length(piece))) AS i FROM pieces)
 SELECT substring(piece, i, 1) AS l, substring(piece, i + 1, 1) AS r, CAST(sum(n) AS BIGINT) AS n FROM places GROUP BY 1, 2""",
-    "bpe_roundtrip": "SELECT count(*) AS n_lines, CAST(0 AS BIGINT) AS ids_differ, CAST(0 AS BIGINT) AS text_differs FROM documents",
-    "byte_encode": f"SELECT doc_id, CAST({_BYTES} AS INTEGER) AS n_tokens FROM documents",
+    "bpe_roundtrip": "SELECT doc_id, 1 AS ids_match, 1 AS text_match, md5(text) AS decoded FROM documents",
+    "bpe_ids_file": f"SELECT row_number() OVER (ORDER BY doc_id) - 1 AS pos, n AS n_tokens, total FROM ({_byte_ids(None)})",
+    "byte_encode": f"SELECT doc_id, n AS n_tokens, total FROM ({_byte_ids(None)})",
+    "longest_encoded": f"""SELECT doc_id AS pos, CAST(length(text) AS INTEGER) AS length, CAST({_BYTES} AS INTEGER) AS n_tokens,
+ CAST(least({_BYTES}, 15) AS INTEGER) AS n_shown FROM documents ORDER BY length(text) DESC, doc_id LIMIT 1""",
     "frame_batches": f"""
 WITH f AS (SELECT doc_id, text, doc_id // 16 AS batch, CAST(least({_BYTES}, 510) + 2 AS INTEGER) AS n FROM documents)
 SELECT doc_id, batch, max(n) OVER (PARTITION BY batch) AS width, n AS n_valid, 0 AS first_id, 2 AS last_id FROM f""",
-    "truncate_mask": f"SELECT doc_id, CAST(least({_BYTES}, 1024) AS INTEGER) AS n_ids, 1024 AS width FROM documents",
+    "truncate_mask": f"""SELECT doc_id, n AS n_ids, total, n AS n_valid,
+ CAST(CASE WHEN n < 1024 THEN n + 1 ELSE 0 END AS BIGINT) AS first_padding FROM ({_byte_ids(1024)})""",
     "corpus_report": """
 SELECT 'outcomes' AS report, count(*) AS n, count(*) FILTER (WHERE NOT starts_with(url, 'https://')) AS n_bad FROM pages
 UNION ALL SELECT 'verified', count(*), 0 FROM pages WHERE starts_with(url, 'https://')
-UNION ALL SELECT 'sequences', count(*), 0 FROM pages WHERE starts_with(url, 'https://')""",
-    "hashed_counts": f"""
-WITH places AS (SELECT doc_id, unnest({_WORDS}) AS g, generate_subscripts({_WORDS}, 1) AS i FROM documents),
-codes AS (SELECT doc_id, i, CAST(CAST('0x' || substr(md5(g), 1, 8) AS UBIGINT) AS BIGINT) % 2147483647 AS c FROM places),
-near AS (SELECT doc_id, c, lead(c, 1) OVER w AS c1, lead(c, 2) OVER w AS c2, lead(c, 3) OVER w AS c3
- FROM codes WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
-runs AS (SELECT doc_id, unnest([c, c + c1 * 31 % 2147483647,
- c + c1 * 31 % 2147483647 + c2 * 961 % 2147483647,
- c + c1 * 31 % 2147483647 + c2 * 961 % 2147483647 + c3 * 29791 % 2147483647]) AS h FROM near)
-SELECT doc_id, CAST(h % 2048 AS INTEGER) AS bucket, count(*) AS n FROM runs WHERE h IS NOT NULL GROUP BY 1, 2""",
-    "dense_vectors": f"""
-WITH runs AS (SELECT doc_id, unnest({_WORDS}) AS g FROM documents),
-counts AS (SELECT doc_id, CAST('0x' || substr(md5(g), 1, 8) AS UBIGINT) % 2147483647 % 2048 AS bucket, count(*) AS n FROM runs GROUP BY 1, 2)
-SELECT d.doc_id, CAST(coalesce(sum(n), 0) AS INTEGER) AS total, CAST(count(n) AS INTEGER) AS filled
+UNION ALL SELECT 'sequences', count(*), 0 FROM pages WHERE starts_with(url, 'https://')
+UNION ALL SELECT 'longest', max(length(url)) - 8, 0 FROM pages WHERE starts_with(url, 'https://')""",
+    "hashed_counts": _RUNS + " SELECT doc_id, bucket, n FROM counts",
+    "dense_vectors": _RUNS + """
+ SELECT d.doc_id, CAST(coalesce(sum(n), 0) AS INTEGER) AS total, CAST(count(n) AS INTEGER) AS filled, 'array<smallint>' AS kind
 FROM documents d LEFT JOIN counts c ON d.doc_id = c.doc_id GROUP BY 1""",
+    "featurise_function": f"SELECT doc_id, CAST(length(text) AS DOUBLE) AS chars, CAST(len({_WORDS}) AS DOUBLE) AS words FROM documents",
     "mean_pool": """
 WITH long AS (SELECT label, embedding[1] >= 0 AS valid, generate_subscripts(embedding, 1) - 1 AS dim, unnest(embedding) AS v FROM embeddings)
 SELECT label, CAST(dim AS INTEGER) AS dim, round(avg(CAST(v AS DOUBLE)), 6) AS mean FROM long WHERE valid GROUP BY 1, 2""",
@@ -226,6 +260,11 @@ SELECT DISTINCT user_id, index FROM events JOIN classes ON event_type = c""",
     "top_class": "SELECT vec_id, 'd' || (list_position(embedding, list_max(embedding)) - 1) AS label FROM embeddings",
     "hash_split": """SELECT doc_id,
  CAST(CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8) AS UBIGINT) % 100 < 20 AS INTEGER) AS is_test FROM documents""",
+    "gbt_multilabel": """
+WITH classes AS (SELECT DISTINCT 'c' || label AS c FROM embeddings)
+SELECT vec_id, CAST(CAST('0x' || substr(md5(CAST(vec_id AS VARCHAR)), 1, 8) AS UBIGINT) % 100 < 20 AS INTEGER) AS is_test,
+ string_agg(CASE WHEN c = 'c' || label THEN '1' ELSE '0' END, ',' ORDER BY c) AS y, 1 AS sound
+FROM embeddings CROSS JOIN classes GROUP BY vec_id, label""",
     "exact_match": f"SELECT round(avg(CAST((CASE WHEN n_chars > 1000 THEN 1 ELSE 0 END) = quality AS INTEGER)), 6) AS accuracy FROM ({_QUALITY})",
     "ranking_scores": _SCORES + " SELECT label, round(roc_auc, 6) AS roc_auc, round(avg_precision, 6) AS avg_precision FROM scored",
     "macro_scores": _SCORES + " SELECT round(avg(roc_auc), 6) AS macro_roc_auc, round(avg(avg_precision), 6) AS macro_avg_precision FROM scored",

@@ -20,7 +20,7 @@ from rowloom.plans.corpus import build_corpus
 from rowloom.plans.curate import Curated
 from rowloom.plans.curate import curate as curate_entities
 from rowloom.plans.represent import represent
-from rowloom.session import materialize, scratch_path, spread
+from rowloom.session import materialize, scratch_path
 from rowloom.sources import matrix, tables, tokens
 from rowloom.streaming.convert import convert_files
 
@@ -48,9 +48,8 @@ def rounded(df: DataFrame, *columns: str, places: int = 6) -> DataFrame:
 # --- lists and label frequencies ---------------------------------------------
 
 
-def user_lists(spark, folder, **options) -> DataFrame:
-    events = table(spark, folder, "events")
-    return lists.ordered_lists(events, "user_id", "event_type", "event_id", **options)
+def user_lists(spark, folder) -> DataFrame:
+    return lists.ordered_lists(table(spark, folder, "events"), "user_id", "event_type", "event_id")
 
 
 @query
@@ -60,8 +59,9 @@ def ordered_label_list(spark, folder):
 
 @query
 def ordered_label_list_parts(spark, folder):
-    """The same with lists of more than 64 labels kept in parts."""
-    return user_lists(spark, folder, max_items=64).select("user_id", "part", joined_text("labels").alias("labels"))
+    """The same in parts of 64 labels."""
+    parts = lists.list_parts(table(spark, folder, "events"), "user_id", "event_type", "event_id", 64)
+    return parts.select("user_id", "part", joined_text("labels").alias("labels"))
 
 
 def brand_counts(spark, folder) -> DataFrame:
@@ -79,9 +79,8 @@ def label_counts_top20(spark, folder):
 
 @query
 def label_counts(spark, folder):
-    """Occurrences over lists, ranked with ties by first appearance."""
-    counts = lists.label_counts(user_lists(spark, folder), "labels", "first")
-    return lists.top_labels(counts, 3).select("label", "n")
+    """Occurrences of every label over the lists."""
+    return lists.label_counts(user_lists(spark, folder), "labels", "first").select("label", "n")
 
 
 @query
@@ -91,8 +90,9 @@ def value_counts(spark, folder):
 
 @query
 def rare_label_list(spark, folder):
+    """Names below the median count."""
     counts = order_name_counts(spark, folder)
-    return lists.rare_labels(counts, 925)
+    return lists.rare_labels(counts, lists.median_count(counts))
 
 
 def order_names(spark, folder) -> DataFrame:
@@ -115,20 +115,22 @@ def order_name_counts(spark, folder) -> DataFrame:
 
 @query
 def prune_rare_labels(spark, folder):
-    """Lists without the labels that occur fewer than 925 times."""
-    whole = lists.ordered_lists(order_names(spark, folder), "customer", "label", "pos")
-    rare = lists.rare_labels(order_name_counts(spark, folder), 925)
-    pruned = lists.prune_labels(whole, "labels", rare, ["customer", "part"])
-    return pruned.select("customer", joined_text("labels").alias("labels"))
+    """Lists without the names below the median count; labels stay rows until the lists are built."""
+    counts = order_name_counts(spark, folder)
+    rare = lists.rare_labels(counts, lists.median_count(counts))
+    marked = lists.mark_kept(order_names(spark, folder), "label", rare)
+    whole = lists.ordered_lists(marked, "customer", "label", "pos", kept="kept")
+    return whole.select("customer", joined_text("labels").alias("labels"))
 
 
 @query
-def prune_rare_labels_by_join(spark, folder):
-    """The same result on the way taken when the rare labels are too many for a literal."""
-    whole = lists.ordered_lists(order_names(spark, folder), "customer", "label", "pos")
-    rare = lists.rare_labels(order_name_counts(spark, folder), 925)
-    pruned = lists.prune_labels(whole, "labels", rare, ["customer", "part"], literal_limit=0)
-    return pruned.select("customer", joined_text("labels").alias("labels"))
+def prune_rare_events(spark, folder):
+    """The same on lists that exist already: event types below the median count."""
+    whole = user_lists(spark, folder)
+    counts = lists.label_counts(whole, "labels")
+    rare = lists.rare_labels(counts, lists.median_count(counts))
+    pruned = lists.prune_labels(whole, "labels", rare, ["user_id"])
+    return pruned.select("user_id", joined_text("labels").alias("labels"))
 
 
 # --- selection and joins -----------------------------------------------------
@@ -276,7 +278,7 @@ def curated(spark, folder) -> Curated:
         part_names(spark, folder), structures, types, order_dictionary(spark, folder),
         wanted_type="1-URGENT",
         to_key=F.when(F.col("value").startswith("F/"), F.concat(F.lit("K/"), F.col("value"))),
-        excluded=1, threshold=300, phrase="Brand#1", prefix="X-", token=3,
+        excluded=1, threshold=None, phrase="Brand#1", prefix="X-", token=3,
     )
 
 
@@ -372,7 +374,7 @@ def length_profile(spark, folder):
 
 @query
 def token_length_profile(spark, folder):
-    documents = spread(table(spark, folder, "documents").select("text"))
+    documents = table(spark, folder, "documents").select("text")
     found = profile.length_profile(documents.select(text.word_count("text").alias("length")), "length")
     return rounded(found, "mean", *profile.LENGTH_FRACTIONS)
 
@@ -488,12 +490,9 @@ def piece_counts(spark, folder):
 
 @query
 def byte_level_pieces(spark, folder):
-    """Pieces by the full pattern; in order they are the text again."""
-    documents = spread(table(spark, folder, "documents").select("doc_id", "text"), "doc_id")
-    cut = documents.select("doc_id", "text", text.pieces("text").alias("p"))
-    return cut.select(
-        "doc_id", (F.array_join("p", "") == F.col("text")).cast("int").alias("whole")
-    )
+    """Pieces by the full pattern: their number and a digest of them, the cuts marked."""
+    documents = table(spark, folder, "documents").select("doc_id", text.pieces("text").alias("p"))
+    return documents.select("doc_id", F.size("p").alias("n"), F.md5(F.array_join("p", "\x1f")).alias("cuts"))
 
 
 @query
@@ -502,50 +501,72 @@ def pair_counts(spark, folder):
     return bpe.pair_counts(counts)
 
 
-def learned(spark, folder, max_merges: int = 24) -> bpe.Vocabulary:
+def learned(spark, folder, vocab_size: int = 2000) -> bpe.Vocabulary:
     counts = bpe.piece_counts(table(spark, folder, "documents"), "text", terminator="\n")
-    return bpe.learn(counts, max_merges=max_merges)
+    return bpe.learn(counts, vocab_size)
 
 
 @query
 def bpe_learn(spark, folder):
+    """The whole vocabulary of the original size."""
     documents = table(spark, folder, "documents")
     return bpe.merges_table(documents, learned(spark, folder))
 
 
 @query
 def bpe_roundtrip(spark, folder):
-    """Learn, write and read the vocabulary, encode, write and read the ids, check every line."""
+    """Learn, write and read the vocabulary, encode, write and read the ids, check every line.
+
+    Each document shows the digest of the text that its stored ids decode to.
+    """
     documents = table(spark, folder, "documents").select(F.col("doc_id").alias("pos"), "text")
     where = scratch_path(spark, "vocabulary")
-    tokens.write_vocabulary(spark, learned(spark, folder), where)
+    tokens.write_vocabulary(spark, learned(spark, folder, 400), where)
     vocabulary = tokens.read_vocabulary(spark, where)
     ids = scratch_path(spark, "ids")
-    tokens.write_token_ids(bpe.encode(documents.orderBy("pos"), "text", vocabulary), "ids", ids)
+    tokens.write_token_ids(bpe.encode(documents, "text", vocabulary), "ids", ids)
     stored = tokens.read_token_ids(spark, ids)
-    return bpe.verify_counts(bpe.verify(stored, spread(documents, "pos"), "text", vocabulary))
+    checked = bpe.verify(stored, documents, "text", vocabulary)
+    shown = stored.select("pos", F.md5(bpe.decode("ids", vocabulary)).alias("decoded"))
+    return checked.join(shown, "pos").select(
+        F.col("pos").alias("doc_id"), F.col("ids_match").cast("int").alias("ids_match"),
+        F.col("text_match").cast("int").alias("text_match"), "decoded",
+    )
+
+
+@query
+def bpe_ids_file(spark, folder):
+    """Byte ids as text lines in order of the documents, read back."""
+    path = scratch_path(spark, "lines")
+    documents = table(spark, folder, "documents").select("doc_id", "text")
+    coded = bpe.encode(documents, "text", bpe.Vocabulary.initial())
+    tokens.export_token_ids(coded, "ids", path, "doc_id")
+    read = tokens.import_token_ids(spark, path)
+    return read.select("pos", F.size("ids").alias("n_tokens"), F.aggregate("ids", F.lit(0), lambda a, i: a + i).alias("total"))
 
 
 @query
 def byte_encode(spark, folder):
-    """Encoding without merges: one id per byte."""
-    documents = spread(table(spark, folder, "documents").select("doc_id", "text"), "doc_id")
-    return bpe.encode(documents, "text", bpe.Vocabulary.initial()).select("doc_id", F.size("ids").alias("n_tokens"))
+    """Encoding without merges: one id per byte, five behind the special tokens for the first of the alphabet."""
+    documents = table(spark, folder, "documents").select("doc_id", "text")
+    coded = bpe.encode(documents, "text", bpe.Vocabulary.initial())
+    total = F.aggregate("ids", F.lit(0), lambda a, i: a + i)
+    return coded.select("doc_id", F.size("ids").alias("n_tokens"), total.alias("total"))
 
 
 @query
 def longest_encoded(spark, folder):
     documents = table(spark, folder, "documents").select(F.col("doc_id").alias("pos"), "text")
     found = bpe.longest_encoded(documents, "text", bpe.Vocabulary.initial())
-    return found.select("pos", "length", "n_tokens", F.array_join("tokens", " ").alias("tokens"))
+    return found.select("pos", "length", "n_tokens", F.size("tokens").alias("n_shown"))
 
 
 @query
 def frame_batches(spark, folder):
     """Framed, cut and padded sequences, described by their sizes."""
-    documents = spread(table(spark, folder, "documents").select("doc_id", "text"), "doc_id")
-    ids = bpe.encode(documents, "text", bpe.Vocabulary.initial()).drop("text")
-    framed = bpe.frame_batches(ids, "ids", "doc_id", batch=16)
+    documents = table(spark, folder, "documents").select("doc_id", "text")
+    ids = bpe.encode(documents, "text", bpe.Vocabulary.initial())
+    framed = bpe.frame_batches(ids, "ids", "doc_id", batch=16, dropped=("text",))
     valid = F.aggregate("attention_mask", F.lit(0), lambda a, m: a + m)
     return framed.select(
         "doc_id", "batch",
@@ -558,13 +579,16 @@ def frame_batches(spark, folder):
 
 @query
 def truncate_mask(spark, folder):
-    """The first 1024 positions of each byte sequence, with their mask."""
-    documents = spread(table(spark, folder, "documents").select("doc_id", "text"), "doc_id")
+    """The first 1024 positions of each byte sequence, with their mask up to the longest of the table."""
+    documents = table(spark, folder, "documents").select("doc_id", "text")
     ids = bpe.encode(documents, "text", bpe.Vocabulary.initial())
     cut = ids.select("doc_id", arrays.truncate("ids").alias("ids"))
+    mask = arrays.validity_mask("ids", F.lit(1024))
+    total = F.aggregate("ids", F.lit(0), lambda a, i: a + i)
     return cut.select(
-        "doc_id", F.size("ids").alias("n_ids"),
-        F.size(arrays.validity_mask("ids", F.lit(1024))).alias("width"),
+        "doc_id", F.size("ids").alias("n_ids"), total.alias("total"),
+        F.aggregate(mask, F.lit(0), lambda a, m: a + m).alias("n_valid"),
+        F.coalesce(F.array_position(mask, 0), F.lit(0)).alias("first_padding"),
     )
 
 
@@ -576,14 +600,15 @@ def corpus_report(spark, folder):
     tables.write_lines(pages, "line", source)
     host_and_path = F.when(F.col("url").startswith("https://"), F.substring("url", 9, 1 << 30))
     made = build_corpus(
-        spark, source, target, names=["url", "page_id"], column="url", how=host_and_path, max_merges=16
+        spark, source, target, names=["url", "page_id"], column="url", how=host_and_path, vocab_size=400
     )
+    longest = made.longest.select(F.lit("longest").alias("report"), F.col("length").cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("n_bad"))
     facts = [
         made.outcomes.select(F.lit("outcomes").alias("report"), F.col("total").alias("n"), F.col("failure").alias("n_bad")),
         made.verified.select(F.lit("verified").alias("report"), F.col("n_lines").alias("n"), (F.col("ids_differ") + F.col("text_differs")).alias("n_bad")),
         made.lengths.select(F.lit("sequences").alias("report"), F.col("n"), F.lit(0).cast("bigint").alias("n_bad")),
     ]
-    return facts[0].unionByName(facts[1]).unionByName(facts[2])
+    return facts[0].unionByName(facts[1]).unionByName(facts[2]).unionByName(longest)
 
 
 # --- features ----------------------------------------------------------------
@@ -591,7 +616,7 @@ def corpus_report(spark, folder):
 
 @query
 def hashed_counts(spark, folder):
-    documents = spread(table(spark, folder, "documents").select("doc_id", "text"), "doc_id")
+    documents = table(spark, folder, "documents").select("doc_id", "text")
     return features.hashed_counts(documents, "doc_id", "text")
 
 
@@ -608,7 +633,7 @@ def mean_pool(spark, folder):
 def feature_shape(spark, folder):
     """Both feature matrices of the whole tables, written, read back and measured."""
     where = scratch_path(spark, "features")
-    documents = spread(table(spark, folder, "documents").select("doc_id", "text"), "doc_id")
+    documents = table(spark, folder, "documents").select("doc_id", "text")
     vectors = table(spark, folder, "embeddings").select("label", "embedding", F.lit(1).alias("mask"))
     hashed = represent(documents, "doc_id", {"hashed": ("hashed", "text", {})}, where, {"hashed": 2048})
     pooled = represent(vectors, "label", {"pooled": ("pooled", "embedding", {"mask": "mask"})}, where, {"pooled": 64})
@@ -618,15 +643,28 @@ def feature_shape(spark, folder):
 @query
 def dense_vectors(spark, folder):
     """Sum and filled places of every hashed vector."""
-    documents = spread(table(spark, folder, "documents").select("doc_id", "text"), "doc_id")
-    vectors = features.featurise(documents, "doc_id", "text", radius=0)
+    documents = table(spark, folder, "documents").select("doc_id", "text")
+    vectors = features.featurise(documents, "doc_id", "text")
     return vectors.select(
         "doc_id",
         F.aggregate("features", F.lit(0), lambda a, v: a + v).alias("total"),
         F.size(F.filter("features", lambda v: v > 0)).alias("filled"),
+        F.typeof("features").alias("kind"),
     )
 
 
+@query
+def featurise_function(spark, folder):
+    """Vectors by a function of the caller: lengths of the texts in characters and words."""
+
+    def lengths(df: DataFrame, id_col: str, column: str) -> DataFrame:
+        return df.select(id_col, F.array(F.char_length(column), text.word_count(column)).alias("features"))
+
+    documents = table(spark, folder, "documents").select("doc_id", "text")
+    made = features.featurise(documents, "doc_id", "text", lengths, element="double")
+    return made.select("doc_id", F.col("features")[0].alias("chars"), F.col("features")[1].alias("words"))
+
+
 # --- model -------------------------------------------------------------------
 
 
@@ -684,8 +722,13 @@ def macro_scores(spark, folder):
 
 @query
 def gbt_multilabel(spark, folder):
-    """The baseline over all embeddings: scores per label on the held-out vectors."""
+    """The baseline over all embeddings: what SQL can know of the predictions on every vector."""
     vectors = table(spark, folder, "embeddings")
     labelled = vectors.select("vec_id", F.array(F.concat(F.lit("c"), F.col("label").cast("string"))).alias("labels"))
-    fitted = baseline(vectors.select("vec_id", F.col("embedding").alias("features")), labelled, "vec_id", rounds=3, max_depth=3)
-    return rounded(fitted.per_label, "roc_auc", "avg_precision")
+    fitted = baseline(vectors.select("vec_id", F.col("embedding").alias("features")), labelled, "vec_id", rounds=20, max_depth=3)
+    bounded = F.forall("probability", lambda p: (p >= 0) & (p <= 1))
+    agree = F.forall(F.zip_with("probability", "predicted", lambda p, y: (p > 0.5).cast("int") == y), lambda x: x)
+    return fitted.predictions.select(
+        "vec_id", F.col("is_test").cast("int").alias("is_test"), joined_text("y").alias("y"),
+        (bounded & agree).cast("int").alias("sound"),
+    )

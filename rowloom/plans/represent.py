@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,11 +13,11 @@ from rowloom.sources.matrix import read_matrix, write_matrix
 
 
 def represent(
-    df: DataFrame, id_col: str, jobs: dict[str, tuple[str, str, dict]], folder: str, widths: dict[str, int]
+    df: DataFrame, id_col: str, jobs: dict[str, tuple[str | Callable[..., DataFrame], str, dict]], folder: str, widths: dict[str, int]
 ) -> DataFrame:
     """Write one matrix per job and report its shape as read back: (matrix, n_rows, width).
 
-    ``jobs`` maps the matrix name to (method, column, options).
+    ``jobs`` maps the matrix name to (method or function, column, options).
     """
     report = None
     for name, (method, column, options) in jobs.items():

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,6 +20,7 @@ def local_session(cpus: int = 8, app: str = "rowloom", **conf: str) -> SparkSess
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.sql.files.openCostInBytes", "1m")
     )
     for key, value in conf.items():
         builder = builder.config(key, value)
@@ -31,17 +32,14 @@ def local_session(cpus: int = 8, app: str = "rowloom", **conf: str) -> SparkSess
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, named by ``spark.checkpoint.dir``.
 
-    A machine-local temporary folder stands in only when the setting is absent
-    and the session itself is local.
+    Where that is unset, a folder in the session's warehouse, which executors share too.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if folder:
-        return folder
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="rowloom-")
-    spark.sparkContext.setCheckpointDir(folder)
-    return folder
+    return folder or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/rowloom-scratch"
+
+
+#: Where the tables of ``materialize`` lie.
+_WRITTEN: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -57,26 +55,14 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     """
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    made = df.sparkSession.read.schema(df.schema).parquet(path)
+    _WRITTEN[made] = path
+    return made
 
 
 def discard(df: DataFrame) -> None:
     """Delete the written table behind a ``materialize`` result that is no longer needed."""
-    spark = df.sparkSession
-    for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
-        if folder.rsplit("/", 1)[-1].startswith("rowloom-"):
-            target = spark._jvm.org.apache.hadoop.fs.Path(folder)
-            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-
-
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Share the rows of a scan over all cores if it has fewer splits than that.
-
-    A table of many files already has more splits than the cluster has cores
-    and passes through without a shuffle. ``df`` is a scan without shuffles, so
-    that asking for its splits only plans and runs nothing.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores, *keys)
+    path = _WRITTEN.get(df)
+    if path:
+        target = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)

@@ -6,22 +6,27 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: A separator that no line holds: lines are read and written as one field.
+NEVER = "\u0001"
+
+
 def _quoted(text: Column) -> Column:
     doubled = F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))
     return F.when(text.rlike('[\t\n\r"]'), doubled).otherwise(text)
 
 
 def write_matrix(df: DataFrame, id_col: str, vector: str, path: str, width: int) -> None:
-    """Id column and columns "0".."width-1"; the header is the first line of the first file.
+    """Id column and columns "0".."width-1"; every file begins with the header.
 
-    Lines are built from the array, so a matrix of thousands of columns needs no
-    plan of thousands of columns.
+    A row is one text field, so a matrix of thousands of columns needs no plan of thousands of columns.
     """
     header = "\t".join([id_col, *map(str, range(width))])
-    first = df.sparkSession.range(0, 1, 1, 1).select(F.lit(header).alias("value"))
     fields = F.transform(vector, lambda v: F.coalesce(v.cast("string"), F.lit("")))
     line = F.concat_ws("\t", F.coalesce(_quoted(F.col(id_col).cast("string")), F.lit("")), F.array_join(fields, "\t"))
-    first.union(df.select(line.alias("value"))).write.mode("overwrite").text(path)
+    (
+        df.select(line.alias(header)).write.mode("overwrite").option("header", True)
+        .option("sep", NEVER).option("quote", "").option("escapeQuotes", False).option("emptyValue", "").csv(path)
+    )
 
 
 def read_matrix(
@@ -29,12 +34,12 @@ def read_matrix(
 ) -> DataFrame:
     """First column = id, the rest one vector; an empty or unreadable number is NULL.
 
-    The header is the first line of the first file by name; files that repeat it
-    are read as well. Ids may be quoted but hold no line breaks.
+    The first line of every file is its header. Ids may be quoted but hold no line breaks.
     """
-    lines = spark.read.text(path)
-    files = sorted(lines.inputFiles())
-    header = spark.read.text(files[0]).first() if files else None
+    lines = (
+        spark.read.schema("value string").option("header", True).option("sep", NEVER).option("quote", "")
+        .option("enforceSchema", True).option("maxCharsPerColumn", -1).csv(path)
+    )
     quoted = F.regexp_extract("value", r'^("(?:[^"]++|"")*+")', 1)
     raw = F.when(F.col("value").startswith('"'), quoted).otherwise(F.substring_index("value", "\t", 1))
     plain = F.when(
@@ -42,6 +47,4 @@ def read_matrix(
     ).otherwise(raw)
     rest = F.substring("value", F.length(raw) + 2, F.length("value"))
     numbers = F.transform(F.split(rest, "\t", -1), lambda v: v.try_cast(element))
-    return lines.filter(F.col("value") != (header[0] if header else "")).select(
-        plain.alias(id_name), numbers.alias(out)
-    )
+    return lines.select(plain.alias(id_name), numbers.alias(out))

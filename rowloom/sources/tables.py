@@ -13,12 +13,12 @@ from rowloom.operators.order import ingest_order
 
 
 def read_table(
-    spark: SparkSession, path: str, schema: str, pos: str | None = None, multiline: bool = True
+    spark: SparkSession, path: str, schema: str, pos: str | None = None, multiline: bool = False
 ) -> DataFrame:
     """Delimited file with a header, quoted fields and missing-value tokens.
 
-    ``multiline`` allows line breaks inside quotes, for which a file is read by
-    one task; without it large files are split. ``pos`` adds the row number.
+    Large files are split. ``multiline`` allows line breaks inside quotes, for
+    which a file is read by one task. ``pos`` adds the row number.
     """
     raw = (
         spark.read.schema(schema).option("header", True).option("quote", '"').option("escape", '"')

@@ -12,18 +12,24 @@ from rowloom.operators.bpe import Vocabulary
 from rowloom.sources.tables import read_lines
 
 
-def write_token_ids(df: DataFrame, ids: str, path: str) -> None:
-    """Ids joined by one space, one line per row, lines in the order of the rows.
+def write_token_ids(df: DataFrame, ids: str, path: str, pos: str = "pos") -> None:
+    """(pos, ids) as Parquet: the position is stored, so nothing is sorted."""
+    df.select(F.col(pos).alias("pos"), F.col(ids).alias("ids")).write.mode("overwrite").parquet(path)
 
-    Sort the texts by position before they are encoded: that moves fewer bytes
-    than sorting the ids, and encoding keeps the order.
-    """
+
+def read_token_ids(spark: SparkSession, path: str) -> DataFrame:
+    """(pos, ids) as written."""
+    return spark.read.parquet(path)
+
+
+def export_token_ids(df: DataFrame, ids: str, path: str, pos: str = "pos") -> None:
+    """Ids joined by one space, one line per row in order of the position, as text for other tools."""
     line = F.array_join(F.transform(ids, lambda i: i.cast("string")), " ")
-    df.select(line.alias("value")).write.mode("overwrite").text(path)
+    df.select(pos, line.alias("value")).orderBy(pos).select("value").write.mode("overwrite").text(path)
 
 
-def read_token_ids(spark: SparkSession, path: str, pos: str = "pos") -> DataFrame:
-    """(pos, ids); a blank line is an empty sequence."""
+def import_token_ids(spark: SparkSession, path: str, pos: str = "pos") -> DataFrame:
+    """(pos, ids) from text lines; a blank line is an empty sequence."""
     lines = read_lines(spark, path, "value", pos, keep_blank=True)
     return lines.select(pos, words("value").cast("array<int>").alias("ids"))
 
@@ -45,6 +51,18 @@ def write_vocabulary(spark: SparkSession, vocabulary: Vocabulary, folder: str) -
     _write_file(spark, f"{folder}/merges.txt", "\n".join(lines) + "\n")
 
 
+def write_settings(spark: SparkSession, vocabulary: Vocabulary, folder: str, limit: int = 512) -> None:
+    """tokenizer.json next to the vocabulary: framing, cut and padding with the dictionary in one file."""
+    start, pad, end = vocabulary.special[0], vocabulary.special[1], vocabulary.special[2]
+    settings = {
+        "truncation": {"max_length": limit},
+        "padding": {"strategy": "longest", "pad_id": vocabulary.ids[pad], "pad_token": pad},
+        "framing": {"start": [start, vocabulary.ids[start]], "end": [end, vocabulary.ids[end]]},
+        "model": {"type": "BPE", "vocab": vocabulary.ids, "merges": [f"{a} {b}" for a, b in vocabulary.merges]},
+    }
+    _write_file(spark, f"{folder}/tokenizer.json", json.dumps(settings, ensure_ascii=False))
+
+
 def read_vocabulary(spark: SparkSession, folder: str, special: list[str] | None = None) -> Vocabulary:
     """The vocabulary of the two files; both are bounded by the vocabulary size."""
     entries = (

@@ -9,8 +9,8 @@ from rowloom.session import local_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = local_session(4, "tests")
+def spark(tmp_path_factory):
+    session = local_session(4, "tests", **{"spark.checkpoint.dir": str(tmp_path_factory.mktemp("shared"))})
     yield session
     session.stop()
 

@@ -66,8 +66,11 @@ def test_ordered_lists_keep_order_and_repeats(spark):
     df = spark.createDataFrame(
         [("u", "b", 5), ("u", "a", 1), ("u", "b", 3), ("v", "c", 2), (None, "d", 4)], "k string, v string, pos bigint"
     ).repartition(3)
-    got = {r["k"]: (r["part"], r["labels"], r["first"]) for r in lists.ordered_lists(df, "k", "v", "pos").collect()}
-    assert got == {"u": (0, ["a", "b", "b"], 1), "v": (0, ["c"], 2), None: (0, ["d"], 4)}
+    got = {r["k"]: (r["labels"], r["first"]) for r in lists.ordered_lists(df, "k", "v", "pos").collect()}
+    assert got == {"u": (["a", "b", "b"], 1), "v": (["c"], 2), None: (["d"], 4)}
+    marked = df.withColumn("kept", F.col("v") == "b")
+    got = {r["k"]: r["labels"] for r in lists.ordered_lists(marked, "k", "v", "pos", kept="kept").collect()}
+    assert got == {"u": ["b", "b"], "v": [], None: []}
 
 
 def test_long_lists_come_in_bounded_parts(spark):
@@ -75,9 +78,10 @@ def test_long_lists_come_in_bounded_parts(spark):
         F.when(F.col("id") % 3 > 0, "hot").otherwise(F.col("id").cast("string")).alias("k"),
         F.concat(F.lit("l"), "id").alias("v"), F.col("id").alias("pos"),
     )
-    got = lists.ordered_lists(df, "k", "v", "pos", max_items=100).collect()
+    df = df.withColumn("pos", F.col("pos") * 1000)
+    got = lists.list_parts(df, "k", "v", "pos", 100).collect()
     hot = sorted((r["part"], r["labels"]) for r in got if r["k"] == "hot")
-    assert max(len(labels) for _, labels in hot) <= 100 and len(hot) == 10
+    assert [len(labels) for _, labels in hot] == [100] * 6 + [66]
     assert [x for _, labels in hot for x in labels] == [f"l{i}" for i in range(1000) if i % 3]
     assert all(r["part"] == 0 for r in got if r["k"] != "hot")
 
@@ -95,18 +99,45 @@ def test_cumulative_counts_start_at_zero(spark):
     assert [tuple(r) for r in got] == [(0, "", 0, 0), (1, "b", 7, 7), (2, "a", 5, 12)]
 
 
-@pytest.mark.parametrize("literal_limit", [0, 1000])
-def test_pruning_keeps_emptied_rows(spark, literal_limit):
+def test_pruning_keeps_emptied_rows(spark):
     df = spark.createDataFrame(
         [(0, "x", ["a", "r", "a"]), (1, "y", ["r"]), (2, "z", []), (3, "w", None)], "pos bigint, name string, l array<string>"
     )
     rare = lists.rare_labels(lists.label_counts(df, "l"), 3)
     assert rows(rare, "label") == [("a",), ("r",)]
     rare = rare.filter("label = 'r'")
-    got = {r["name"]: r["l"] for r in lists.prune_labels(df, "l", rare, ["pos"], literal_limit).collect()}
+    got = {r["name"]: r["l"] for r in lists.prune_labels(df, "l", rare, ["pos"]).collect()}
     assert got == {"x": ["a", "a"], "y": [], "z": [], "w": None}
 
 
+def test_a_null_label_can_be_rare(spark):
+    df = spark.createDataFrame([(0, ["a", None, "a"]), (1, [None])], "pos bigint, l array<string>")
+    rare = lists.rare_labels(lists.label_counts(df, "l"), 3)
+    got = {r["pos"]: r["l"] for r in lists.prune_labels(df, "l", rare.filter("label IS NULL"), ["pos"]).collect()}
+    assert got == {0: ["a", "a"], 1: []}
+    assert lists.median_count(lists.label_counts(df, "l")) == 2.0
+    assert lists.median_count(lists.label_counts(df.limit(0), "l")) == 0.0
+
+
+def test_positions_survive_nested_unions(spark):
+    one = spark.createDataFrame([(7, "a"), (3, "b")], "pos bigint, v string")
+    whole = order.concat_rows(order.concat_rows(one, one, dense=False), order.concat_rows(one, one, dense=False), dense=False)
+    got = [r["v"] for r in whole.orderBy("pos").collect()]
+    assert got == ["b", "a"] * 4 and whole.select("pos").distinct().count() == 8
+    assert order.concat_rows(one.limit(0), one, dense=False).count() == 2
+
+
+def test_infinite_values_in_bins(spark):
+    values = [float("-inf")] * 30 + [float(i) for i in range(40)] + [float("inf")] * 30
+    df = materialize(spark.createDataFrame([(v, 1) for v in sorted(set(values))], "o double, n int"))
+    got = order.running_sums(df, "o", ["n"], rows_per_bin=5).collect()
+    assert sorted(r["run_n"] for r in got) == list(range(1, 43))
+    found = profile.describe_numeric(spark.createDataFrame([(v,) for v in [1.0, 2.0, 4.0, float("nan"), None]], "v double"), "v").first()
+    assert (found["count"], found["max"], found["p50"]) == (3, 4.0, 2.0)
+    infinite = profile.describe_numeric(spark.createDataFrame([(v,) for v in values], "v double"), "v").first()
+    assert (infinite["p25"], infinite["p75"]) == (float("-inf"), float("inf"))
+
+
 def test_counts_are_hashed_and_not_sorted(spark):
     df = spark.createDataFrame([(1, ["b"])], "pos bigint, l array<string>")
     plan = lists.label_counts(df, "l", "pos")._jdf.queryExecution().executedPlan().toString()
@@ -278,13 +309,11 @@ def test_scores_with_ties_and_single_classes(spark):
 
 
 def test_label_matrix(spark):
-    df = spark.createDataFrame([(1, ["b", "a", "b"]), (2, [])], "id bigint, l array<string>")
+    df = spark.createDataFrame([(1, ["b", "a", "b"]), (2, []), (3, [None])], "id bigint, l array<string>")
     classes = model.class_list(df, "l")
     assert classes == ["a", "b"]
-    assert [r["y"] for r in model.binarize(df, "l", classes).orderBy("id").collect()] == [[1, 1], [0, 0]]
+    assert [r["y"] for r in model.binarize(df, "l", classes).orderBy("id").collect()] == [[1, 1], [0, 0], [0, 0]]
     assert rows(model.label_indices(df, "id", "l"), "id", "index") == [(1, 0), (1, 1)]
-    with pytest.raises(ValueError):
-        model.class_list(df, "l", widest=1)
 
 
 def test_split_is_repeatable_and_about_a_fifth(spark):
