@@ -49,7 +49,7 @@ def decontamination(spark: SparkSession, folder: str) -> DataFrame:
     found = decontaminate.scan(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
     return found.select(
         "doc_id", "n_words", F.size("hits").cast("bigint").alias("n_hit"), F.size("items").cast("bigint").alias("n_items"),
-        decontaminate.digest(F.col("items")).alias("items_sha256"), (F.size("hits") > 0).alias("contaminated"), "longest",
+        decontaminate.digest(F.col("items")).alias("items_sha256"), (F.size("hits") > 0).alias("contaminated"),
     )
 
 
