@@ -43,8 +43,17 @@ _WRITTEN: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A path nobody has used yet below the shared folder."""
-    return f"{shared_folder(spark)}/rowloom-{name}-{uuid.uuid4().hex}"
+    """A path nobody has used yet, below the application's own part of the shared folder.
+
+    That part is deleted when the application ends.
+    """
+    root = f"{shared_folder(spark)}/rowloom-{spark.sparkContext.applicationId}"
+    target = spark._jvm.org.apache.hadoop.fs.Path(root)
+    files = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(target):
+        files.mkdirs(target)
+        files.deleteOnExit(target)
+    return f"{root}/{name}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:
