@@ -9,7 +9,7 @@ import pytest
 import __spark_entry__ as contract
 import corpus_pipeline
 from rowloom.llm import lines, packing
-from test_operators import plain_components, plain_fingerprint, plain_windows
+from test_llm_operators import plain_components, plain_fingerprint, plain_windows
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, score double"
 
