@@ -121,6 +121,21 @@ def test_files_round_trip_and_every_line_is_verified(spark, corpus, vocabulary,
     assert shown == {4: "<s>#", 6: None}
 
 
+def test_settings_hold_the_dictionary_and_the_framing(spark, vocabulary, tmp_path):
+    tokens.write_settings(spark, vocabulary, str(tmp_path), limit=64)
+    read = json.loads((tmp_path / "tokenizer.json").read_text(encoding="utf-8"))
+    assert read["model"]["vocab"] == vocabulary.ids and len(read["model"]["merges"]) == len(vocabulary.merges)
+    assert read["truncation"] == {"max_length": 64} and read["framing"]["end"] == ["</s>", 2] and read["padding"]["pad_id"] == 1
+
+
+def test_ids_as_text_lines(spark, corpus, vocabulary, tmp_path):
+    coded = bpe.encode(corpus, "text", vocabulary)
+    tokens.export_token_ids(coded.repartition(3), "ids", str(tmp_path / "lines"))
+    read = tokens.import_token_ids(spark, str(tmp_path / "lines"))
+    wanted = [r["ids"] for r in coded.orderBy("pos").collect()]
+    assert [r["ids"] for r in read.orderBy("pos").collect()] == wanted
+
+
 def test_batches_are_padded_to_their_longest(spark, corpus, vocabulary):
     coded = bpe.encode(corpus, "text", vocabulary)
     framed = bpe.frame_batches(coded, "ids", batch=4, limit=16, dropped=("text",))
@@ -141,10 +156,21 @@ def test_loaded_merges_skip_the_version_line(spark, tmp_path):
 
 def test_table_reader_quotes_and_missing_tokens(spark, tmp_path):
     (tmp_path / "t.csv").write_text('id,names,v\n1,"a, ""b""",NA\n2,,3.5\n3,"line\nbreak",null\n', encoding="utf-8")
-    got = tables.read_table(spark, str(tmp_path / "t.csv"), "id bigint, names string, v double", pos="pos").orderBy("pos")
+    schema = "id bigint, names string, v double"
+    got = tables.read_table(spark, str(tmp_path / "t.csv"), schema, pos="pos", multiline=True).orderBy("pos")
     assert [tuple(r) for r in got.collect()] == [(1, 'a, "b"', None, 0), (2, None, 3.5, 1), (3, "line\nbreak", None, 2)]
 
 
+def test_tables_without_line_breaks_are_split(spark, tmp_path):
+    (tmp_path / "t.csv").write_text("id,names\n" + "".join(f"{i},n{i}\n" for i in range(20_000)))
+    read = tables.read_table(spark, str(tmp_path / "t.csv"), "id bigint, names string")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        assert read.select(F.spark_partition_id()).distinct().count() > 1 and read.count() == 20_000
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_headerless_reader_keeps_empties(spark, tmp_path):
     (tmp_path / "t.smi").write_text("C\tx\n\tNA\n\nCC\n")
     got = tables.read_headerless(spark, str(tmp_path / "t.smi"), ["s", "i"], pos="pos").orderBy("pos")
