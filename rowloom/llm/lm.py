@@ -32,6 +32,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import zlib
 from collections.abc import Iterator
 from itertools import pairwise
 
@@ -243,7 +244,8 @@ def score(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str =
     kind = rows.schema["doc_id"].dataType
     listed = T.StructType([
         T.StructField("block", T.BinaryType()), T.StructField("doc_id", T.ArrayType(kind)),
-        T.StructField("held_out", T.ArrayType(T.BooleanType())), T.StructField("text", T.ArrayType(T.StringType())),
+        T.StructField("held_out", T.ArrayType(T.BooleanType())), T.StructField("sizes", T.ArrayType(T.IntegerType())),
+        T.StructField("text", T.BinaryType()),
     ])
     held = T.StructType([
         T.StructField("doc_id", kind), T.StructField("held_out", T.BooleanType()), T.StructField("n_tokens", T.LongType()),
@@ -253,9 +255,14 @@ def score(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str =
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in chunks(batches, "text", block_bytes):
-            block = _block_id(piece, piece.column("text").cast(pa.binary()).to_pylist())
-            lists = [pa.array([piece.column(c).to_pylist()], pa.list_(piece.column(c).type)) for c in ("doc_id", "held_out", "text")]
-            yield pa.RecordBatch.from_arrays([pa.array([block], pa.binary()), *lists], names=["block", "doc_id", "held_out", "text"])
+            texts = piece.column("text").cast(pa.binary()).to_pylist()
+            lists = [pa.array([piece.column(c).to_pylist()], pa.list_(piece.column(c).type)) for c in ("doc_id", "held_out")]
+            sizes = [len(t or b"") for t in texts]
+            packed = zlib.compress(b"".join(t or b"" for t in texts), 1)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([_block_id(piece, texts)], pa.binary()), *lists, pa.array([sizes], pa.list_(pa.int32())), pa.array([packed], pa.binary())],
+                names=listed.names,
+            )
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out = {name: [] for name in held.names}
@@ -265,13 +272,14 @@ def score(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str =
         none = [np.zeros(0, dtype=np.int64)]
         counts = [np.concatenate([_counted(found[k][s]) for s in sorted(found[k])] or none) for k in range(order)]
         for row in left.to_pylist():
-            words, edges = tokens([None if t is None else t.encode() for t in row["text"]])
+            whole, ends = zlib.decompress(row["text"]), np.cumsum(row["sizes"]).tolist()
+            words, edges = tokens([whole[end - size : end] for size, end in zip(row["sizes"], ends, strict=True)])
             machine = Automaton(words, edges, order, counts, n, v, mass)
             out["doc_id"] += row["doc_id"]
             out["held_out"] += row["held_out"]
             out["n_tokens"] += np.diff(edges).tolist()
             out["n_known"] += machine.known.tolist()
-            out["train_tokens"] += [n] * len(row["text"])
+            out["train_tokens"] += [n] * len(row["sizes"])
             out["base_score"] += machine.base.tolist()
             out["score"] += machine.scores()
         types = [left.schema.field("doc_id").type.value_type, pa.bool_(), *[pa.int64()] * 3, *[pa.float64()] * 2]
