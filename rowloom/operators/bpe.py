@@ -450,13 +450,12 @@ def frame_batches(
 ) -> DataFrame:
     """Model input: framed, cut to ``limit``, padded to the longest of its batch; without ``ids`` and ``dropped``.
 
-    A batch is ``batch`` neighbouring positions. Only lengths are gathered to find
-    the widths, which then meet their rows; texts and uncut sequences stay where they are.
+    A batch is ``batch`` neighbouring positions, which bounds what one window holds.
+    What meets in it are cut sequences; uncut ones and ``dropped`` columns, such
+    as the text, do not go there.
     """
     framed = df.withColumn("batch", F.expr(f"`{pos}` div {batch}")).withColumn("_f", frame_ids(ids, limit, start, end))
-    sizes = df.select(F.expr(f"`{pos}` div {batch}").alias("batch"), F.least(F.size(ids), F.lit(limit - 2)).alias("_n"))
-    widths = sizes.groupBy("batch").agg((F.max("_n") + 2).alias("_w"))
-    width = framed.drop(ids, *dropped).join(widths, "batch")
+    width = framed.drop(ids, *dropped).withColumn("_w", F.max(F.size("_f")).over(Window.partitionBy("batch")))
     return width.withColumn("input_ids", pad_ids("_f", F.col("_w"), pad)).withColumn(
         "attention_mask", validity_mask("_f", F.col("_w"))
     ).drop("_f", "_w")
