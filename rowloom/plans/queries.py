@@ -506,6 +506,20 @@ def learned(spark, folder, vocab_size: int = 2000) -> bpe.Vocabulary:
     return bpe.learn(counts, vocab_size)
 
 
+#: Where the vocabularies of this run lie, by application and tables.
+_LEARNED: dict[tuple[str, str], str] = {}
+
+
+def shared_vocabulary(spark, folder) -> bpe.Vocabulary:
+    """The vocabulary of the original size, learned once per run, written, and read by every query that encodes with it."""
+    run = (spark.sparkContext.applicationId, folder)
+    if run not in _LEARNED:
+        where = scratch_path(spark, "vocabulary")
+        tokens.write_vocabulary(spark, learned(spark, folder), where)
+        _LEARNED[run] = where
+    return tokens.read_vocabulary(spark, _LEARNED[run])
+
+
 @query
 def bpe_learn(spark, folder):
     """The whole vocabulary of the original size."""
@@ -520,9 +534,7 @@ def bpe_roundtrip(spark, folder):
     Each document shows the digest of the text that its stored ids decode to.
     """
     documents = table(spark, folder, "documents").select(F.col("doc_id").alias("pos"), "text")
-    where = scratch_path(spark, "vocabulary")
-    tokens.write_vocabulary(spark, learned(spark, folder, 400), where)
-    vocabulary = tokens.read_vocabulary(spark, where)
+    vocabulary = shared_vocabulary(spark, folder)
     ids = scratch_path(spark, "ids")
     tokens.write_token_ids(bpe.encode(documents, "text", vocabulary), "ids", ids)
     stored = tokens.read_token_ids(spark, ids)
@@ -534,17 +546,27 @@ def bpe_roundtrip(spark, folder):
     )
 
 
-@query
-def bpe_ids_file(spark, folder):
-    """Byte ids as text lines in order of the documents, read back."""
+def ids_file(spark, folder, vocabulary: bpe.Vocabulary) -> DataFrame:
+    """Ids as text lines in order of the documents, read back."""
     path = scratch_path(spark, "lines")
     documents = table(spark, folder, "documents").select("doc_id", "text")
-    coded = bpe.encode(documents, "text", bpe.Vocabulary.initial())
+    coded = bpe.encode(documents, "text", vocabulary)
     tokens.export_token_ids(coded, "ids", path, "doc_id")
     read = tokens.import_token_ids(spark, path)
     return read.select("pos", F.size("ids").alias("n_tokens"), F.aggregate("ids", F.lit(0), lambda a, i: a + i).alias("total"))
 
 
+@query
+def bpe_ids_file(spark, folder):
+    """Byte ids in a file: what SQL can follow of ``learned_ids_file``."""
+    return ids_file(spark, folder, bpe.Vocabulary.initial())
+
+
+@query
+def learned_ids_file(spark, folder):
+    return ids_file(spark, folder, shared_vocabulary(spark, folder))
+
+
 @query
 def byte_encode(spark, folder):
     """Encoding without merges: one id per byte, five behind the special tokens for the first of the alphabet."""
@@ -554,18 +576,27 @@ def byte_encode(spark, folder):
     return coded.select("doc_id", F.size("ids").alias("n_tokens"), total.alias("total"))
 
 
+def longest_of(spark, folder, vocabulary: bpe.Vocabulary) -> DataFrame:
+    documents = table(spark, folder, "documents").select(F.col("doc_id").alias("pos"), "text")
+    return bpe.longest_encoded(documents, "text", vocabulary)
+
+
 @query
 def longest_encoded(spark, folder):
-    documents = table(spark, folder, "documents").select(F.col("doc_id").alias("pos"), "text")
-    found = bpe.longest_encoded(documents, "text", bpe.Vocabulary.initial())
+    """The longest text in bytes: what SQL can follow of ``learned_longest_encoded``."""
+    found = longest_of(spark, folder, bpe.Vocabulary.initial())
     return found.select("pos", "length", "n_tokens", F.size("tokens").alias("n_shown"))
 
 
 @query
-def frame_batches(spark, folder):
+def learned_longest_encoded(spark, folder):
+    return longest_of(spark, folder, shared_vocabulary(spark, folder))
+
+
+def framed_sizes(spark, folder, vocabulary: bpe.Vocabulary) -> DataFrame:
     """Framed, cut and padded sequences, described by their sizes."""
     documents = table(spark, folder, "documents").select("doc_id", "text")
-    ids = bpe.encode(documents, "text", bpe.Vocabulary.initial())
+    ids = bpe.encode(documents, "text", vocabulary)
     framed = bpe.frame_batches(ids, "ids", "doc_id", batch=16, dropped=("text",))
     valid = F.aggregate("attention_mask", F.lit(0), lambda a, m: a + m)
     return framed.select(
@@ -578,10 +609,20 @@ def frame_batches(spark, folder):
 
 
 @query
-def truncate_mask(spark, folder):
-    """The first 1024 positions of each byte sequence, with their mask up to the longest of the table."""
+def frame_batches(spark, folder):
+    """Framed bytes: what SQL can follow of ``learned_frame_batches``."""
+    return framed_sizes(spark, folder, bpe.Vocabulary.initial())
+
+
+@query
+def learned_frame_batches(spark, folder):
+    return framed_sizes(spark, folder, shared_vocabulary(spark, folder))
+
+
+def cut_masks(spark, folder, vocabulary: bpe.Vocabulary) -> DataFrame:
+    """The first 1024 positions of each sequence, with their mask up to the longest of the table."""
     documents = table(spark, folder, "documents").select("doc_id", "text")
-    ids = bpe.encode(documents, "text", bpe.Vocabulary.initial())
+    ids = bpe.encode(documents, "text", vocabulary)
     cut = ids.select("doc_id", arrays.truncate("ids").alias("ids"))
     mask = arrays.validity_mask("ids", F.lit(1024))
     total = F.aggregate("ids", F.lit(0), lambda a, i: a + i)
@@ -592,6 +633,17 @@ def truncate_mask(spark, folder):
     )
 
 
+@query
+def truncate_mask(spark, folder):
+    """Cut byte sequences: what SQL can follow of ``learned_truncate_mask``."""
+    return cut_masks(spark, folder, bpe.Vocabulary.initial())
+
+
+@query
+def learned_truncate_mask(spark, folder):
+    return cut_masks(spark, folder, shared_vocabulary(spark, folder))
+
+
 @query
 def corpus_report(spark, folder):
     """The whole corpus pipeline over page addresses; only secure ones can be converted."""
@@ -600,7 +652,7 @@ def corpus_report(spark, folder):
     tables.write_lines(pages, "line", source)
     host_and_path = F.when(F.col("url").startswith("https://"), F.substring("url", 9, 1 << 30))
     made = build_corpus(
-        spark, source, target, names=["url", "page_id"], column="url", how=host_and_path, vocab_size=400
+        spark, source, target, names=["url", "page_id"], column="url", how=host_and_path
     )
     longest = made.longest.select(F.lit("longest").alias("report"), F.col("length").cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("n_bad"))
     facts = [

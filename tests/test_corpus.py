@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rowloom.functions.text import pieces
 from rowloom.operators import bpe
+from rowloom.plans import queries
 from rowloom.sources import matrix, tables, tokens
 from rowloom.streaming.convert import convert_files
 
@@ -216,3 +217,26 @@ def test_stream_takes_up_new_files(spark, tmp_path):
     assert run() == ["A"]
     (tmp_path / "in" / "2.smi").write_text("b\t3\n")
     assert run() == ["A", "B"]
+
+
+def test_queries_encode_with_the_learned_vocabulary(spark, tmp_path, monkeypatch):
+    """Counts, cuts, masks and tokens of the learned queries against the library, on texts beyond both limits in bytes."""
+    tokenizers = pytest.importorskip("tokenizers")
+    texts = [f"the cat's hat {i % 7} and the dog's log, we'll see " * (i * 4) for i in range(1, 21)] + ["", "the hat"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    judge = tokenizers.ByteLevelBPETokenizer()
+    judge.train_from_iterator([t + "\n" for t in texts], vocab_size=2000, min_frequency=2, special_tokens=bpe.SPECIAL_TOKENS, show_progress=False)
+    want = {i: judge.encode(t) for i, t in enumerate(texts)}
+    asked, learn = [], bpe.learn
+    monkeypatch.setattr(bpe, "learn", lambda counts, size: asked.append(size) or learn(counts, size))
+    made = {name: queries.QUERIES[name](spark, str(tmp_path)).collect() for name in (
+        "learned_ids_file", "learned_longest_encoded", "learned_frame_batches", "learned_truncate_mask", "bpe_roundtrip")}
+    assert asked == [2000]
+    assert {r["pos"]: (r["n_tokens"], r["total"] or 0) for r in made["learned_ids_file"]} == {i: (len(w.ids), sum(w.ids)) for i, w in want.items()}
+    longest = made["learned_longest_encoded"][0]
+    assert (longest["pos"], longest["n_tokens"], list(longest["tokens"])) == (19, len(want[19].ids), want[19].tokens[:15])
+    assert {r["doc_id"]: r["n_valid"] for r in made["learned_frame_batches"]} == {i: min(len(w.ids), 510) + 2 for i, w in want.items()}
+    assert {r["doc_id"]: (r["n_valid"], r["total"]) for r in made["learned_truncate_mask"]} == {
+        i: (min(len(w.ids), 1024), sum(w.ids[:1024])) for i, w in want.items()}
+    assert all(r["ids_match"] and r["text_match"] for r in made["bpe_roundtrip"])
+    assert len(want[5].ids) < 510 < len(texts[5])
