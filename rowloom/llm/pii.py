@@ -8,8 +8,12 @@ reaches ``least`` is kept. The four base kinds pass by their test alone; the kin
 that the method adds are bank accounts (mod 97), which pass by their checksum, and
 national numbers, which pass by a context word only.
 
-Only DataFrame functions are used. Patterns are written without backtracking, so a very
-long text costs time in proportion to its length; they match what the plain forms in the
+A bank account number has the length of its country, so that words, codes and digits behind it are not
+taken for a part of it; where the country has no known length, the longest run of whole words that leaves 1 is
+taken. Accounts are proposed at every place where one can start; of those that overlap the first is kept.
+
+Only DataFrame functions are used. Patterns are written without unbounded backtracking, so a very
+long text costs time in proportion to its length; those of the base kinds match what the plain forms in the
 comments match.
 
 Defined results: a null or empty text has no spans; matches of one kind do not overlap, spans of different
@@ -39,6 +43,8 @@ class Kind:
     needs: str | None
     score: float
     context: tuple[str, ...]
+    #: Whether the pattern takes the first character only and has the match as its group, so that matches may overlap.
+    ahead: bool = False
 
 
 # Kinds in the order of results, with their patterns.
@@ -52,8 +58,20 @@ BASE = (
     # \+[0-9][\x20().0-9-]+[0-9]
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "+", 0.6, ("phone", "call", "tel", "mobile", "fax")),
 )
+# Characters of an account number by country.
+ACCOUNT_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL SD FK", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK",
+    21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA",
+    30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+_COUNTRIES = "|".join(code for codes in ACCOUNT_LENGTHS.values() for code in codes.split(" "))
+_ACCOUNT = "|".join(
+    [rf"(?:{codes.replace(' ', '|')})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}" for n, codes in ACCOUNT_LENGTHS.items()]
+    + [rf"(?!{_COUNTRIES})[A-Z]{{2}}[0-9]{{2}}(?:\x20?[A-Z0-9]){{11,30}}"]
+)
 ADDED = (
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])", None, 0.8, ("iban", "account", "bank", "konto")),
+    Kind("iban", rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?=((?:{_ACCOUNT})(?![A-Za-z0-9])))[A-Z]", None, 0.8, ("iban", "account", "bank", "konto"), True),
     Kind("national", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "-", 0.4, ("ssn", "social security", "national id")),
 )
 
@@ -79,6 +97,19 @@ def mod97(account: Column) -> Column:
     return F.aggregate(F.split(turned, ""), F.lit(0), step) == 1
 
 
+def account(match: Column) -> Column:
+    """The account number that a match begins with; NULL if there is none."""
+
+    def passes(number: Column) -> Column:
+        compact = F.replace(number, F.lit(" "), F.lit(""))
+        return (F.length(compact) >= 15) & mod97(compact)
+
+    words = F.split(match, " ")
+    ends = F.transform(F.sequence(F.lit(1), F.size(words)), lambda n: F.array_join(F.slice(words, 1, n), " "))
+    other = F.try_element_at(F.filter(ends, passes), F.lit(-1))
+    return F.when(match.rlike(rf"\A(?:{_COUNTRIES})"), F.when(passes(match), match)).otherwise(other)
+
+
 def confirmed(kind: str, match: Column) -> Column:
     """Whether a match of the pattern is one of its kind."""
     if kind == "ip":
@@ -88,19 +119,36 @@ def confirmed(kind: str, match: Column) -> Column:
         return luhn(_digits(match))
     if kind == "phone":
         return F.length(_digits(match)).between(8, 15)
-    if kind == "iban":
-        return mod97(F.replace(match, F.lit(" "), F.lit("")))
     return F.lit(True)
 
 
 def _found(text: Column, kind: Kind) -> Column:
     """Matches of a pattern; an empty list where the text lacks the characters every match has."""
-    matches = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
+    matches = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(int(kind.ahead)))
     if kind.needs is None:
         return matches
     return F.when(F.contains(text, F.lit(kind.needs)), matches).otherwise(F.array().cast("array<string>"))
 
 
+def _account_span(s: Column) -> Column:
+    match = account(s["match"])
+    return F.struct(s["start"], (s["start"] + F.length(match)).alias("stop"), match.alias("match"), s["before"])
+
+
+def _apart(spans: Column, none: Column) -> Column:
+    """The spans that have a match, in order, without those that overlap one kept before."""
+    found = F.filter(spans, lambda s: s["match"].isNotNull())
+    nexts = F.slice(found, 2, F.greatest(F.size(found), F.lit(1)))
+    overlap = F.exists(F.zip_with(found, nexts, lambda a, b: b["start"] < a["stop"]), lambda x: F.coalesce(x, F.lit(False)))
+    first = F.struct(F.lit(0).alias("at"), none.alias("spans"))
+
+    def step(state: Column, s: Column) -> Column:
+        kept = F.struct(s["stop"].alias("at"), F.concat(state["spans"], F.array(s)).alias("spans"))
+        return F.when(s["start"] < state["at"], state).otherwise(kept)
+
+    return F.when(overlap, F.aggregate(found, first, step, lambda state: state["spans"])).otherwise(found)
+
+
 def _placed(text: Column, matches: Column, kind: Kind, near: int, least: float) -> Column:
     """Confirmed spans (start, stop, match, score) of the matches, in order.
 
@@ -111,7 +159,8 @@ def _placed(text: Column, matches: Column, kind: Kind, near: int, least: float)
 
     def piece(gap: Column, match: Column) -> Column:
         before = F.lower(F.substring(gap, -near, near))
-        return F.struct(F.length(gap).alias("gap"), F.length(match).alias("length"), match.alias("match"), before.alias("before"))
+        taken = F.when(match.isNotNull(), 1) if kind.ahead else F.length(match)
+        return F.struct(F.length(gap).alias("gap"), taken.alias("length"), match.alias("match"), before.alias("before"))
 
     pieces = F.filter(F.zip_with(gaps, matches, piece), lambda x: x["match"].isNotNull())
     runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(matches) - 1) / RUN).cast("int")), lambda i: F.slice(pieces, i * RUN + 1, RUN))
@@ -130,7 +179,8 @@ def _placed(text: Column, matches: Column, kind: Kind, near: int, least: float)
 
     paired = F.zip_with(runs, F.slice(begins, 1, F.size(matches)), lambda run, begin: F.struct(run.alias("run"), begin.alias("begin")))
     paired = F.filter(paired, lambda x: x["run"].isNotNull())
-    spans = F.filter(F.flatten(F.transform(paired, walk)), lambda s: confirmed(kind.name, s["match"]))
+    spans = F.flatten(F.transform(paired, walk))
+    spans = _apart(F.transform(spans, _account_span), none) if kind.ahead else F.filter(spans, lambda s: confirmed(kind.name, s["match"]))
     words = "|".join(kind.context)
 
     def scored(s: Column) -> Column:

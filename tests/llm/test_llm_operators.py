@@ -386,6 +386,25 @@ def test_added_spans_and_scores(spark):
     assert masked[1] == "my bank account <iban>." and masked[5] == "mail to <email>" and masked[6] is None and masked[7] == "x"
 
 
+def test_accounts_before_capitals_and_digits(spark):
+    def checked(country, rest):
+        turned = "".join(str(int(c, 36)) for c in rest + country + "00")
+        return f"{country}{98 - int(turned) % 97:02d}{rest}"
+
+    plain, spaced, other = "DE89370400440532013000", "DE89 3704 0044 0532 0130 00", checked("QQ", "12345678901234")
+    cases = [
+        (f"pay to {plain} Please confirm", [plain]), (f"{spaced} BIC COBADEFF", [spaced]), (f"{plain} 2024 {spaced}", [plain, spaced]),
+        (f"NO12 345 {spaced} X", [spaced]), (f"{spaced} {spaced}", [spaced, spaced]), (f"{plain}X {plain}0 A{plain}", []),
+        ("GB82 WEST 1234 5698 7654 32 AND MORE", ["GB82 WEST 1234 5698 7654 32"]), (f"é😀 {plain} A1", [plain]),
+        (f"{other} ABC", [other]), (plain[:-1] + "1 Please", []), (f"{plain} {checked('NO', '86011117947')} " * 400, [plain, checked("NO", "86011117947")] * 400),
+    ]
+    found = {r["doc_id"]: r for r in pii.spans(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], DOCS)).collect()}
+    for i, (text, wanted) in enumerate(cases):
+        assert [s["match"] for s in found[i]["pii_iban"]] == wanted, text[:80]
+        assert all(text[s["start"] : s["stop"]] == s["match"] for s in found[i]["pii_iban"])
+        assert all(a["stop"] <= b["start"] for a, b in zip(found[i]["pii_iban"], found[i]["pii_iban"][1:]))
+
+
 # -- decontamination
 
 def plain_windows(docs, items, window=10):
