@@ -3,8 +3,8 @@
 A kind has a pattern, a test and a base score. The places of the matches come
 from cutting the text at the same pattern: the lengths of what lies between the
 matches and of the matches themselves add up to code point positions. A span whose
-score, raised by a context word of its kind in the ``NEAR`` code points before it and after the last match of its kind,
-reaches ``least`` is kept. The four base kinds pass by their test alone; the kinds
+score, raised by a context word of its kind in the ``NEAR`` code points of the text before or behind it,
+reaches ``least`` is kept; one word serves all spans near it. The four base kinds pass by their test alone; the kinds
 that the method adds are bank accounts (mod 97), which pass by their checksum, and
 national numbers, which pass by a context word only.
 
@@ -32,6 +32,7 @@ from rowloom.llm.words import fresh
 
 NEAR = 40
 RUN = 256
+BLOCK = 512
 LEAST = 0.5
 
 
@@ -132,7 +133,7 @@ def _found(text: Column, kind: Kind) -> Column:
 
 def _account_span(s: Column) -> Column:
     match = account(s["match"])
-    return F.struct(s["start"], (s["start"] + F.length(match)).alias("stop"), match.alias("match"), s["before"])
+    return F.struct(s["start"], (s["start"] + F.length(match)).alias("stop"), match.alias("match"))
 
 
 def _apart(spans: Column, none: Column) -> Column:
@@ -158,20 +159,19 @@ def _placed(text: Column, matches: Column, kind: Kind, near: int, least: float)
     gaps = F.split(text, kind.pattern, -1)
 
     def piece(gap: Column, match: Column) -> Column:
-        before = F.lower(F.substring(gap, -near, near))
         taken = F.when(match.isNotNull(), 1) if kind.ahead else F.length(match)
-        return F.struct(F.length(gap).alias("gap"), taken.alias("length"), match.alias("match"), before.alias("before"))
+        return F.struct(F.length(gap).alias("gap"), taken.alias("length"), match.alias("match"))
 
     pieces = F.filter(F.zip_with(gaps, matches, piece), lambda x: x["match"].isNotNull())
     runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(matches) - 1) / RUN).cast("int")), lambda i: F.slice(pieces, i * RUN + 1, RUN))
     sizes = F.transform(runs, lambda run: F.aggregate(run, F.lit(0), lambda total, x: total + x["gap"] + x["length"]))
     begins = F.aggregate(sizes, F.array(F.lit(0)), lambda sums, n: F.concat(sums, F.array(F.element_at(sums, -1) + n)))
-    none = F.array().cast("array<struct<start:int,stop:int,match:string,before:string>>")
+    none = F.array().cast("array<struct<start:int,stop:int,match:string>>")
 
     def step(state: Column, x: Column) -> Column:
         start = state["at"] + x["gap"]
         stop = start + x["length"]
-        span = F.struct(start.alias("start"), stop.alias("stop"), x["match"].alias("match"), x["before"].alias("before"))
+        span = F.struct(start.alias("start"), stop.alias("stop"), x["match"].alias("match"))
         return F.struct(stop.alias("at"), F.concat(state["spans"], F.array(span)).alias("spans"))
 
     def walk(pair: Column) -> Column:
@@ -181,10 +181,21 @@ def _placed(text: Column, matches: Column, kind: Kind, near: int, least: float)
     paired = F.filter(paired, lambda x: x["run"].isNotNull())
     spans = F.flatten(F.transform(paired, walk))
     spans = _apart(F.transform(spans, _account_span), none) if kind.ahead else F.filter(spans, lambda s: confirmed(kind.name, s["match"]))
-    words = "|".join(kind.context)
+    words = rf"\b(?:{'|'.join(kind.context)})"
+    size = max(BLOCK, near + 1)
+    blocks = F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{size}}}"), F.lit(0))
+
+    def between(start: Column, stop: Column) -> Column:
+        """At most ``size`` code points of the text, read from the two blocks that hold them."""
+        first = F.floor(start / size).cast("int")
+        return F.array_join(F.slice(blocks, first + 1, 2), "").substr(start - first * size + 1, stop - start)
 
     def scored(s: Column) -> Column:
-        raised = F.when(s["before"].rlike(rf"\b(?:{words})"), 0.2).otherwise(0.0)
+        # the code point next to the window shows whether a word begins or goes on there
+        before = F.lower(between(F.greatest(s["start"] - near - 1, F.lit(0)), s["start"]))
+        behind = F.lower(between(s["stop"], s["stop"] + near))
+        named = F.when(s["start"] > near, before.rlike(rf"(?s)\A.+?{words}")).otherwise(before.rlike(words))
+        raised = F.when(named | behind.rlike(words), 0.2).otherwise(0.0)
         return F.struct(s["start"], s["stop"], s["match"], F.least(F.lit(1.0), F.lit(kind.score) + raised).alias("score"))
 
     return F.filter(F.transform(spans, scored), lambda s: s["score"] >= least)

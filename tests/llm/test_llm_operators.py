@@ -405,6 +405,20 @@ def test_accounts_before_capitals_and_digits(spark):
         assert all(a["stop"] <= b["start"] for a, b in zip(found[i]["pii_iban"], found[i]["pii_iban"][1:]))
 
 
+def test_context_on_both_sides(spark):
+    one, two = "123-45-6789", "987-65-4321"
+    cases = [
+        (f"{one} (SSN)", [one]), (f"SSN: {one}, {two}", [one, two]), (f"{one}, {two} ssn", [one, two]), (f"{one} {'x' * 40} ssn", []),
+        (f"ssn{' ' * 37}{one}", [one]), (f"ssn{' ' * 38}{one}", []), (f"xssn{' ' * 37}{one}", []), (f"{one}{' ' * 37}ssn", [one]), (f"{one}{' ' * 38}ssn", []),
+        ("é😀" * 300 + f" ssn {one} " + "😀" * 700 + f"{two} ssn", [one, two]), (f"{one} ssn {'y' * 50} {two}", [one]),
+        ("z" * 500 + f" ssn     {one}" + "z", [one]), (f"ssn {one}; {'w' * 60}; " * 500, [one] * 500), (one, []),
+    ]
+    found = {r["doc_id"]: r for r in pii.spans(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], DOCS)).collect()}
+    for i, (text, wanted) in enumerate(cases):
+        assert [s["match"] for s in found[i]["pii_national"]] == wanted, text[:80]
+        assert all(text[s["start"] : s["stop"]] == s["match"] for s in found[i]["pii_national"])
+
+
 # -- decontamination
 
 def plain_windows(docs, items, window=10):
