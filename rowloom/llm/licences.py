@@ -5,8 +5,9 @@ punctuation and space one space - and its SHA-256 looked up among those of known
 canonical the same way. Whole texts are looked up, of a document and of each of its
 lines, by a hash join; parts of lines are not.
 
-Only DataFrame functions are used. A unit whose text, lower-cased and without punctuation, is longer than twice
-the longest known one cannot match, as no spelling halves a text, and is not digested.
+Only DataFrame functions are used. A unit whose text, lower-cased and without copyright lines, has more letters and digits than
+twice the longest known one has characters cannot match, as no spelling halves a text, and is not digested; blanks
+and line ends do not count.
 
 Defined results: null, empty and purely copyright units match nothing; several known
 licences with one canonical text all match; repeated rows give a finding each; an empty
@@ -156,7 +157,10 @@ def scan(docs: DataFrame, licences: DataFrame, doc_id: str = "doc_id", text: str
     # a text of one line is a unit once, as the whole text
     parts = F.split("bones", "\n", -1)
     units = F.concat(F.array("bones"), F.when(F.size(parts) > 1, parts).otherwise(F.array().cast("array<string>")))
-    units = rows.select("doc_id", F.posexplode(units).alias("line", "unit")).filter(F.length("unit") <= 2 * longest + 2)
+    units = rows.select("doc_id", F.posexplode(units).alias("line", "unit"))
+    # most units are short enough with their blanks
+    least = F.length(F.replace(F.replace("unit", F.lit("\n"), F.lit("")), F.lit(" "), F.lit("")))
+    units = units.filter((F.length("unit") <= 2 * longest + 2) | (least <= 2 * longest + 2))
     likely = units.withColumn("head", _head(F.col("unit"))).join(heads, "head", "left_semi")
     found = likely.select("doc_id", "line", F.sha2(spelled(F.col("unit")), 256).alias("digest"))
     return found.join(known.select("digest", "licence").distinct(), "digest").select("doc_id", "line", "licence")

@@ -344,6 +344,16 @@ def test_huge_components_stay_exact(spark):
     assert sorted(map(tuple, found.collect())) == sorted(plain_top(rows, 10))
 
 
+def test_licence_among_thousands_of_blank_and_copyright_lines(spark):
+    known = [row for row in licences.KNOWN if row[0] in ("BSD-3-Clause", "MIT")]
+    bsd = next(text for name, text in known if name == "BSD-3-Clause")
+    filler = "\n  \n--\nCopyright (c) 2020 A B\n" * 3_000
+    rows = [(1, filler + bsd + filler), (2, bsd.replace("\n", filler)), (3, filler + "Licensed under the MIT License." + filler), (4, filler + bsd + " more"), (5, filler)]
+    found = licences.scan(spark.createDataFrame(rows, DOCS), spark.createDataFrame(known, "licence string, text string"))
+    whole = found.filter("line = 0").select("doc_id", "licence").collect()
+    assert sorted(map(tuple, whole)) == [(1, "BSD-3-Clause"), (2, "BSD-3-Clause"), (3, "MIT")]
+
+
 # -- personal data
 
 def luhn(digits):
