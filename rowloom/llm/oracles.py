@@ -6,7 +6,9 @@ are tested against plain versions or by held-out accuracy.
 
 from __future__ import annotations
 
-from rowloom.llm import licences, lines, packing
+from itertools import permutations
+
+from rowloom.llm import licences, lines, mixing, negatives, packing
 
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -97,10 +99,73 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(h.n, 0) AS n_hit, c
  sha256(coalesce(x.list, '')) AS items_sha256, h.n IS NOT NULL AS contaminated
 FROM docs d LEFT JOIN hits h USING (doc_id) LEFT JOIN named x USING (doc_id)"""
 
+_ORDERS = ", ".join(f"('{''.join(p)}')" for p in permutations("ABCDE"))
+
+FILTER_AUDIT = rf"""
+WITH docs AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+split AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, min(doc_id) OVER (PARTITION BY t) AS least FROM docs),
+given AS (SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS toxic
+ FROM labels WHERE doc_id IS NOT NULL GROUP BY 1),
+masked AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+ (len(w) < 200)::INT + 2 * (100 * len(list_distinct(w)) < 50 * len(w))::INT
+ + 4 * (100 * (length(t) - length(regexp_replace(t, '[A-Z]+', '', 'g'))) > 3 * length(t))::INT
+ + 8 * regexp_matches(t, '[#$%&*|]')::INT + 16 * coalesce(least < doc_id, false)::INT AS mask
+ FROM split LEFT JOIN given USING (doc_id)),
+counts AS (SELECT part, mask, count(*) AS n, count(*) FILTER (WHERE good) AS g, count(*) FILTER (WHERE toxic) AS x FROM masked GROUP BY 1, 2),
+steps AS (SELECT filter_order, step, 1 << (instr('ABCDE', substr(filter_order, step, 1)) - 1) AS bit,
+ list_sum(list_transform(range(1, step), lambda i: 1 << (instr('ABCDE', substr(filter_order, i, 1)) - 1))) AS prior
+ FROM (VALUES {_ORDERS}) o(filter_order), (SELECT unnest(range(1, 6)) AS step)),
+placed AS (SELECT filter_order, CAST(step AS INTEGER) AS step, CAST(bit AS INTEGER) AS bit, CAST(coalesce(prior, 0) AS INTEGER) AS prior FROM steps),
+made AS (SELECT part, filter_order, step, bit,
+ sum(CASE WHEN mask & (prior | bit) = 0 THEN n ELSE 0 END) AS kept,
+ sum(CASE WHEN mask & prior = 0 AND mask & bit <> 0 THEN n ELSE 0 END) AS removed,
+ sum(CASE WHEN mask & prior <> 0 AND mask & bit <> 0 THEN n ELSE 0 END) AS redundant,
+ sum(CASE WHEN mask = bit THEN n ELSE 0 END) AS unique_fails,
+ sum(CASE WHEN mask & prior = 0 AND mask & bit <> 0 THEN g ELSE 0 END) AS good_lost,
+ sum(CASE WHEN mask & prior = 0 AND mask & bit <> 0 THEN x ELSE 0 END) AS toxic_lost
+ FROM counts, placed GROUP BY 1, 2, 3, 4)
+SELECT part, filter_order, step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails,
+ good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley
+FROM made"""
+
+SOURCE_MIX = rf"""
+WITH sized AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+ CAST(CAST('0x' || substr(md5(concat_ws(':', '{mixing.SEED}', coalesce(CAST(doc_id AS VARCHAR), ''), coalesce(text, ''))), 1, {mixing.DIGITS}) AS BIGINT) AS DOUBLE)
+ / {16**mixing.DIGITS}.0 AS draw FROM documents),
+sources AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
+ [{', '.join(f'CAST({w} AS DOUBLE)' for w in mixing.WEIGHTS)}][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(mixing.WEIGHTS)} + 1] AS weight FROM sized GROUP BY 1),
+weighed AS (SELECT *, CAST({mixing.MOST} AS DOUBLE) * source_size AS most, CAST({mixing.MOST} AS DOUBLE) * source_size / weight AS full_at FROM sources),
+totals AS (SELECT CAST(sum(source_size) AS DOUBLE) * {mixing.SHARE} AS total, sum(weight) AS heft FROM weighed),
+levels AS (SELECT full_at, sum(most) AS m, sum(weight) AS w FROM weighed GROUP BY 1),
+running AS (SELECT full_at, sum(m) OVER (ORDER BY full_at) - m AS given, heft - (sum(w) OVER (ORDER BY full_at) - w) AS open, total FROM levels, totals),
+level AS (SELECT arg_min((total - given) / open, full_at) AS level FROM running WHERE given + full_at * open >= total),
+aimed AS (SELECT source, source_size, CASE WHEN level IS NULL THEN most ELSE least(most, level * weight) END AS target FROM weighed, level),
+rated AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS rate FROM aimed)
+SELECT doc_id, size, source_size, target, CAST(floor(rate) + (draw < rate - floor(rate))::INT AS BIGINT) AS copies,
+ CAST(size * (floor(rate) + (draw < rate - floor(rate))::INT) AS BIGINT) AS taken
+FROM sized JOIN rated ON sized.source IS NOT DISTINCT FROM rated.source"""
+
+HARD_NEGATIVES = f"""
+WITH vectors AS (SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+ list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * {negatives.SCALE}) AS BIGINT)) AS v
+ FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))),
+pairs AS (SELECT a.vec_id AS anchor_id, a.label = c.label AS same, c.vec_id, CAST(list_sum(list_transform(list_zip(a.v, c.v), lambda z: z[1] * z[2])) AS BIGINT) AS score
+ FROM vectors a JOIN vectors c ON a.vec_id <> c.vec_id AND len(a.v) = len(c.v) WHERE a.vec_id % 100 = 0),
+near AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM pairs WHERE same
+ QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= {negatives.POSITIVES}),
+met AS (SELECT n.anchor_id, positive_id, positive_score, p.vec_id AS negative_id, p.score AS negative_score,
+ CAST(row_number() OVER (PARTITION BY n.anchor_id, positive_id ORDER BY p.score DESC, p.vec_id) AS INTEGER) AS rank
+ FROM near n JOIN pairs p ON n.anchor_id = p.anchor_id AND NOT p.same
+ AND {negatives.LEAST} * positive_score <= 100 * p.score AND 100 * p.score <= {negatives.GREATEST} * positive_score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM met WHERE rank <= {negatives.NEGATIVES}"""
+
 ORACLES: dict[str, str] = {
     "op1_line_dedup": LINE_DEDUP,
     "op2_licence_scan": _licence_scan(),
     "op5_packing": PACKING,
     "op7_top_k": TOP_K,
     "op9_decontamination": DECONTAMINATION,
+    "op11_filter_audit": FILTER_AUDIT,
+    "op12_source_mix": SOURCE_MIX,
+    "op13_hard_negatives": HARD_NEGATIVES,
 }

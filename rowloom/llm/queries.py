@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowloom.llm import decontaminate, language, licences, lines, lm, mtree, packing, pii, quality, simhash
+from rowloom.llm import (
+    audit, decontaminate, language, licences, lines, lm, mixing, mtree, negatives, packing, pii, quality, simhash,
+)
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -81,6 +83,20 @@ def quality_scores(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return audit.audit(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
+def source_mix(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.shares(_table(spark, folder, "documents"))
+
+
+def hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    vec_id, label = F.col("vec_id"), F.col("label")
+    shifted = F.when(vec_id % 7 == 0, (label + 1) % 10).otherwise(label)
+    return negatives.mine(_table(spark, folder, "embeddings"), vec_id % 100 == 0, label=shifted)
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     from corpus_pipeline import run
 
@@ -98,5 +114,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": personal_data,
     "op9_decontamination": decontamination,
     "op10_quality": quality_scores,
+    "op11_filter_audit": filter_audit,
+    "op12_source_mix": source_mix,
+    "op13_hard_negatives": hard_negatives,
     "pipeline": pipeline,
 }
