@@ -7,12 +7,14 @@ The vocabulary is the only thing held on the driver; its size is limited by the
 from __future__ import annotations
 
 import heapq
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import chain, takewhile
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,6 +36,12 @@ def byte_characters() -> list[str]:
     return [chr(b) if b in PRINTABLE_BYTES else chr(256 + hidden.index(b)) for b in range(256)]
 
 
+def token_bytes(token: str) -> bytes:
+    """The bytes that a token of byte characters stands for."""
+    byte_of = {c: b for b, c in enumerate(byte_characters())}
+    return bytes(byte_of[c] for c in token)
+
+
 @dataclass
 class Vocabulary:
     """Token ids and the ranked merges."""
@@ -166,17 +174,64 @@ def _count_pairs(state: DataFrame, rounds: list[Round]) -> DataFrame:
     return partial.groupBy("l", "r").agg(F.sum("n").alias("n"))
 
 
+def _lengths(flat: np.ndarray) -> np.ndarray:
+    """Symbols of each piece."""
+    return np.diff(np.r_[-1, np.flatnonzero(flat == -1)]) - 1
+
+
 def _rewrite(state: DataFrame, rounds: list[Round]) -> DataFrame:
+    """The pieces after the merges, and what the merges change in the pair counts, in one pass.
+
+    A row is a piece (symbols, weight) or a signed change (l, r, n). Changes come
+    from the pieces that hold a merged pair, old pairs negative and new ones
+    positive; pieces that have become one symbol can never change again and go.
+    """
+
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            weights = batch.column(1).to_numpy()
-            flat, _ = _apply(*_flat(batch.column(0), weights), rounds)
-            ends = np.flatnonzero(flat == -1)
-            offsets = np.r_[0, ends - np.arange(len(ends))].astype(np.int32)
-            symbols = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat[flat >= 0]))
-            yield pa.RecordBatch.from_arrays([symbols, batch.column(1)], names=["symbols", "weight"])
-
-    return state.mapInArrow(rewrite, "symbols array<int>, weight bigint")
+            before, weights = _flat(batch.column(0), batch.column(1).to_numpy())
+            after, kept_weights = _apply(before, weights, rounds)
+            old, new = _lengths(before), _lengths(after)
+            touched_old, touched_new = np.repeat(new < old, old + 1), np.repeat(new < old, new + 1)
+            change = _counted(
+                np.r_[before[touched_old], after[touched_new]], np.r_[-weights[touched_old], kept_weights[touched_new]]
+            )
+            change = change.filter(pc.not_equal(change.column(2), 0))
+            after = after[np.repeat(new > 1, new + 1)]
+            left = new[new > 1]
+            symbols = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(left)].astype(np.int32)), pa.array(after[after >= 0]))
+            weight = pa.array(batch.column(1).to_numpy()[new > 1])
+            none = [pa.nulls(len(left), t) for t in (pa.int32(), pa.int32(), pa.int64())]
+            yield pa.RecordBatch.from_arrays([symbols, weight, *none], names=_STATE_NAMES)
+            none = [pa.nulls(change.num_rows, t) for t in (pa.list_(pa.int32()), pa.int64())]
+            yield pa.RecordBatch.from_arrays([*none, *change.columns], names=_STATE_NAMES)
+
+    return state.mapInArrow(rewrite, "symbols array<int>, weight bigint, l int, r int, n bigint")
+
+
+_STATE_NAMES = ["symbols", "weight", "l", "r", "n"]
+
+
+def _runs(state: DataFrame, candidates: list[tuple[int, int, int]]) -> DataFrame:
+    """(run, n): the maximal runs of symbols whose neighbours are all candidate pairs, and how often they occur."""
+    keys = np.sort(np.array([(left << 32) | right for left, right, _ in candidates], dtype=np.int64))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat, weights = _flat(batch.column(0), batch.column(1).to_numpy())
+            pair = (flat[:-1].astype(np.int64) << 32) | (flat[1:].astype(np.int64) & 0xFFFFFFFF)
+            linked = keys[np.minimum(np.searchsorted(keys, pair), len(keys) - 1)] == pair
+            edges = np.diff(np.r_[False, linked, False].astype(np.int8))
+            begin, last = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+            sizes = last - begin + 1
+            ends = np.cumsum(sizes)
+            symbols = flat[np.repeat(begin - (ends - sizes), sizes) + np.arange(sizes.sum())].astype("<i4")
+            offsets = pa.py_buffer(np.r_[0, ends * 4].astype(np.int64))
+            runs = pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, offsets, pa.py_buffer(symbols)])
+            counted = pa.table({"run": runs.cast(pa.binary()), "n": weights[begin]}).group_by("run").aggregate([("n", "sum")])
+            yield from counted.select(["run", "n_sum"]).rename_columns(["run", "n"]).to_batches()
+
+    return state.mapInArrow(cut, "run binary, n bigint").groupBy("run").agg(F.sum("n").alias("n"))
 
 
 def _byte_symbols(counts: DataFrame, byte_ids: np.ndarray) -> DataFrame:
@@ -226,56 +281,208 @@ def _next_merges(
     return accepted
 
 
+def _candidates(top: list[tuple[int, int, int]], complete: bool, width: int, least: int) -> tuple[int, int]:
+    """How many of the ranked pairs to take, about ``width``, and the count that no other pair exceeds.
+
+    Pairs of one count are taken together. 0 if there is no place to cut: all ranked pairs tie with more behind them.
+    """
+    if complete and len(top) <= width:
+        return len(top), least - 1
+    cuts = [k for k in range(1, len(top)) if top[k][2] < top[k - 1][2]]
+    if complete:
+        cuts.append(len(top))
+    if not cuts:
+        return 0, 0
+    k = max((k for k in cuts if k <= width), default=cuts[0])
+    return k, top[k][2] if k < len(top) else least - 1
+
+
+def _resolve(
+    runs: list[tuple[list[int], int]], bound: int, tokens: list[str], known: dict[str, int], limit: int
+) -> list[tuple[int, int]]:
+    """Merges in their order, for as long as the best pair is more frequent than ``bound``.
+
+    Runs are indexed by the pairs they hold, so that a merge rewrites only runs
+    that hold its pair, and the counts change by what those lose and gain. A
+    pair that leads out of a run is no candidate, so neither it nor what a
+    merge makes of it can exceed the bound: up to there the counts in the runs are those of the corpus.
+    A merge that makes a text that exists ends the runs' knowledge, as that text may also stand outside them.
+    """
+    counts: dict[tuple[int, int], int] = defaultdict(int)
+    holders: dict[tuple[int, int], set[int]] = defaultdict(set)
+    for i, (run, n) in enumerate(runs):
+        for pair in zip(run, run[1:]):
+            counts[pair] += n
+            holders[pair].add(i)
+    waiting = [(-n, pair) for pair, n in counts.items()]
+    heapq.heapify(waiting)
+    merges: list[tuple[int, int]] = []
+    texts = [*tokens]
+    made: set[str] = set()
+    while waiting and len(merges) < limit:
+        negative, pair = heapq.heappop(waiting)
+        if counts[pair] != -negative:
+            continue
+        if -negative <= bound:
+            break
+        text = texts[pair[0]] + texts[pair[1]]
+        exists = text in known or text in made
+        if exists and merges:
+            break
+        merges.append(pair)
+        if exists:
+            break
+        new = len(texts)
+        texts.append(text)
+        made.add(text)
+        changed = set()
+        for i in holders.pop(pair):
+            run, n = runs[i]
+            for other in zip(run, run[1:]):
+                counts[other] -= n
+                changed.add(other)
+            run = _merged(run, pair, new)
+            runs[i] = run, n
+            for other in zip(run, run[1:]):
+                counts[other] += n
+                changed.add(other)
+                holders[other].add(i)
+        for other in changed:
+            if counts[other] > 0:
+                heapq.heappush(waiting, (-counts[other], other))
+    return merges
+
+
+def _merged(run: list[int], pair: tuple[int, int], new: int) -> list[int]:
+    """The run with the pair replaced from left to right."""
+    out, i, last = [], 0, len(run) - 1
+    while i <= last:
+        if i < last and run[i] == pair[0] and run[i + 1] == pair[1]:
+            out.append(new)
+            i += 2
+        else:
+            out.append(run[i])
+            i += 1
+    return out
+
+
+def _waves(merges: list[tuple[int, int, int]]) -> list[Round]:
+    """Rounds with the same result as the merges one by one.
+
+    A merge comes after all earlier ones that it could overlap or whose symbols
+    it uses; a pair of equal symbols has a round of its own.
+    """
+    as_left: dict[int, int] = {}
+    as_right: dict[int, int] = {}
+    born: dict[int, int] = {}
+    waves: dict[int, Round] = defaultdict(list)
+    for left, right, made in merges:
+        wave = 1 + max(as_right.get(left, 0), as_left.get(right, 0), born.get(left, 0), born.get(right, 0))
+        waves[wave].append((left, right, made))
+        as_left[left] = max(as_left.get(left, 0), wave)
+        as_right[right] = max(as_right.get(right, 0), wave)
+        born[made] = max(born.get(made, 0), wave)
+    rounds = []
+    for wave in sorted(waves):
+        rounds += [[m] for m in waves[wave] if m[0] == m[1]]
+        others = [m for m in waves[wave] if m[0] != m[1]]
+        rounds += [others] if others else []
+    return rounds
+
+
 def learn(
     counts: DataFrame,
     vocab_size: int = 2000,
     min_frequency: int = 2,
     special: list[str] | None = None,
     max_merges: int | None = None,
-    ranked: int = 1024,
-    rewrite_after: int = 16,
+    ranked: int = 4096,
+    most_runs: int = 40_000,
+    run_bytes: int = 4 << 20,
 ) -> Vocabulary:
     """Learn merges from (piece, n): the most frequent pair first, ties by ids.
 
-    Each round is one Spark aggregate over the piece table; only the ``ranked``
-    best pairs reach the driver. The rounds since the last rewrite are replayed
-    on the fly. Every ``rewrite_after`` rounds the piece table is written anew,
-    which keeps both the replay and the lineage short. Learning ends at
-    ``vocab_size``, at ``max_merges``, or when no pair occurs ``min_frequency``
-    times.
+    The pair counts are a written table. A step takes its best pairs as
+    candidates and cuts the pieces into runs of symbols linked by candidates.
+    The distinct runs, at most ``most_runs`` of ``run_bytes`` together, decide on
+    the driver all merges down to the count of the best pair that is no candidate. One pass
+    then applies them to the pieces and gives the signed changes of the pair
+    counts, which are added to their table. How many candidates a step takes
+    follows from the runs of the last one; runs beyond the bounds are not
+    fetched but cut again with half the candidates, in the end by the best pairs alone.
+    The merges are those of learning one by one. Learning ends at ``vocab_size``,
+    at ``max_merges``, or when no pair occurs ``min_frequency`` times.
     """
     vocabulary = Vocabulary.initial(special)
     tokens = vocabulary.by_id()
-    written = materialize(_byte_symbols(counts, vocabulary.byte_ids()), "pieces")
-    state = written.persist()
-    pending: list[Round] = []
+    spark = counts.sparkSession
+    spread = counts.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    pieces = materialize(_byte_symbols(spread, vocabulary.byte_ids()), "pieces")
+    pairs = materialize(_count_pairs(pieces, []), "pairs")
     limit = max_merges if max_merges is not None else vocab_size
-    while len(vocabulary.ids) < vocab_size and len(vocabulary.merges) < limit:
-        if len(pending) >= rewrite_after:
-            previous, written = written, materialize(_rewrite(state, pending), "pieces")
-            state.unpersist()
-            discard(previous)
-            state, pending = written.persist(), []
-        best = _count_pairs(state, pending).filter(F.col("n") >= min_frequency)
-        rows = best.orderBy(F.desc("n"), "l", "r").limit(ranked).collect()
-        if not rows:
+    width = 64
+    while (room := min(vocab_size - len(vocabulary.ids), limit - len(vocabulary.merges))) > 0:
+        best = pairs.filter(F.col("n") >= min_frequency).orderBy(F.desc("n"), "l", "r").limit(ranked + 1).collect()
+        if not best:
             break
-        top = [(r["l"], r["r"], r["n"]) for r in rows]
-        pending.append([])
-        for left, right in _next_merges(top, len(rows) < ranked, tokens, vocabulary.ids):
-            if len(vocabulary.ids) >= vocab_size or len(vocabulary.merges) >= limit:
-                break
+        complete = len(best) <= ranked
+        top = [(r["l"], r["r"], r["n"]) for r in best[:ranked]]
+        found, width = _decided(_state(pieces), top, complete, width, min_frequency, tokens, vocabulary.ids, room, most_runs, run_bytes)
+        merges = []
+        for left, right in found[:room]:
             text = tokens[left] + tokens[right]
             if text not in vocabulary.ids:
                 vocabulary.ids[text] = len(tokens)
                 tokens.append(text)
             vocabulary.merges.append((tokens[left], tokens[right]))
-            pending[-1].append((left, right, vocabulary.ids[text]))
-    state.unpersist()
-    discard(written)
+            merges.append((left, right, vocabulary.ids[text]))
+        if len(found) < room:
+            pieces, pairs = _advanced(pieces, pairs, _waves(merges))
+        else:
+            break
+    discard(pieces)
+    discard(pairs)
     return vocabulary
 
 
+def _decided(
+    state: DataFrame, top: list[tuple[int, int, int]], complete: bool, width: int, least: int, tokens: list[str],
+    known: dict[str, int], room: int, most_runs: int, run_bytes: int,
+) -> tuple[list[tuple[int, int]], int]:
+    """The next merges, and how many candidates to try in the next step."""
+    last = len(top) + 1
+    while True:
+        cut, bound = _candidates(top, complete, width, least)
+        if not 1 < cut < last:
+            return _next_merges(top, complete, tokens, known), max(2, width)
+        runs = _runs(state, top[:cut]).persist()
+        try:
+            n, size = runs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("run")), F.lit(0))).first()
+            if n <= most_runs and size <= run_bytes:
+                held = [(np.frombuffer(row["run"], dtype="<i4").tolist(), row["n"]) for row in runs.collect()]
+                wider = 2 * cut if 4 * n <= most_runs and 4 * size <= run_bytes else cut
+                return _resolve(held, bound, tokens, known, room), wider
+        finally:
+            runs.unpersist()
+        last, width = cut, cut // 2
+
+
+def _state(written: DataFrame) -> DataFrame:
+    """The pieces (symbols, weight) of a written table that may hold changes too."""
+    return written.filter("symbols IS NOT NULL").select("symbols", "weight")
+
+
+def _advanced(pieces: DataFrame, pairs: DataFrame, rounds: list[Round]) -> tuple[DataFrame, DataFrame]:
+    """The written pieces and pair counts after the merges; those before are deleted."""
+    made = materialize(_rewrite(_state(pieces), rounds), "pieces")
+    change = made.filter("l IS NOT NULL").select("l", "r", "n")
+    summed = pairs.unionByName(change).groupBy("l", "r").agg(F.sum("n").alias("n")).filter("n > 0")
+    next_pairs = materialize(summed, "pairs")
+    discard(pieces)
+    discard(pairs)
+    return made, next_pairs
+
+
 def merges_table(df: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """The ranked merges as a table: (rank, left, right)."""
     rows = [(i, a, b) for i, (a, b) in enumerate(vocabulary.merges)]

@@ -112,6 +112,32 @@ WITH marked AS (SELECT doc_id, regexp_replace(text, '(\s)(\s\S)', '\1' || chr(30
 cut AS (SELECT doc_id, regexp_extract_all(t, '''s|''t|''re|''ve|''m|''ll|''d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}\x1e]+|\s+') AS p FROM marked)
 SELECT doc_id, CAST(len(p) AS INTEGER) AS n, md5(array_to_string(p, chr(31))) AS cuts FROM cut"""
 
+# The same cuts with the line's end behind every text.
+_PIECE_COUNTS = r"""
+marked AS (SELECT regexp_replace(text || chr(10), '(\s)(\s\S)', '\1' || chr(30) || '\2', 'g') AS t FROM documents),
+cut AS (SELECT unnest(regexp_extract_all(t, '''s|''t|''re|''ve|''m|''ll|''d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}\x1e]+|\s+')) AS piece FROM marked),
+pieces AS (SELECT piece, count(*) AS n FROM cut GROUP BY piece)"""
+
+#: Merges that recursive SQL learns too.
+FIRST_MERGES = 12
+
+# Merging one pair a step over tokens as hexadecimal bytes; ties go to the shorter and then to the order of the byte alphabet.
+_MERGES = f"""
+WITH RECURSIVE {_PIECE_COUNTS},
+state AS (
+ SELECT 0 AS step, n, list_transform(range(1, len(h) + 1, 2), lambda i: substr(h, i, 2)) AS toks, '' AS l, '' AS r
+ FROM (SELECT n, lower(hex(encode(piece))) AS h FROM pieces)
+ UNION ALL
+ SELECT step + 1, n, list_reduce(list_transform(toks, lambda t: [t]),
+  lambda done, t: CASE WHEN done[-1] = b.l AND t[1] = b.r THEN list_append(done[:-2], b.l || b.r) ELSE done || t END), b.l, b.r
+ FROM state, (SELECT l, r FROM (
+  SELECT n, toks[i] AS l, toks[i + 1] AS r FROM (SELECT n, toks, unnest(range(1, len(toks))) AS i FROM state))
+  GROUP BY l, r HAVING sum(n) >= 2
+  ORDER BY sum(n) DESC, len(l), l BETWEEN '21' AND '7e' OR l BETWEEN 'a1' AND 'ac' OR l >= 'ae' DESC, l,
+   len(r), r BETWEEN '21' AND '7e' OR r BETWEEN 'a1' AND 'ac' OR r >= 'ae' DESC, r LIMIT 1) b
+ WHERE step < {FIRST_MERGES})
+SELECT DISTINCT CAST(step - 1 AS BIGINT) AS rank, l AS "left", r AS "right" FROM state WHERE step > 0"""
+
 
 def _byte_ids(limit: int | None) -> str:
     """Number and sum of the byte ids of each text, of its first ``limit`` bytes if there is a limit.
@@ -218,6 +244,8 @@ SELECT count(*) AS total, count(*) FILTER (WHERE good) AS success, count(*) FILT
     "piece_counts": r"""SELECT piece, count(*) AS n FROM (
  SELECT unnest(regexp_extract_all(text, '\p{L}+|\p{N}+|[^\s\p{L}\p{N}]+')) AS piece FROM documents) GROUP BY piece""",
     "byte_level_pieces": _PIECES,
+    "byte_level_counts": f"WITH {_PIECE_COUNTS} SELECT piece, n FROM pieces",
+    "bpe_first_merges": _MERGES,
     "pair_counts": r"""
 WITH pieces AS (SELECT piece, count(*) AS n FROM (
  SELECT unnest(regexp_extract_all(text, '\p{L}+|\p{N}+|[^\s\p{L}\p{N}]+')) AS piece FROM documents) GROUP BY piece),

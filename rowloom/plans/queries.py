@@ -19,6 +19,7 @@ from rowloom.plans.baseline import baseline
 from rowloom.plans.corpus import build_corpus
 from rowloom.plans.curate import Curated
 from rowloom.plans.curate import curate as curate_entities
+from rowloom.plans.oracles import FIRST_MERGES
 from rowloom.plans.represent import represent
 from rowloom.session import materialize, scratch_path
 from rowloom.sources import matrix, tables, tokens
@@ -527,6 +528,21 @@ def bpe_learn(spark, folder):
     return bpe.merges_table(documents, learned(spark, folder))
 
 
+@query
+def byte_level_counts(spark, folder):
+    """How often each piece of the full pattern occurs, the line's end among them."""
+    return bpe.piece_counts(table(spark, folder, "documents"), "text", terminator="\n")
+
+
+@query
+def bpe_first_merges(spark, folder):
+    """The first merges of the corpus, as the bytes they join: what recursive SQL can follow of ``bpe_learn``."""
+    counts = bpe.piece_counts(table(spark, folder, "documents"), "text", terminator="\n")
+    merges = bpe.learn(counts, max_merges=FIRST_MERGES).merges
+    rows = [(i, bpe.token_bytes(left).hex(), bpe.token_bytes(right).hex()) for i, (left, right) in enumerate(merges)]
+    return spark.createDataFrame(rows, "rank bigint, left string, right string")
+
+
 @query
 def bpe_roundtrip(spark, folder):
     """Learn, write and read the vocabulary, encode, write and read the ids, check every line.

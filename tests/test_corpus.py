@@ -1,5 +1,7 @@
 import json
+import random
 
+import numpy as np
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
@@ -35,7 +37,7 @@ def library(tmp_path_factory):
 
 @pytest.fixture(scope="module")
 def vocabulary(corpus):
-    return bpe.learn(bpe.piece_counts(corpus, "text", terminator="\n"), vocab_size=400, rewrite_after=16, ranked=64)
+    return bpe.learn(bpe.piece_counts(corpus, "text", terminator="\n"), vocab_size=400, ranked=64)
 
 
 def test_learned_merges_equal_the_library(library, vocabulary):
@@ -240,3 +242,82 @@ def test_queries_encode_with_the_learned_vocabulary(spark, tmp_path, monkeypatch
         i: (min(len(w.ids), 1024), sum(w.ids[:1024])) for i, w in want.items()}
     assert all(r["ids_match"] and r["text_match"] for r in made["bpe_roundtrip"])
     assert len(want[5].ids) < 510 < len(texts[5])
+
+
+def plain_merges(counts, vocab_size=2000, least=2):
+    """Merges one by one, every pair counted again each time."""
+    vocabulary = bpe.Vocabulary.initial()
+    tokens, ids, merges = vocabulary.by_id(), vocabulary.ids, []
+    byte_ids = vocabulary.byte_ids().tolist()
+    pieces_ = [([byte_ids[b] for b in piece.encode()], n) for piece, n in counts.items()]
+    while len(ids) < vocab_size:
+        found = {}
+        for symbols, n in pieces_:
+            for pair in zip(symbols, symbols[1:]):
+                found[pair] = found.get(pair, 0) + n
+        best = min(found, key=lambda p: (-found[p], p), default=None)
+        if best is None or found[best] < least:
+            return merges
+        merges.append((tokens[best[0]], tokens[best[1]]))
+        text = "".join(merges[-1])
+        if text not in ids:
+            ids[text] = len(tokens)
+            tokens.append(text)
+        pieces_ = [(bpe._merged(symbols, best, ids[text]), n) for symbols, n in pieces_]
+    return merges
+
+
+def random_counts(kind, seed):
+    draw = random.Random(seed)
+    if kind == "overlaps":
+        return {draw.choice("ab") * draw.randrange(1, 40) + draw.choice(["", "ba", "c"]): draw.randrange(1, 6) for _ in range(60)}
+    if kind == "ties":
+        return {"".join(draw.choice("abcdef") for _ in range(draw.randrange(1, 6))): 2 for _ in range(150)}
+    if kind == "digits":
+        return {str(draw.randrange(10**draw.randrange(1, 9))): draw.randrange(1, 9) for _ in range(200)}
+    return {" " + "".join(draw.choice("etaoinéß") for _ in range(draw.randrange(1, 9))): draw.randrange(1, 400) for _ in range(300)}
+
+
+@pytest.mark.parametrize("bounds", [{}, {"most_runs": 12, "ranked": 40}, {"run_bytes": 200, "ranked": 9}])
+@pytest.mark.parametrize("kind", ["overlaps", "ties", "digits", "words"])
+def test_learning_equals_merging_one_by_one(spark, kind, bounds):
+    counts = random_counts(kind, 7)
+    table = spark.createDataFrame(list(counts.items()), "piece string, n bigint").repartition(3)
+    assert bpe.learn(table, vocab_size=290, **bounds).merges == plain_merges(counts, 290)
+
+
+def test_a_step_decides_many_merges_and_changes_counts_by_deltas(spark, monkeypatch):
+    """Few passes over the pieces, and after each the table of pair counts is that of the pieces."""
+    counts = random_counts("words", 3)
+    table = spark.createDataFrame(list(counts.items()), "piece string, n bigint")
+    steps = []
+    advance = bpe._advanced
+
+    def watched(written, pairs, rounds):
+        made, next_pairs = advance(written, pairs, rounds)
+        again = bpe._count_pairs(bpe._state(made), [])
+        assert sorted(map(tuple, next_pairs.collect())) == sorted(map(tuple, again.collect()))
+        steps.append(bpe._state(made).count())
+        return made, next_pairs
+
+    monkeypatch.setattr(bpe, "_advanced", watched)
+    merges = bpe.learn(table, vocab_size=600).merges
+    assert merges == plain_merges(counts, 600)
+    assert len(steps) * 5 < len(merges) and steps[-1] < len(counts)
+
+
+def test_waves_equal_merges_one_by_one():
+    draw = random.Random(1)
+    for _ in range(200):
+        merges, symbols = [], 4
+        for _ in range(draw.randrange(1, 12)):
+            pair = draw.randrange(symbols), draw.randrange(symbols)
+            if pair not in {m[:2] for m in merges}:
+                merges.append((*pair, symbols))
+                symbols += 1
+        text = [draw.randrange(4) for _ in range(300)] + [-1]
+        one = text
+        for left, right, made in merges:
+            one = bpe._merged(one, (left, right), made)
+        flat, _ = bpe._apply(np.array(text, dtype=np.int32), np.ones(len(text), dtype=np.int64), bpe._waves(merges))
+        assert flat.tolist() == one
