@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 
 from pyspark import inheritable_thread_target
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
@@ -21,13 +22,15 @@ def label_classes(df: DataFrame, labels: str) -> DataFrame:
     return dense_order(distinct, "label", name="index")
 
 
-def class_list(df: DataFrame, labels: str) -> list[str]:
+def class_list(df: DataFrame, labels: str, most: int = 10_000) -> list[str]:
     """The sorted distinct labels, without NULL, as the column order of a label matrix.
 
-    The matrix has a column, and the baseline a model, for each of them;
-    ``label_indices`` is for label sets beyond that.
+    The matrix has a column, and the baseline a model, for each of them; more
+    than ``most`` are refused, and ``label_indices`` is for such label sets.
     """
-    found = df.select(F.explode(labels).alias("label")).dropna().distinct().orderBy("label").collect()
+    found = df.select(F.explode(labels).alias("label")).dropna().distinct().orderBy("label").limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"more than {most} labels; use label_indices")
     return [row[0] for row in found]
 
 
@@ -55,6 +58,26 @@ def hash_split(id_col: Column | str, percent: int = 20, seed: int | None = None)
     return F.pmod(md5_number(value), F.lit(100)) < percent
 
 
+@dataclass
+class Boosted:
+    """A model cut at its best round, and the validation loss after every round tried."""
+
+    model: GBTClassificationModel
+    rounds: int
+    curve: list[float]
+
+
+def best_round(curve: list[float], patience: int) -> tuple[int, bool]:
+    """The round with the least loss, and whether ``patience`` rounds behind it in a row bring no gain."""
+    least, at = float("inf"), 0
+    for i, loss in enumerate(curve, 1):
+        if loss < least:
+            least, at = loss, i
+        elif i - at >= patience:
+            return at, True
+    return at, False
+
+
 def fit_labels(
     df: DataFrame,
     features: str,
@@ -65,14 +88,18 @@ def fit_labels(
     rounds: int = 500,
     learning_rate: float = 0.1,
     max_depth: int = 6,
-    validation_tol: float = 0.0,
+    patience: int = 2,
+    first: int = 8,
     seed: int = 0,
     at_once: int = 4,
-) -> list[GBTClassificationModel]:
-    """One boosted-tree model per label, stopped early on the validation rows.
-
-    With ``validation_tol`` 0 boosting stops at the first round that makes them
-    worse. The table is cached once and shared by all fits, of which ``at_once`` run side by side.
+) -> list[Boosted]:
+    """One boosted-tree model per label, stopped when ``patience`` rounds in a row do not make the validation rows better.
+
+    An ensemble of ``first`` rounds gives the validation loss after each of them in one
+    pass over the validation rows; it is fitted with twice the rounds, up to ``rounds``, until the curve has
+    stopped falling, and then with those up to the best. Every fit draws the same trees. Without
+    validation rows boosting takes all rounds. The table is cached
+    once and shared by all fits, of which ``at_once`` run side by side.
     """
     vectors = df.select(
         array_to_vector(cast_vector(features, "double")).alias("_x"),
@@ -80,16 +107,30 @@ def fit_labels(
         F.col(validation).alias("_val"),
     ).persist()
 
-    def fit(i: int) -> GBTClassificationModel:
+    def fit(i: int) -> Boosted:
         rows = vectors.select("_x", "_val", F.col(truth)[i].cast("double").alias("_y"))
-        trees = GBTClassifier(
-            featuresCol="_x", labelCol="_y", validationIndicatorCol="_val",
-            maxIter=rounds, stepSize=learning_rate, maxDepth=max_depth,
-            validationTol=validation_tol, seed=seed,
-        )
-        return trees.fit(rows)
+        learned, held = rows.filter(~F.col("_val")), rows.filter("_val")
+
+        def ensemble(size: int) -> GBTClassificationModel:
+            trees = GBTClassifier(
+                featuresCol="_x", labelCol="_y", maxIter=size, stepSize=learning_rate, maxDepth=max_depth, seed=seed
+            )
+            return trees.fit(learned)
+
+        size, curve = min(first, rounds) if checked else rounds, []
+        model = ensemble(size)
+        while checked:
+            curve = model.evaluateEachIteration(held)
+            best, stopped = best_round(curve, patience)
+            if stopped or size >= rounds:
+                model = model if best == size else ensemble(max(1, best))
+                break
+            size = min(2 * size, rounds)
+            model = ensemble(size)
+        return Boosted(model, len(model.treeWeights), curve)
 
     try:
+        checked = not vectors.filter("_val").isEmpty()
         with ThreadPoolExecutor(at_once) as pool:
             return list(pool.map(inheritable_thread_target(df.sparkSession)(fit), range(n_labels)))
     finally:

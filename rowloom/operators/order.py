@@ -45,22 +45,58 @@ def _with_offsets(numbered: DataFrame, groups: list[str], name: str, keep: list[
     return numbered.join(offsets, groups).select(*keep, dense.alias(name))
 
 
-def ingest_order(df: DataFrame, name: str = "pos") -> DataFrame:
-    """Number the rows of a file scan 0..n-1 in file order.
+def _split_offsets(splits: DataFrame) -> DataFrame:
+    """Adds the rows before each split (_path, _start, _n), files by path and splits by place.
 
-    ``df`` comes straight from ``spark.read``. Rows of one split keep rising ids;
-    splits are ordered by path and offset. The rows are written once, so that no
-    later run of the scan can pack its splits differently.
+    One row a split: running counts inside the files, and one running count over the files.
     """
-    columns = df.columns
-    numbered = df.select(
-        "*",
-        F.col("_metadata.file_path").alias("_file"),
-        F.col("_metadata.file_block_start").alias("_start"),
-        F.monotonically_increasing_id().alias("_id"),
-    )
-    fixed = materialize(numbered, "ingest")
-    return _with_offsets(fixed, ["_file", "_start"], name, columns)
+    inside = Window.partitionBy("_path").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy("_path").rowsBetween(Window.unboundedPreceding, -1)
+    files = splits.groupBy("_path").agg(F.sum("_n").alias("_rows"))
+    files = files.select("_path", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))
+    placed = splits.withColumn("_inside", F.coalesce(F.sum("_n").over(inside), F.lit(0)))
+    return placed.join(files, "_path").withColumn("_offset", F.col("_before") + F.col("_inside")).drop("_before", "_inside")
+
+
+def ingest_order(df: DataFrame, name: str = "pos") -> DataFrame:
+    """Number the rows of a file scan 0..n-1 in file order, files by path.
+
+    ``df`` comes straight from ``spark.read``, or is a filter of that. A first pass only counts the rows
+    of every split; nothing but these counts is written. The numbers are those
+    of the rows in their file, where the format knows them (Parquet), and otherwise
+    counted up in each split, which meets its offset by a 64-bit key. The second
+    pass must then cut the files as the first did: ``spark.sql.files.minPartitionNum`` is
+    fixed at its present value where it is unset, and a row whose split was not counted is an error, not a guess.
+    """
+    spark, columns = df.sparkSession, df.columns
+    meta = F.col("_metadata")
+    if "row_index" in df.select(meta).schema[0].dataType.names:
+        path = meta["file_path"]
+        keyed = df.select("*", F.xxhash64(path).alias("_split"), meta["row_index"].alias("_id"))
+        counts = df.groupBy(path.alias("_path")).agg(
+            F.count(F.lit(1)).alias("_n"), F.max(meta["row_index"]).alias("_last"))
+        splits = materialize(counts.select("*", F.xxhash64("_path").alias("_split"), F.lit(0).alias("_start"), F.lit(0).alias("_first")), "splits")
+        if splits.filter(F.col("_last") + 1 != F.col("_n")).isEmpty():
+            return _numbered(keyed, splits, columns, name)
+    if not spark.conf.get("spark.sql.files.minPartitionNum", None):
+        spark.conf.set("spark.sql.files.minPartitionNum", str(spark.sparkContext.defaultParallelism))
+    path, start = meta["file_path"], meta["file_block_start"]
+    keyed = df.select("*", F.xxhash64(path, start).alias("_split"), F.monotonically_increasing_id().alias("_id"))
+    counts = df.select(path.alias("_path"), start.alias("_start"), F.monotonically_increasing_id().alias("_id"))
+    counts = counts.groupBy("_path", "_start").agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_first"))
+    splits = materialize(counts.select("*", F.xxhash64("_path", "_start").alias("_split")), "splits")
+    return _numbered(keyed, splits, columns, name)
+
+
+def _numbered(keyed: DataFrame, splits: DataFrame, columns: list[str], name: str) -> DataFrame:
+    """``keyed`` rows (_split, _id) with their numbers, from the counted splits (_path, _start, _n, _first, _split)."""
+    if splits.count() != splits.select("_split").distinct().count():
+        raise ValueError("two splits have the same key")
+    offsets = materialize(_split_offsets(splits).select("_split", "_n", "_first", "_offset"), "offsets")
+    place = F.col("_id") - F.col("_first")
+    known = (place >= 0) & (place < F.col("_n"))
+    number = F.when(known, F.col("_offset") + place).otherwise(F.raise_error(F.lit("the files were cut anew between two passes")).cast("bigint"))
+    return keyed.join(offsets, "_split", "left").select(*columns, number.alias(name))
 
 
 def dense_order(df: DataFrame, *order: Column | str, name: str = "pos") -> DataFrame:

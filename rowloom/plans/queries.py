@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from rowloom.functions import arrays, text
 from rowloom.operators import bpe, curate, features, lists, metrics, model, order, profile
 from rowloom.operators.convert import convert, outcome_counts
-from rowloom.plans.baseline import baseline
+from rowloom.plans.baseline import Baseline, baseline
 from rowloom.plans.corpus import build_corpus
 from rowloom.plans.curate import Curated
 from rowloom.plans.curate import curate as curate_entities
@@ -788,15 +788,56 @@ def macro_scores(spark, folder):
     return rounded(found, "macro_roc_auc", "macro_avg_precision")
 
 
+#: The fitted baselines of this run, by application and tables.
+_FITTED: dict[tuple[str, str], Baseline] = {}
+
+
+def shared_baseline(spark, folder) -> Baseline:
+    """The baseline over all embeddings with the original rounds, depth and patience, fitted once per run."""
+    run = (spark.sparkContext.applicationId, folder)
+    if run not in _FITTED:
+        vectors = table(spark, folder, "embeddings")
+        labelled = vectors.select("vec_id", F.array(F.concat(F.lit("c"), F.col("label").cast("string"))).alias("labels"))
+        _FITTED[run] = baseline(vectors.select("vec_id", F.col("embedding").alias("features")), labelled, "vec_id")
+    return _FITTED[run]
+
+
 @query
 def gbt_multilabel(spark, folder):
-    """The baseline over all embeddings: what SQL can know of the predictions on every vector."""
-    vectors = table(spark, folder, "embeddings")
-    labelled = vectors.select("vec_id", F.array(F.concat(F.lit("c"), F.col("label").cast("string"))).alias("labels"))
-    fitted = baseline(vectors.select("vec_id", F.col("embedding").alias("features")), labelled, "vec_id", rounds=20, max_depth=3)
+    """What SQL can know of the predictions on every vector."""
     bounded = F.forall("probability", lambda p: (p >= 0) & (p <= 1))
     agree = F.forall(F.zip_with("probability", "predicted", lambda p, y: (p > 0.5).cast("int") == y), lambda x: x)
-    return fitted.predictions.select(
+    return shared_baseline(spark, folder).predictions.select(
         "vec_id", F.col("is_test").cast("int").alias("is_test"), joined_text("y").alias("y"),
         (bounded & agree).cast("int").alias("sound"),
     )
+
+
+@query
+def gbt_probabilities(spark, folder):
+    """Probability and truth of every label of every vector."""
+    fitted = shared_baseline(spark, folder)
+    classes = [row["label"] for row in fitted.curves.select("label").distinct().orderBy("label").collect()]
+    scores = model.label_scores(fitted.predictions, "vec_id", "y", "probability", classes)
+    return scores.select("vec_id", "label", "truth", F.col("score").alias("probability"))
+
+
+@query
+def gbt_scores(spark, folder):
+    """The scores as rows (part, label, measure, value): accuracies, per label and macro areas, rounds and their losses."""
+    fitted = shared_baseline(spark, folder)
+
+    def rows(df: DataFrame, part: str, label, *measures: str) -> DataFrame:
+        pairs = F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).cast("double").alias("value")) for m in measures])
+        return df.select(F.lit(part).alias("part"), label.alias("label"), F.inline(pairs))
+
+    every = F.lit("all")
+    kept = fitted.curves.filter("kept").groupBy("label").agg(
+        F.count(F.lit(1)).alias("rounds"), F.min("loss").alias("validation_loss"))
+    return (
+        rows(fitted.train_accuracy, "train", every, "accuracy")
+        .unionByName(rows(fitted.test_accuracy, "test", every, "accuracy"))
+        .unionByName(rows(fitted.per_label, "test", F.col("label"), "roc_auc", "avg_precision"))
+        .unionByName(rows(fitted.macro, "test", every, "macro_roc_auc", "macro_avg_precision"))
+        .unionByName(rows(kept, "validation", F.col("label"), "rounds", "validation_loss"))
+    )

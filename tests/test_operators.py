@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from rowloom.operators import curate, features, lists, metrics, model, order, profile
 from rowloom.operators.convert import convert, outcome_counts
+from rowloom.sources.tables import read_lines
 from rowloom.session import materialize
 
 
@@ -30,6 +31,51 @@ def test_ingest_order_over_several_files(spark, tmp_path):
     assert got == list(enumerate(want))
 
 
+@pytest.fixture
+def small_splits(spark):
+    """Files are cut into splits of 2 KB, several of which share a task."""
+    names = {"spark.sql.files.maxPartitionBytes": "2048", "spark.sql.files.openCostInBytes": "1"}
+    before = {n: spark.conf.get(n) for n in names}
+    for n, v in names.items():
+        spark.conf.set(n, v)
+    yield
+    for n, v in before.items():
+        spark.conf.set(n, v)
+
+
+def test_lines_of_many_splits_keep_their_order(spark, tmp_path, small_splits):
+    """Files of several splits and of less than one; blank lines are not numbered."""
+    want = []
+    for name, n in (("a", 900), ("b", 30), ("c", 0), ("d", 2500), ("e", 1)):
+        lines = [f"{name}{i}" + "x" * (i % 7) for i in range(n)]
+        (tmp_path / f"{name}.txt").write_text("".join(x + ("\n\n" if i % 5 == 0 else "\n") for i, x in enumerate(lines)))
+        want += lines
+    numbered = read_lines(spark, str(tmp_path), "value", "pos")
+    got = sorted((r["pos"], r["value"]) for r in numbered.collect())
+    assert got == list(enumerate(want))
+    assert numbered.rdd.getNumPartitions() > 4
+
+
+def test_file_rows_are_numbered_without_a_copy(spark, tmp_path, small_splits):
+    """Parquet knows its row numbers; a filter leaves the dense numbers of what it keeps."""
+    spark.range(3000).select("id", F.md5(F.col("id").cast("string")).alias("x")).repartitionByRange(3, "id").sortWithinPartitions("id").write.parquet(str(tmp_path / "t"))
+    scan = spark.read.parquet(str(tmp_path / "t"))
+    numbered = order.ingest_order(scan)
+    assert numbered.filter("pos <> id").count() == 0 and numbered.count() == 3000
+    plan = numbered._jdf.queryExecution().optimizedPlan().toString()
+    assert "file_path" in plan and plan.count("Join") == 1 and "xxhash64" in plan
+    kept = order.ingest_order(scan.filter("id % 3 = 1"))
+    assert [r["pos"] for r in kept.orderBy("id").collect()] == list(range(1000))
+
+
+def test_files_cut_anew_are_an_error(spark, tmp_path, small_splits):
+    (tmp_path / "a.txt").write_text("".join(f"line {i}\n" for i in range(2000)))
+    numbered = order.ingest_order(spark.read.text(str(tmp_path)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "5000")
+    with pytest.raises(Exception, match="cut anew"):
+        numbered.agg(F.sum("pos")).collect()
+
+
 def test_concat_puts_the_second_table_behind(spark):
     left = spark.createDataFrame([("a", 4), ("b", 2)], "x string, pos bigint")
     right = spark.createDataFrame([(9, "c"), (0, "d")], "pos bigint, x string")
