@@ -10,7 +10,7 @@ from functools import reduce
 from math import isfinite
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rowloom.session import materialize
@@ -45,6 +45,12 @@ def _with_offsets(numbered: DataFrame, groups: list[str], name: str, keep: list[
     return numbered.join(offsets, groups).select(*keep, dense.alias(name))
 
 
+def fix_splits(spark: SparkSession) -> None:
+    """Make all later scans cut files alike: Spark derives the size of splits from the cores it has at the time unless told."""
+    if not spark.conf.get("spark.sql.files.minPartitionNum", None):
+        spark.conf.set("spark.sql.files.minPartitionNum", str(spark.sparkContext.defaultParallelism))
+
+
 def _split_offsets(splits: DataFrame) -> DataFrame:
     """Adds the rows before each split (_path, _start, _n), files by path and splits by place.
 
@@ -78,8 +84,7 @@ def ingest_order(df: DataFrame, name: str = "pos") -> DataFrame:
         splits = materialize(counts.select("*", F.xxhash64("_path").alias("_split"), F.lit(0).alias("_start"), F.lit(0).alias("_first")), "splits")
         if splits.filter(F.col("_last") + 1 != F.col("_n")).isEmpty():
             return _numbered(keyed, splits, columns, name)
-    if not spark.conf.get("spark.sql.files.minPartitionNum", None):
-        spark.conf.set("spark.sql.files.minPartitionNum", str(spark.sparkContext.defaultParallelism))
+    fix_splits(spark)
     path, start = meta["file_path"], meta["file_block_start"]
     keyed = df.select("*", F.xxhash64(path, start).alias("_split"), F.monotonically_increasing_id().alias("_id"))
     counts = df.select(path.alias("_path"), start.alias("_start"), F.monotonically_increasing_id().alias("_id"))

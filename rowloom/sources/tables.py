@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from rowloom.functions.text import list_text, null_tokens
 from rowloom.operators.order import ingest_order
+from rowloom.sources.records import read_records
 
 
 def read_table(
@@ -17,15 +18,21 @@ def read_table(
 ) -> DataFrame:
     """Delimited file with a header, quoted fields and missing-value tokens.
 
-    Large files are split. ``multiline`` allows line breaks inside quotes, for
-    which a file is read by one task. ``pos`` adds the row number.
+    Large files are split, with ``multiline`` too, which allows line breaks inside
+    quotes (see ``records``). ``pos`` adds the row number.
     """
-    raw = (
-        spark.read.schema(schema).option("header", True).option("quote", '"').option("escape", '"')
-        .option("multiLine", multiline).option("encoding", "UTF-8").csv(path)
-    )
-    rows = ingest_order(raw, pos) if pos else raw
-    texts = {f.name for f in raw.schema.fields if isinstance(f.dataType, T.StringType)}
+    if multiline:
+        records = read_records(spark, path, pos=pos)
+        line = F.rtrim(F.col("record"), F.lit("\r"))
+        parsed = F.from_csv(line, schema, {"quote": '"', "escape": '"', "multiLine": "true"})
+        rows = records.withColumn("_row", parsed).select("_row.*", *([pos] if pos else []))
+    else:
+        raw = (
+            spark.read.schema(schema).option("header", True).option("quote", '"').option("escape", '"')
+            .option("encoding", "UTF-8").csv(path)
+        )
+        rows = ingest_order(raw, pos) if pos else raw
+    texts = {f.name for f in rows.schema.fields if isinstance(f.dataType, T.StringType)}
     return rows.select(
         *[null_tokens(F.col(f"`{c}`")).alias(c) if c in texts else F.col(f"`{c}`") for c in rows.columns]
     )
