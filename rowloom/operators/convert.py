@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 
@@ -43,16 +43,33 @@ def convert(
     )
 
 
-def outcome_counts(converted: DataFrame) -> DataFrame:
-    """total, success, failure and the success rate in percent (NULL if no rows)."""
+def _outcomes() -> list[Column]:
     success = F.coalesce(F.sum("ok"), F.lit(0)).cast("bigint")
     total = F.count(F.lit(1))
-    return converted.agg(
+    return [
         total.alias("total"),
         success.alias("success"),
         (total - success).alias("failure"),
         F.round(F.try_divide(success * 100.0, total), 2).alias("success_rate"),
-    )
+    ]
+
+
+def outcome_counts(converted: DataFrame) -> DataFrame:
+    """total, success, failure and the success rate in percent (NULL if no rows)."""
+    return converted.agg(*_outcomes())
+
+
+def write_counted(converted: DataFrame, write: Callable[[DataFrame], None]) -> DataFrame:
+    """``write`` the successes and give the ``outcome_counts`` of all rows, observed while they were written.
+
+    The rows are converted once and nothing but the output is stored.
+    """
+    seen = Observation()
+    write(successes(converted.observe(seen, *_outcomes())))
+    found = seen.get
+    schema = "total bigint, success bigint, failure bigint, success_rate double"
+    row = tuple(found[name] for name in ("total", "success", "failure", "success_rate"))
+    return converted.sparkSession.createDataFrame([row], schema)
 
 
 def successes(converted: DataFrame, out: str = "output") -> DataFrame:

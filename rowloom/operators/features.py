@@ -9,8 +9,10 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rowloom.functions.arrays import cast_vector, sparse_counts, tally
+from rowloom.functions.arrays import cast_vector, sparse_counts, tally, truncate
 from rowloom.functions.text import md5_number, words
+from rowloom.operators.order import null_safe_join
+from rowloom.session import materialize
 
 
 # Fixed values of the run hash: a prime modulus and the multiplier per neighbour.
@@ -83,6 +85,45 @@ def mean_pool(df: DataFrame, id_col: str, vector: str, mask: str, out: str = "fe
     return pooled.unionByName(unusable)
 
 
+#: Bytes of token vectors that are sent to all tasks; larger tables meet the tokens in a shuffle.
+SENT_BYTES = 64 << 20
+
+
+def pool_tokens(
+    df: DataFrame, id_col: str, ids: str, vectors: DataFrame, *, mask: str | None = None, limit: int = 1024,
+    token: str = "token", vector: str = "vector", out: str = "features", sent_bytes: int = SENT_BYTES, salts: int = 32,
+) -> DataFrame:
+    """Mean vector of the valid positions among the first ``limit`` tokens: one row per id.
+
+    ``vectors`` has one row per token. A position is valid if its ``mask`` entry is not 0
+    (without ``mask`` all are) and its token has a vector. An id without
+    valid positions gets NULL. Equal ids are pooled together.
+
+    A table of vectors of at most ``sent_bytes`` is sent to all tasks, so documents stay where they
+    are and each task sends one sum per document. A larger one meets the tokens in a
+    shuffle, in which a token is dealt over ``salts`` parts, as a few tokens make up most of a text.
+    """
+    valid = F.transform(truncate(ids, limit), lambda t: t.cast("int"))
+    if mask:
+        pairs = F.arrays_zip(valid.alias("t"), F.slice(mask, 1, limit).alias("m"))
+        valid = F.transform(F.filter(pairs, lambda p: p["m"] != 0), lambda p: p["t"])
+    # equal tokens of a text are counted in its row, so a frequent token is one row of it
+    long = df.select(F.col(id_col).alias("_id"), F.inline(sparse_counts(valid))).withColumnsRenamed({"bucket": "_t", "n": "_n"})
+    table = materialize(vectors.select(
+        F.col(token).cast("int").alias("_t"), array_to_vector(cast_vector(vector, "double")).alias("_v"),
+        F.size(vector).alias("_size")).dropna(), "vectors")
+    n_bytes = table.agg(F.coalesce(F.sum(8 * F.col("_size")), F.lit(0))).first()[0]
+    table = table.drop("_size")
+    if n_bytes <= sent_bytes:
+        met = long.join(F.broadcast(table), "_t")
+    else:
+        part = F.pmod(F.xxhash64("_id"), F.lit(salts)).cast("int")
+        met = long.withColumn("_part", part).join(table.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), ["_t", "_part"])
+    pooled = met.groupBy("_id").agg(vector_to_array(Summarizer.mean(F.col("_v"), F.col("_n").cast("double"))).alias(out))
+    every = df.select(F.col(id_col).alias("_id")).distinct()
+    return null_safe_join(every, pooled, ["_id"], "left").withColumnRenamed("_id", id_col)
+
+
 #: Method -> (function, element type of its vectors, largest value of that type or None).
 FEATURISERS: dict[str, tuple[Callable[..., DataFrame], str, int | None]] = {
     "hashed": (hashed_vectors, "smallint", (1 << 15) - 1),

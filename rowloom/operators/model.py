@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from rowloom.functions.arrays import cast_vector, indicator
 from rowloom.functions.text import md5_number
 from rowloom.operators.order import dense_order, null_safe_join
+from rowloom.session import discard, materialize
 
 
 def label_classes(df: DataFrame, labels: str) -> DataFrame:
@@ -58,6 +59,37 @@ def hash_split(id_col: Column | str, percent: int = 20, seed: int | None = None)
     return F.pmod(md5_number(value), F.lit(100)) < percent
 
 
+#: Hexadecimal digits of a split's hash, and those that one round of its search fixes.
+SPLIT_DIGITS, ROUND_DIGITS = 15, 3
+
+
+def exact_split(df: DataFrame, id_col: str, percent: int = 20, seed: int | None = None, out: str = "is_test") -> DataFrame:
+    """Adds ``out``: true for exactly ceil(percent * n / 100) of the n distinct ids, those with the least md5; repeatable.
+
+    Rows of one id stay together; a NULL id is an id. The hash of the last id that belongs to the part is found digit by
+    digit: each round counts the ids by their next three digits within the
+    prefix found so far, so the driver sees at most 4096 counts and nothing is sorted.
+    """
+    text = F.coalesce(F.col(id_col).cast("string"), F.lit("\x00"))
+    mixed = F.substring(F.md5(text if seed is None else F.concat(text, F.lit(str(seed)))), 1, SPLIT_DIGITS)
+    hashes = materialize(df.select(text.alias("id"), mixed.alias("hash")).distinct(), "hashes")
+    left = -(-percent * hashes.count() // 100)
+    chosen, prefix, tied = F.lit(False), "", []
+    if left:
+        while len(prefix) < SPLIT_DIGITS:
+            end = len(prefix) + ROUND_DIGITS
+            counts = hashes.filter(F.col("hash").startswith(prefix)).groupBy(F.substring("hash", 1, end).alias("head")).count().collect()
+            for head, n in sorted(map(tuple, counts)):
+                if left <= n:
+                    prefix = head
+                    break
+                left -= n
+        tied = [r["id"] for r in hashes.filter(F.col("hash") == prefix).orderBy("id").limit(left).collect()]
+        chosen = (mixed < prefix) | ((mixed == prefix) & text.isin(*tied))
+    discard(hashes)
+    return df.withColumn(out, chosen)
+
+
 @dataclass
 class Boosted:
     """A model cut at its best round, and the validation loss after every round tried."""

@@ -11,9 +11,8 @@ from pyspark.sql import functions as F
 from rowloom.operators.bpe import (
     Vocabulary, encode, learn, longest_encoded, piece_counts, verify, verify_counts,
 )
-from rowloom.operators.convert import convert, outcome_counts, successes
+from rowloom.operators.convert import convert, write_counted
 from rowloom.operators.profile import length_profile
-from rowloom.session import materialize
 from rowloom.sources.tables import read_headerless, read_lines, write_lines
 from rowloom.sources.tokens import read_token_ids, write_settings, write_token_ids, write_vocabulary
 
@@ -43,10 +42,8 @@ def build_corpus(
     max_merges: int | None = None,
 ) -> Corpus:
     """Convert, write the lines, learn, encode, write the ids, and check all of them."""
-    converted = materialize(
-        convert(read_headerless(spark, source, names, sep), column, how).select("output", "ok"), "converted"
-    )
-    write_lines(successes(converted), "value", f"{folder}/lines")
+    converted = convert(read_headerless(spark, source, names, sep), column, how).select("output", "ok")
+    outcomes = write_counted(converted, lambda lines: write_lines(lines, "value", f"{folder}/lines"))
 
     lines = read_lines(spark, f"{folder}/lines", "line", "pos")
     counts = piece_counts(lines, "line", terminator="\n")
@@ -58,7 +55,7 @@ def build_corpus(
     stored = read_token_ids(spark, f"{folder}/ids")
     return Corpus(
         vocabulary,
-        outcome_counts(converted),
+        outcomes,
         verify_counts(verify(stored, lines, "line", vocabulary)),
         length_profile(stored.select(F.size("ids").alias("length")), "length"),
         longest_encoded(lines, "line", vocabulary),

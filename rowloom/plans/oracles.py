@@ -139,13 +139,16 @@ state AS (
 SELECT DISTINCT CAST(step - 1 AS BIGINT) AS rank, l AS "left", r AS "right" FROM state WHERE step > 0"""
 
 
-def _byte_ids(limit: int | None) -> str:
-    """Number and sum of the byte ids of each text, of its first ``limit`` bytes if there is a limit.
+def _byte_ids(limit: int | None, columns: str | None = None) -> str:
+    """Number and sum of the byte ids of each text, of its first ``limit`` bytes if there is a limit, or ``columns`` of each id.
 
     Ids follow the code points of the printable byte alphabet, behind five special tokens.
     """
     plain = "(33 <= b AND b <= 126) OR (161 <= b AND b <= 172) OR 174 <= b"
     hex_text = "hex(encode(text))" if limit is None else f"substr(hex(encode(text)), 1, {2 * limit})"
+    ids = "SELECT doc_id, id FROM bytes JOIN alphabet USING (b)"
+    sums = f"""SELECT d.doc_id, CAST(count(id) AS INTEGER) AS n, CAST(coalesce(sum(id), 0) AS INTEGER) AS total
+FROM documents d LEFT JOIN ({ids}) x ON x.doc_id = d.doc_id GROUP BY 1"""
     return f"""
 WITH alphabet AS (
  SELECT b, 4 + row_number() OVER (ORDER BY CASE WHEN {plain} THEN b ELSE 256 + rest END) AS id FROM (
@@ -153,8 +156,7 @@ WITH alphabet AS (
 spelled AS (SELECT doc_id, {hex_text} AS h FROM documents),
 bytes AS (SELECT doc_id, CAST('0x' || substr(h, 2 * i + 1, 2) AS INTEGER) AS b
  FROM (SELECT doc_id, h, unnest(range(0, CAST(length(h) / 2 AS BIGINT))) AS i FROM spelled))
-SELECT d.doc_id, CAST(count(id) AS INTEGER) AS n, CAST(coalesce(sum(id), 0) AS INTEGER) AS total
-FROM documents d LEFT JOIN (SELECT doc_id, id FROM bytes JOIN alphabet USING (b)) x ON x.doc_id = d.doc_id GROUP BY 1"""
+{sums if columns is None else f"SELECT {columns} FROM ({ids})"}"""
 
 
 ORACLES: dict[str, str] = {
@@ -237,6 +239,12 @@ SELECT count(*) AS total, count(*) FILTER (WHERE good) AS success, count(*) FILT
     "stream_convert": f"SELECT CAST({_EVEN} AS VARCHAR) AS output, count(*) AS n FROM events WHERE {_EVEN} % 2 = 0 GROUP BY 1",
     "roundtrip_table": _USER_LISTS,
     "roundtrip_headerless": "SELECT url, '' AS blank, CAST(page_id AS VARCHAR) AS page_id FROM pages",
+    "grown_snapshot": """SELECT CASE WHEN c_mktsegment = 'BUILDING' THEN 1 ELSE 2 END AS version, o_custkey, o_orderkey
+FROM orders JOIN customer ON o_custkey = c_custkey""",
+    "exact_split": """SELECT doc_id, CAST(row_number() OVER (ORDER BY substr(md5(CAST(doc_id AS VARCHAR)), 1, 15), CAST(doc_id AS VARCHAR))
+ <= (SELECT ceil(count(*) / 5.0) FROM documents) AS INTEGER) AS is_test FROM documents""",
+    "sketched_lengths": "SELECT lang, count(*) AS n, 1 AS within FROM documents GROUP BY lang",
+    "roundtrip_records": "SELECT doc_id, md5(text) AS text_md5 FROM documents",
     "roundtrip_lines": "SELECT p_name, row_number() OVER (ORDER BY p_partkey) - 1 AS pos FROM part",
     "roundtrip_matrix": """SELECT vec_id, CAST(generate_subscripts(embedding, 1) - 1 AS INTEGER) AS dim,
  round(CAST(unnest(embedding) AS DOUBLE), 6) AS value FROM embeddings""",
@@ -271,6 +279,11 @@ UNION ALL SELECT 'longest', max(length(url)) - 8, 0 FROM pages WHERE starts_with
  SELECT d.doc_id, CAST(coalesce(sum(n), 0) AS INTEGER) AS total, CAST(count(n) AS INTEGER) AS filled, 'array<smallint>' AS kind
 FROM documents d LEFT JOIN counts c ON d.doc_id = c.doc_id GROUP BY 1""",
     "featurise_function": f"SELECT doc_id, CAST(length(text) AS DOUBLE) AS chars, CAST(len({_WORDS}) AS DOUBLE) AS words FROM documents",
+    "pooled_tokens": f"""
+WITH tokens AS ({_byte_ids(1024, "doc_id, id")}),
+counts AS (SELECT doc_id, id * 31 % (SELECT count(*) FROM embeddings) AS vec_id, count(*) AS n FROM tokens GROUP BY 1, 2),
+long AS (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS dim, unnest(embedding) AS v FROM embeddings)
+SELECT doc_id, CAST(dim AS INTEGER) AS dim, round(sum(n * CAST(v AS DOUBLE)) / sum(n), 6) AS mean FROM counts JOIN long USING (vec_id) GROUP BY 1, 2""",
     "mean_pool": """
 WITH long AS (SELECT label, embedding[1] >= 0 AS valid, generate_subscripts(embedding, 1) - 1 AS dim, unnest(embedding) AS v FROM embeddings)
 SELECT label, CAST(dim AS INTEGER) AS dim, round(avg(CAST(v AS DOUBLE)), 6) AS mean FROM long WHERE valid GROUP BY 1, 2""",

@@ -16,13 +16,14 @@ from rowloom.functions import arrays, text
 from rowloom.operators import bpe, curate, features, lists, metrics, model, order, profile
 from rowloom.operators.convert import convert, outcome_counts
 from rowloom.plans.baseline import Baseline, baseline
-from rowloom.plans.corpus import build_corpus
+from rowloom.plans.corpus import Corpus, build_corpus
 from rowloom.plans.curate import Curated
 from rowloom.plans.curate import curate as curate_entities
 from rowloom.plans.oracles import FIRST_MERGES
 from rowloom.plans.represent import represent
 from rowloom.session import materialize, scratch_path
 from rowloom.sources import matrix, tables, tokens
+from rowloom.sources.snapshots import Snapshot
 from rowloom.streaming.convert import convert_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -373,6 +374,26 @@ def length_profile(spark, folder):
     return rounded(found, "mean", *profile.LENGTH_FRACTIONS)
 
 
+@query
+def sketched_lengths(spark, folder):
+    """Sketches per source and language, merged per language: rows, and whether every quantile's rank is within the stated error."""
+    documents = table(spark, folder, "documents").select("lang", "source", F.char_length("text").cast("bigint").alias("length"))
+    stored = materialize(profile.length_sketches(documents, "length", ["lang", "source"]), "sketches")
+    found = profile.sketch_profile(profile.merged_sketches(stored, ["lang"]))
+    fractions = {"median": 0.5, **profile.LENGTH_FRACTIONS}
+    error = profile.sketch_error(200)
+
+    def rank_fits(name: str, q: float):
+        below, upto = F.count_if(F.col("length") < F.col(name)), F.count_if(F.col("length") <= F.col(name))
+        total = F.count(F.lit(1))
+        return (below / total <= q + error) & (upto / total >= q - error)
+
+    fits = [rank_fits(name, q) for name, q in fractions.items()]
+    joined = documents.join(found, "lang").groupBy("lang", "n").agg(*[f.alias(f"_{i}") for i, f in enumerate(fits)])
+    within = F.forall(F.array(*[f"_{i}" for i in range(len(fits))]), lambda x: x)
+    return joined.select("lang", "n", within.cast("int").alias("within"))
+
+
 @query
 def token_length_profile(spark, folder):
     documents = table(spark, folder, "documents").select("text")
@@ -454,6 +475,15 @@ def roundtrip_headerless(spark, folder):
     return tables.read_headerless(spark, path, ["url", "blank", "page_id"])
 
 
+@query
+def roundtrip_records(spark, folder):
+    """Texts with their line breaks and quotes through a delimited file."""
+    path = scratch_path(spark, "records")
+    tables.write_table(table(spark, folder, "documents").select("doc_id", "text"), path)
+    read = tables.read_table(spark, path, "doc_id bigint, text string", multiline=True)
+    return read.select("doc_id", F.md5("text").alias("text_md5"))
+
+
 @query
 def roundtrip_lines(spark, folder):
     """Lines with their numbers."""
@@ -481,6 +511,17 @@ def roundtrip_cached(spark, folder):
     return tables.cached_table(spark, path, build)
 
 
+@query
+def grown_snapshot(spark, folder):
+    """Orders by customer, looked up for one market segment first and then for all customers: the second run adds the rest."""
+    snapshot = Snapshot(spark, scratch_path(spark, "snapshot"))
+    customers = table(spark, folder, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment")
+    orders = table(spark, folder, "orders").select("o_custkey", "o_orderkey")
+    build = lambda unseen: orders.join(unseen, "o_custkey")
+    snapshot.grow(customers.filter(F.col("c_mktsegment") == "BUILDING"), "o_custkey", build)
+    return snapshot.grow(customers, "o_custkey", build)
+
+
 # --- corpus ------------------------------------------------------------------
 
 
@@ -660,16 +701,26 @@ def learned_truncate_mask(spark, folder):
     return cut_masks(spark, folder, shared_vocabulary(spark, folder))
 
 
+#: The corpora of this run, by application and tables.
+_BUILT: dict[tuple[str, str], Corpus] = {}
+
+
+def shared_corpus(spark, folder) -> Corpus:
+    """The whole corpus pipeline over page addresses, run once; only secure ones can be converted."""
+    run = (spark.sparkContext.applicationId, folder)
+    if run not in _BUILT:
+        source, target = scratch_path(spark, "bulk"), scratch_path(spark, "corpus")
+        pages = table(spark, folder, "pages").select(F.concat_ws("\t", "url", F.col("page_id").cast("string")).alias("line"))
+        tables.write_lines(pages, "line", source)
+        host_and_path = F.when(F.col("url").startswith("https://"), F.substring("url", 9, 1 << 30))
+        _BUILT[run] = build_corpus(spark, source, target, names=["url", "page_id"], column="url", how=host_and_path)
+    return _BUILT[run]
+
+
 @query
 def corpus_report(spark, folder):
-    """The whole corpus pipeline over page addresses; only secure ones can be converted."""
-    source, target = scratch_path(spark, "bulk"), scratch_path(spark, "corpus")
-    pages = table(spark, folder, "pages").select(F.concat_ws("\t", "url", F.col("page_id").cast("string")).alias("line"))
-    tables.write_lines(pages, "line", source)
-    host_and_path = F.when(F.col("url").startswith("https://"), F.substring("url", 9, 1 << 30))
-    made = build_corpus(
-        spark, source, target, names=["url", "page_id"], column="url", how=host_and_path
-    )
+    """The accounting of the corpus pipeline."""
+    made = shared_corpus(spark, folder)
     longest = made.longest.select(F.lit("longest").alias("report"), F.col("length").cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("n_bad"))
     facts = [
         made.outcomes.select(F.lit("outcomes").alias("report"), F.col("total").alias("n"), F.col("failure").alias("n_bad")),
@@ -679,6 +730,19 @@ def corpus_report(spark, folder):
     return facts[0].unionByName(facts[1]).unionByName(facts[2]).unionByName(longest)
 
 
+@query
+def corpus_profile(spark, folder):
+    """The lengths of the encoded lines, and the longest line with its first tokens: (report, measure, value, shown)."""
+    made = shared_corpus(spark, folder)
+
+    def rows(df: DataFrame, report: str, measures: list[str], shown=F.lit(None).cast("string")) -> DataFrame:
+        pairs = F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).cast("double").alias("value")) for m in measures])
+        return df.select(F.lit(report).alias("report"), F.inline(pairs), shown.alias("shown"))
+
+    sizes = rows(made.lengths, "sequences", made.lengths.columns)
+    return sizes.unionByName(rows(made.longest, "longest", ["length", "n_tokens"], F.array_join("tokens", " ")))
+
+
 # --- features ----------------------------------------------------------------
 
 
@@ -697,6 +761,18 @@ def mean_pool(spark, folder):
     return rounded(pooled.select("label", F.posexplode("features").alias("dim", "mean")), "mean")
 
 
+@query
+def pooled_tokens(spark, folder):
+    """Mean vector of the first 1024 bytes of each text; every byte token has one of the embeddings as its vector."""
+    vocabulary = bpe.Vocabulary.initial()
+    embeddings = table(spark, folder, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
+    owner = F.pmod(F.col("id") * 31, F.lit(embeddings.count())).alias("vec_id")
+    vectors = spark.range(len(vocabulary.ids)).select(F.col("id").alias("token"), owner).join(embeddings, "vec_id")
+    documents = table(spark, folder, "documents").select("doc_id", "text")
+    pooled = features.pool_tokens(bpe.encode(documents, "text", vocabulary), "doc_id", "ids", vectors)
+    return rounded(pooled.select("doc_id", F.posexplode("features").alias("dim", "mean")), "mean")
+
+
 @query
 def feature_shape(spark, folder):
     """Both feature matrices of the whole tables, written, read back and measured."""
@@ -761,6 +837,13 @@ def hash_split(spark, folder):
     return documents.select("doc_id", model.hash_split("doc_id").cast("int").alias("is_test"))
 
 
+@query
+def exact_split(spark, folder):
+    """Exactly a fifth of the documents, by the least hashes."""
+    split = model.exact_split(table(spark, folder, "documents").select("doc_id"), "doc_id")
+    return split.select("doc_id", F.col("is_test").cast("int").alias("is_test"))
+
+
 def quality_scores(spark, folder) -> DataFrame:
     """Documents with a quality label; the score is their length."""
     labels = table(spark, folder, "labels").select("doc_id", "quality")

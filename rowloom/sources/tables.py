@@ -63,10 +63,11 @@ def read_lines(
 
 
 def write_table(df: DataFrame, path: str) -> None:
-    """Delimited files with a header and no row index; lists become list text."""
+    """Delimited files with a header and no row index; lists become list text, and blanks around a value stay."""
     lists = {f.name for f in df.schema.fields if isinstance(f.dataType, T.ArrayType)}
     flat = df.select(*[list_text(F.col(f"`{c}`")).alias(c) if c in lists else F.col(f"`{c}`") for c in df.columns])
-    flat.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    flat.write.mode("overwrite").option("header", True).option("escape", '"').option(
+        "ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def write_lines(df: DataFrame, column: str, path: str) -> None:

@@ -52,13 +52,27 @@ def write_vocabulary(spark: SparkSession, vocabulary: Vocabulary, folder: str) -
 
 
 def write_settings(spark: SparkSession, vocabulary: Vocabulary, folder: str, limit: int = 512) -> None:
-    """tokenizer.json next to the vocabulary: framing, cut and padding with the dictionary in one file."""
+    """tokenizer.json next to the vocabulary, in the published layout: dictionary, cuts, framing, cut to ``limit``, padding."""
     start, pad, end = vocabulary.special[0], vocabulary.special[1], vocabulary.special[2]
+    by_bytes = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+    plain = {"single_word": False, "lstrip": False, "rstrip": False, "normalized": False, "special": True}
     settings = {
-        "truncation": {"max_length": limit},
-        "padding": {"strategy": "longest", "pad_id": vocabulary.ids[pad], "pad_token": pad},
-        "framing": {"start": [start, vocabulary.ids[start]], "end": [end, vocabulary.ids[end]]},
-        "model": {"type": "BPE", "vocab": vocabulary.ids, "merges": [f"{a} {b}" for a, b in vocabulary.merges]},
+        "version": "1.0",
+        "truncation": {"direction": "Right", "max_length": limit, "strategy": "LongestFirst", "stride": 0},
+        "padding": {
+            "strategy": "BatchLongest", "direction": "Right", "pad_to_multiple_of": None,
+            "pad_id": vocabulary.ids[pad], "pad_type_id": 0, "pad_token": pad,
+        },
+        "added_tokens": [{"id": vocabulary.ids[t], "content": t, **plain} for t in vocabulary.special],
+        "normalizer": None,
+        "pre_tokenizer": by_bytes,
+        "post_processor": {"type": "BertProcessing", "sep": [end, vocabulary.ids[end]], "cls": [start, vocabulary.ids[start]]},
+        "decoder": by_bytes,
+        "model": {
+            "type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": None,
+            "fuse_unk": False, "byte_fallback": False, "ignore_merges": False,
+            "vocab": vocabulary.ids, "merges": [f"{a} {b}" for a, b in vocabulary.merges],
+        },
     }
     _write_file(spark, f"{folder}/tokenizer.json", json.dumps(settings, ensure_ascii=False))
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from rowloom.functions.text import pieces
 from rowloom.operators import bpe
 from rowloom.plans import queries
+from rowloom.plans.corpus import build_corpus
 from rowloom.sources import matrix, tables, tokens
 from rowloom.streaming.convert import convert_files
 
@@ -124,11 +125,38 @@ def test_files_round_trip_and_every_line_is_verified(spark, corpus, vocabulary,
     assert shown == {4: "<s>#", 6: None}
 
 
-def test_settings_hold_the_dictionary_and_the_framing(spark, vocabulary, tmp_path):
-    tokens.write_settings(spark, vocabulary, str(tmp_path), limit=64)
-    read = json.loads((tmp_path / "tokenizer.json").read_text(encoding="utf-8"))
-    assert read["model"]["vocab"] == vocabulary.ids and len(read["model"]["merges"]) == len(vocabulary.merges)
-    assert read["truncation"] == {"max_length": 64} and read["framing"]["end"] == ["</s>", 2] and read["padding"]["pad_id"] == 1
+def test_settings_load_in_the_library(spark, vocabulary, tmp_path):
+    """The file frames, cuts and pads there as the operators do here."""
+    tokenizers = pytest.importorskip("tokenizers")
+    tokens.write_settings(spark, vocabulary, str(tmp_path), limit=16)
+    loaded = tokenizers.Tokenizer.from_file(str(tmp_path / "tokenizer.json"))
+    assert loaded.get_vocab() == vocabulary.ids
+    texts = [t for t in LINES if "<s>" not in t]
+    rows = spark.createDataFrame(list(enumerate(texts)), "pos bigint, text string")
+    framed = bpe.frame_batches(bpe.encode(rows, "text", vocabulary), "ids", batch=100, limit=16, dropped=("text",))
+    for row, want in zip(framed.orderBy("pos").collect(), loaded.encode_batch(texts), strict=True):
+        assert list(row["input_ids"]) == want.ids and list(row["attention_mask"]) == want.attention_mask
+
+
+def test_corpus_is_built_without_a_copy_of_the_conversion(spark, tmp_path):
+    (tmp_path / "bulk").mkdir()
+    (tmp_path / "bulk" / "a.tsv").write_text("".join(f"{'C' * (i % 9)}{i}\tid{i}\n" for i in range(300)) + "\tempty\n")
+    calls = spark.sparkContext.accumulator(0)
+
+    def how(value):
+        calls.add(1)
+        if value.endswith("7"):
+            raise ValueError(value)
+        return f"InChI=1S/{value}" if value else ""
+
+    made = build_corpus(spark, str(tmp_path / "bulk"), str(tmp_path / "out"), names=["s", "id"], column="s", how=how, vocab_size=300)
+    assert tuple(made.outcomes.first()) == (301, 270, 31, 89.7)
+    assert calls.value == 301
+    assert tuple(made.verified.first()) == (270, 0, 0)
+    lengths, longest = made.lengths.first(), made.longest.first()
+    assert lengths["n"] == 270 and lengths["longest"] >= longest["n_tokens"] > 0
+    stored = tables.read_lines(spark, str(tmp_path / "out" / "lines"), "line", "pos")
+    assert stored.count() == 270 and "".join(longest["tokens"]).startswith("InChI=1S/")
 
 
 def test_ids_as_text_lines(spark, corpus, vocabulary, tmp_path):

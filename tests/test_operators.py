@@ -1,7 +1,9 @@
+import bisect
 import random
 
 import pandas as pd
 import pytest
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from rowloom.operators import curate, features, lists, metrics, model, order, profile
@@ -281,6 +283,27 @@ def test_describe_text_with_lists_and_ties(spark):
     assert got == {"s": (4, 2, "b", 2), "l": (3, 2, '["x"]', 2)}
 
 
+def test_describe_text_in_one_scan(spark):
+    """Numbers tie as numbers, empty columns keep their row, and more columns do not mean more scans."""
+    df = spark.createDataFrame([(10, 0.0, None, "x"), (9, -0.0, None, None), (10, 2.5, None, "y"), (9, 1.5, None, "x")], "a int, b double, c string, d string")
+    made = profile.describe_text(df, ["a", "b", "c", "d"])
+    got = {r["column"]: tuple(r)[1:] for r in made.collect()}
+    assert got == {"a": (4, 2, "9", 2), "b": (4, 3, "0.0", 2), "c": (0, 0, None, None), "d": (3, 2, "x", 2)}
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 2
+
+
+@pytest.mark.parametrize("size", [64, 200])
+def test_merged_sketches_stay_within_their_error(spark, size):
+    df = spark.range(60_000).selectExpr("id % 7 AS part", "CAST(pmod(hash(id), 10007) AS BIGINT) * CAST(1 + id % 3 AS BIGINT) AS v")
+    parts = profile.length_sketches(df.unionByName(df.limit(1).selectExpr("part", "CAST(NULL AS BIGINT) AS v")), "v", ["part"], size)
+    found = profile.sketch_profile(profile.merged_sketches(parts)).first()
+    values = sorted(r["v"] for r in df.select("v").collect())
+    assert found["n"] == 60_000 and profile.sketch_profile(parts).count() == 7
+    for name, q in {"median": 0.5, **profile.LENGTH_FRACTIONS}.items():
+        low, high = bisect.bisect_left(values, found[name]) / 60_000, bisect.bisect_right(values, found[name]) / 60_000
+        assert low - profile.sketch_error(size) <= q <= high + profile.sketch_error(size)
+
+
 def test_length_profile_of_one_line(spark):
     got = profile.length_profile(spark.createDataFrame([(4,)], "v int"), "v").first()
     assert (got["n"], got["mean"], got["median"], got["longest"], got["p99_9"]) == (1, 4.0, 4.0, 4, 4.0)
@@ -367,3 +390,59 @@ def test_split_is_repeatable_and_about_a_fifth(spark):
     share = df.filter("t").count() / 5000
     assert 0.18 < share < 0.22
     assert df.filter("t").exceptAll(spark.range(5000).repartition(7).withColumn("t", model.hash_split("id")).filter("t")).count() == 0
+
+
+def test_best_round_waits_for_patience():
+    assert model.best_round([5, 4, 3], 2) == (3, False)
+    assert model.best_round([5, 4, 4.5, 3, 3.5, 3.6, 1], 2) == (4, True)
+    assert model.best_round([5, 4, 4.5, 3, 3.5, 3.6, 1], 1) == (2, True)
+    assert model.best_round([2, 2, 2], 2) == (1, True)
+    assert model.best_round([], 2) == (0, False)
+
+
+def test_boosting_is_cut_at_its_best_round(spark):
+    random.seed(3)
+    data = []
+    for i in range(260):
+        x = [random.gauss(0, 1) for _ in range(3)]
+        data.append((x, [int(x[0] + random.gauss(0, 0.8) > 0), int(x[1] > 0.2)], i % 4 == 0))
+    df = spark.createDataFrame(data, "x array<double>, y array<int>, val boolean").repartition(2)
+    fitted = model.fit_labels(df, "x", "y", 2, validation="val", rounds=30, max_depth=3, first=4)
+    held = df.filter("val").select(array_to_vector("x").alias("_x"), F.col("y"))
+    for i, one in enumerate(fitted):
+        best, stopped = model.best_round(one.curve, 2)
+        assert one.rounds == best == one.model.getNumTrees and (stopped or len(one.curve) == 30)
+        losses = one.model.evaluateEachIteration(held.withColumn("_y", F.col("y")[i].cast("double")))
+        assert losses == pytest.approx(one.curve[:best])
+    assert fitted[1].curve[fitted[1].rounds - 1] < fitted[1].curve[0]
+    scored = model.predict_labels(df, [one.model for one in fitted], "x")
+    assert scored.filter(F.col("predicted")[1] == F.col("y")[1]).count() > 230
+    whole = model.fit_labels(df.withColumn("val", F.lit(False)), "x", "y", 1, validation="val", rounds=3, max_depth=2)
+    assert (whole[0].rounds, whole[0].curve) == (3, [])
+
+
+@pytest.mark.parametrize("n", [0, 1, 4, 5, 6, 333])
+def test_exact_split_has_the_exact_size(spark, n):
+    df = spark.createDataFrame([(i, k) for i in range(n) for k in range(1 + i % 2)], "id bigint, k int")
+    split = model.exact_split(df, "id")
+    assert split.filter("is_test").select("id").distinct().count() == -(-n // 5)
+    assert split.groupBy("id").agg(F.count_distinct("is_test").alias("sides")).filter("sides > 1").count() == 0
+    again = model.exact_split(df.repartition(3), "id")
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, split.collect()))
+
+
+def test_class_list_is_bounded(spark):
+    df = spark.createDataFrame([(["a", "b"],), (["c", None],)], "l array<string>")
+    assert model.class_list(df, "l", most=3) == ["a", "b", "c"]
+    with pytest.raises(ValueError):
+        model.class_list(df, "l", most=2)
+
+
+@pytest.mark.parametrize("sent_bytes", [1 << 20, 0])
+def test_token_vectors_are_pooled(spark, sent_bytes):
+    """Both ways of meeting the vectors, with masks, cuts, unknown tokens and empty sequences."""
+    vectors = spark.createDataFrame([(t, [float(t), t * t / 2.0]) for t in range(6)], "token int, vector array<double>")
+    rows_ = [(1, [0, 1, 2, 3], [1, 0, 1, 1]), (2, [5] * 40, [1] * 40), (3, [], []), (4, [1, 2], [0, 0]), (5, [9, 4], [1, 1]), (6, None, None), (None, [2], [1])]
+    df = spark.createDataFrame(rows_, "id int, ids array<int>, mask array<int>")
+    got = {r["id"]: r["features"] for r in features.pool_tokens(df, "id", "ids", vectors, mask="mask", limit=3, sent_bytes=sent_bytes, salts=4).collect()}
+    assert got == {1: [1.0, 1.0], 2: [5.0, 12.5], 3: None, 4: None, 5: [4.0, 8.0], 6: None, None: [2.0, 2.0]}

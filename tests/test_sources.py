@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from rowloom.functions.text import NA_TOKENS
 from rowloom.sources import tables
 from rowloom.sources.records import read_records
+from rowloom.sources.snapshots import Snapshot
 
 SCHEMA = "id bigint, title string, note string"
 
@@ -88,3 +89,53 @@ def test_records_without_header_and_of_nothing(spark, tmp_path, splits_of):
     assert sorted(r[0] for r in read_records(spark, str(tmp_path), header=False).collect()) == ['1,"a\nb"', "2,c"]
     (tmp_path / "a.csv").write_text("")
     assert read_records(spark, str(tmp_path), pos="pos").count() == 0
+
+
+# --- snapshots ------------------------------------------------------------------------
+
+
+def test_snapshot_looks_up_only_what_is_new(spark, tmp_path):
+    snapshot = Snapshot(spark, str(tmp_path / "s"))
+    asked = []
+
+    def build(unseen):
+        asked.append(sorted(r[0] for r in unseen.collect()))
+        return unseen.filter("name <> 'none'").select("name", F.concat(F.lit("found "), "name").alias("value"))
+
+    first = spark.createDataFrame([("a",), ("b",), ("none",), (None,), ("a",)], "name string")
+    second = spark.createDataFrame([("b",), ("c",), ("none",)], "name string")
+    with pytest.raises(ValueError):
+        snapshot.read()
+    one = snapshot.grow(first, "name", build)
+    two = snapshot.grow(second, "name", build)
+    again = snapshot.grow(first.unionByName(second), "name", build)
+    assert asked == [["a", "b", "none"], ["c"]] and snapshot.versions() == [1, 2]
+    rows = [("a", "found a", 1), ("b", "found b", 1), ("c", "found c", 2)]
+    assert sorted(map(tuple, one.collect())) == rows[:2]
+    assert sorted(map(tuple, two.collect())) == rows == sorted(map(tuple, again.collect()))
+    assert snapshot.read(1).count() == 2
+
+
+def test_interrupted_and_competing_runs_leave_the_old_version(spark, tmp_path):
+    snapshot = Snapshot(spark, str(tmp_path / "s"))
+    names = spark.createDataFrame([("a",), ("b",)], "name string")
+    plain = lambda unseen: unseen.withColumn("value", F.lit(1))
+    snapshot.grow(names.limit(1), "name", plain)
+
+    def broken(unseen):
+        raise OSError("lost")
+
+    with pytest.raises(OSError):
+        snapshot.grow(names, "name", broken)
+    with pytest.raises(Exception):
+        snapshot.grow(names, "name", lambda unseen: unseen.withColumn("value", F.raise_error(F.lit("no")).cast("int")))
+    assert snapshot.versions() == [1] and snapshot.read().count() == 1
+
+    def overtaken(unseen):
+        Snapshot(spark, str(tmp_path / "s")).grow(names, "name", plain)
+        return plain(unseen)
+
+    with pytest.raises(RuntimeError):
+        snapshot.grow(names, "name", overtaken)
+    assert snapshot.versions() == [1, 2] and snapshot.read().count() == 2
+    assert not list((tmp_path / "s" / "versions").glob(".*json"))
