@@ -239,6 +239,7 @@ SELECT count(*) AS total, count(*) FILTER (WHERE good) AS success, count(*) FILT
     "stream_convert": f"SELECT CAST({_EVEN} AS VARCHAR) AS output, count(*) AS n FROM events WHERE {_EVEN} % 2 = 0 GROUP BY 1",
     "roundtrip_table": _USER_LISTS,
     "roundtrip_headerless": "SELECT url, '' AS blank, CAST(page_id AS VARCHAR) AS page_id FROM pages",
+    "bucketed_join": "SELECT doc_id, n_chars, quality, toxic FROM documents JOIN labels USING (doc_id)",
     "grown_snapshot": """SELECT CASE WHEN c_mktsegment = 'BUILDING' THEN 1 ELSE 2 END AS version, o_custkey, o_orderkey
 FROM orders JOIN customer ON o_custkey = c_custkey""",
     "exact_split": """SELECT doc_id, CAST(row_number() OVER (ORDER BY substr(md5(CAST(doc_id AS VARCHAR)), 1, 15), CAST(doc_id AS VARCHAR))

@@ -23,6 +23,7 @@ from rowloom.plans.oracles import FIRST_MERGES
 from rowloom.plans.represent import represent
 from rowloom.session import materialize, scratch_path
 from rowloom.sources import matrix, tables, tokens
+from rowloom.sources.buckets import write_bucketed
 from rowloom.sources.snapshots import Snapshot
 from rowloom.streaming.convert import convert_files
 
@@ -39,6 +40,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def texts(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents' ids and texts, dealt out where they come in few row groups."""
+    return tables.read_dealt(spark, f"{folder}/documents.parquet", ["doc_id", "text"])
+
+
 def joined_text(column: str):
     return F.array_join(column, ",")
 
@@ -511,6 +517,14 @@ def roundtrip_cached(spark, folder):
     return tables.cached_table(spark, path, build)
 
 
+@query
+def bucketed_join(spark, folder):
+    """Documents and labels, both in buckets of the id, joined where they lie."""
+    documents = write_bucketed(table(spark, folder, "documents").select("doc_id", "n_chars"), "doc_id")
+    labels = write_bucketed(table(spark, folder, "labels"), "doc_id")
+    return curate.join_by_position(documents, labels, "doc_id")
+
+
 @query
 def grown_snapshot(spark, folder):
     """Orders by customer, looked up for one market segment first and then for all customers: the second run adds the rest."""
@@ -527,24 +541,24 @@ def grown_snapshot(spark, folder):
 
 @query
 def piece_counts(spark, folder):
-    return bpe.piece_counts(table(spark, folder, "documents"), "text", text.PLAIN_PATTERN)
+    return bpe.piece_counts(texts(spark, folder), "text", text.PLAIN_PATTERN)
 
 
 @query
 def byte_level_pieces(spark, folder):
     """Pieces by the full pattern: their number and a digest of them, the cuts marked."""
-    documents = table(spark, folder, "documents").select("doc_id", text.pieces("text").alias("p"))
+    documents = texts(spark, folder).select("doc_id", text.pieces("text").alias("p"))
     return documents.select("doc_id", F.size("p").alias("n"), F.md5(F.array_join("p", "\x1f")).alias("cuts"))
 
 
 @query
 def pair_counts(spark, folder):
-    counts = bpe.piece_counts(table(spark, folder, "documents"), "text", text.PLAIN_PATTERN)
+    counts = bpe.piece_counts(texts(spark, folder), "text", text.PLAIN_PATTERN)
     return bpe.pair_counts(counts)
 
 
 def learned(spark, folder, vocab_size: int = 2000) -> bpe.Vocabulary:
-    counts = bpe.piece_counts(table(spark, folder, "documents"), "text", terminator="\n")
+    counts = bpe.piece_counts(texts(spark, folder), "text", terminator="\n")
     return bpe.learn(counts, vocab_size)
 
 
@@ -572,13 +586,13 @@ def bpe_learn(spark, folder):
 @query
 def byte_level_counts(spark, folder):
     """How often each piece of the full pattern occurs, the line's end among them."""
-    return bpe.piece_counts(table(spark, folder, "documents"), "text", terminator="\n")
+    return bpe.piece_counts(texts(spark, folder), "text", terminator="\n")
 
 
 @query
 def bpe_first_merges(spark, folder):
     """The first merges of the corpus, as the bytes they join: what recursive SQL can follow of ``bpe_learn``."""
-    counts = bpe.piece_counts(table(spark, folder, "documents"), "text", terminator="\n")
+    counts = bpe.piece_counts(texts(spark, folder), "text", terminator="\n")
     merges = bpe.learn(counts, max_merges=FIRST_MERGES).merges
     rows = [(i, bpe.token_bytes(left).hex(), bpe.token_bytes(right).hex()) for i, (left, right) in enumerate(merges)]
     return spark.createDataFrame(rows, "rank bigint, left string, right string")
@@ -590,7 +604,7 @@ def bpe_roundtrip(spark, folder):
 
     Each document shows the digest of the text that its stored ids decode to.
     """
-    documents = table(spark, folder, "documents").select(F.col("doc_id").alias("pos"), "text")
+    documents = texts(spark, folder).withColumnRenamed("doc_id", "pos")
     vocabulary = shared_vocabulary(spark, folder)
     ids = scratch_path(spark, "ids")
     tokens.write_token_ids(bpe.encode(documents, "text", vocabulary), "ids", ids)
@@ -606,7 +620,7 @@ def bpe_roundtrip(spark, folder):
 def ids_file(spark, folder, vocabulary: bpe.Vocabulary) -> DataFrame:
     """Ids as text lines in order of the documents, read back."""
     path = scratch_path(spark, "lines")
-    documents = table(spark, folder, "documents").select("doc_id", "text")
+    documents = texts(spark, folder)
     coded = bpe.encode(documents, "text", vocabulary)
     tokens.export_token_ids(coded, "ids", path, "doc_id")
     read = tokens.import_token_ids(spark, path)
@@ -627,14 +641,14 @@ def learned_ids_file(spark, folder):
 @query
 def byte_encode(spark, folder):
     """Encoding without merges: one id per byte, five behind the special tokens for the first of the alphabet."""
-    documents = table(spark, folder, "documents").select("doc_id", "text")
+    documents = texts(spark, folder)
     coded = bpe.encode(documents, "text", bpe.Vocabulary.initial())
     total = F.aggregate("ids", F.lit(0), lambda a, i: a + i)
     return coded.select("doc_id", F.size("ids").alias("n_tokens"), total.alias("total"))
 
 
 def longest_of(spark, folder, vocabulary: bpe.Vocabulary) -> DataFrame:
-    documents = table(spark, folder, "documents").select(F.col("doc_id").alias("pos"), "text")
+    documents = texts(spark, folder).withColumnRenamed("doc_id", "pos")
     return bpe.longest_encoded(documents, "text", vocabulary)
 
 
@@ -652,7 +666,7 @@ def learned_longest_encoded(spark, folder):
 
 def framed_sizes(spark, folder, vocabulary: bpe.Vocabulary) -> DataFrame:
     """Framed, cut and padded sequences, described by their sizes."""
-    documents = table(spark, folder, "documents").select("doc_id", "text")
+    documents = texts(spark, folder)
     ids = bpe.encode(documents, "text", vocabulary)
     framed = bpe.frame_batches(ids, "ids", "doc_id", batch=16, dropped=("text",))
     valid = F.aggregate("attention_mask", F.lit(0), lambda a, m: a + m)
@@ -678,7 +692,7 @@ def learned_frame_batches(spark, folder):
 
 def cut_masks(spark, folder, vocabulary: bpe.Vocabulary) -> DataFrame:
     """The first 1024 positions of each sequence, with their mask up to the longest of the table."""
-    documents = table(spark, folder, "documents").select("doc_id", "text")
+    documents = texts(spark, folder)
     ids = bpe.encode(documents, "text", vocabulary)
     cut = ids.select("doc_id", arrays.truncate("ids").alias("ids"))
     mask = arrays.validity_mask("ids", F.lit(1024))
@@ -748,7 +762,7 @@ def corpus_profile(spark, folder):
 
 @query
 def hashed_counts(spark, folder):
-    documents = table(spark, folder, "documents").select("doc_id", "text")
+    documents = texts(spark, folder)
     return features.hashed_counts(documents, "doc_id", "text")
 
 
@@ -768,7 +782,7 @@ def pooled_tokens(spark, folder):
     embeddings = table(spark, folder, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
     owner = F.pmod(F.col("id") * 31, F.lit(embeddings.count())).alias("vec_id")
     vectors = spark.range(len(vocabulary.ids)).select(F.col("id").alias("token"), owner).join(embeddings, "vec_id")
-    documents = table(spark, folder, "documents").select("doc_id", "text")
+    documents = texts(spark, folder)
     pooled = features.pool_tokens(bpe.encode(documents, "text", vocabulary), "doc_id", "ids", vectors)
     return rounded(pooled.select("doc_id", F.posexplode("features").alias("dim", "mean")), "mean")
 
@@ -777,7 +791,7 @@ def pooled_tokens(spark, folder):
 def feature_shape(spark, folder):
     """Both feature matrices of the whole tables, written, read back and measured."""
     where = scratch_path(spark, "features")
-    documents = table(spark, folder, "documents").select("doc_id", "text")
+    documents = texts(spark, folder)
     vectors = table(spark, folder, "embeddings").select("label", "embedding", F.lit(1).alias("mask"))
     hashed = represent(documents, "doc_id", {"hashed": ("hashed", "text", {})}, where, {"hashed": 2048})
     pooled = represent(vectors, "label", {"pooled": ("pooled", "embedding", {"mask": "mask"})}, where, {"pooled": 64})
@@ -787,7 +801,7 @@ def feature_shape(spark, folder):
 @query
 def dense_vectors(spark, folder):
     """Sum and filled places of every hashed vector."""
-    documents = table(spark, folder, "documents").select("doc_id", "text")
+    documents = texts(spark, folder)
     vectors = features.featurise(documents, "doc_id", "text")
     return vectors.select(
         "doc_id",
@@ -804,7 +818,7 @@ def featurise_function(spark, folder):
     def lengths(df: DataFrame, id_col: str, column: str) -> DataFrame:
         return df.select(id_col, F.array(F.char_length(column), text.word_count(column)).alias("features"))
 
-    documents = table(spark, folder, "documents").select("doc_id", "text")
+    documents = texts(spark, folder)
     made = features.featurise(documents, "doc_id", "text", lengths, element="double")
     return made.select("doc_id", F.col("features")[0].alias("chars"), F.col("features")[1].alias("words"))
 

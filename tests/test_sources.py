@@ -7,7 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from rowloom.functions.text import NA_TOKENS
+from rowloom.operators.curate import join_by_position
 from rowloom.sources import tables
+from rowloom.sources.buckets import drop_bucketed, write_bucketed
 from rowloom.sources.records import read_records
 from rowloom.sources.snapshots import Snapshot
 
@@ -139,3 +141,35 @@ def test_interrupted_and_competing_runs_leave_the_old_version(spark, tmp_path):
         snapshot.grow(names, "name", overtaken)
     assert snapshot.versions() == [1, 2] and snapshot.read().count() == 2
     assert not list((tmp_path / "s" / "versions").glob(".*json"))
+
+
+# --- tables for few tasks and for joins -----------------------------------------------
+
+
+def test_bucketed_tables_meet_without_an_exchange(spark, tmp_path):
+    names = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "true"}
+    before = {n: spark.conf.get(n) for n in names}
+    for n, v in names.items():
+        spark.conf.set(n, v)
+    try:
+        left = write_bucketed(spark.range(500).selectExpr("id AS pos", "id * 2 AS a"), "pos", 6, str(tmp_path / "left"), "left_rows")
+        right = write_bucketed(spark.range(0, 700, 7).selectExpr("id AS pos", "id * 3 AS b"), "pos", 6)
+        joined = join_by_position(left, right)
+        assert sorted(map(tuple, joined.collect())) == [(i, 2 * i, 3 * i) for i in range(0, 500, 7)]
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange" not in plan
+        grouped = left.groupBy("pos").agg(F.sum("a"))
+        grouped.collect()
+        assert "Exchange" not in grouped._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for n, v in before.items():
+            spark.conf.set(n, v)
+        drop_bucketed(spark, "left_rows")
+    assert (tmp_path / "left").exists()
+
+
+def test_few_row_groups_are_dealt_to_all_cores(spark, tmp_path):
+    spark.range(100).selectExpr("id", "id AS x").coalesce(1).write.parquet(str(tmp_path / "one"))
+    dealt = tables.read_dealt(spark, str(tmp_path / "one"), ["id"], 5)
+    assert dealt.columns == ["id"] and dealt.rdd.getNumPartitions() == 20 and dealt.count() == 100
+    assert tables.read_dealt(spark, str(tmp_path / "one"), ["id"], 1).rdd.getNumPartitions() == 1
