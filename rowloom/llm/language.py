@@ -3,8 +3,9 @@
 Training counts n-grams per language inside the tasks and adds the counts up in
 Spark; the driver receives at most ``buckets`` times the number of languages
 figures and turns them into a matrix of log-probabilities, which is broadcast.
-Scoring treats a batch as a sparse matrix of documents and buckets: it adds up
-the rows of the matrix that the n-grams name.
+Scoring treats a batch as a sparse matrix of counts, documents by buckets, and multiplies it with
+that matrix, some 65 536 n-grams at a time: what a slice needs is bounded, however long a text is
+and however many languages there are.
 
 Texts are lower-cased; every run of characters that are no letters or marks is
 one space. n-grams hold ``orders`` code points and may begin or end with that
@@ -12,8 +13,9 @@ space.
 
 Defined results: a text that is null or has no letter gives ``und`` and score 0;
 so does every text if nothing could be learned. Ties go to the smaller language
-name. Rows without a text or a language teach nothing. Extra columns pass
-through ``predict`` untouched; its two new columns replace columns of those names.
+name. Rows without a text or a language teach nothing; repeated rows teach and are scored each. Bytes that are no
+valid UTF-8 are no letters. Very long texts are read whole. A null id is an id like any other. An empty table
+gives no rows. Extra columns pass through ``predict`` untouched; its two new columns replace columns of those names.
 """
 
 from __future__ import annotations
@@ -36,6 +38,9 @@ ORDERS = (1, 2, 3)
 MOST_LANGUAGES = 400
 CHUNK_BYTES = 1 << 20
 UNDETERMINED = "und"
+#: n-grams counted at a time, and cells of the matrix (8 bytes each) taken at a time.
+SLICE = 1 << 16
+CELLS = 1 << 21
 
 
 def letters() -> np.ndarray:
@@ -50,14 +55,13 @@ def _points(texts: list[str | None], kinds: np.ndarray) -> tuple[np.ndarray, np.
     points = np.frombuffer("".join([f"\n{t}\n" for t in low]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     kind = kinds[points]
     edges = np.concatenate([[0], np.cumsum([len(t) + 2 for t in low])])
-    has = np.add.reduceat((kind == 1).astype(np.int64), edges[:-1]) > 0
+    has = np.maximum.reduceat(kind == 1, edges[:-1])
     inside = kind > 0
     keep = inside.copy()
     keep[1:] |= inside[:-1]  # the first character after a word stands for the gap
     keep[edges[:-1]] = True
-    clean = np.where(inside, points, 32)[keep]
-    before = np.concatenate([[0], np.cumsum(keep)])
-    return clean, before[edges], has
+    points = np.where(inside, points, np.uint32(32))[keep]
+    return points, np.concatenate([[0], np.cumsum(np.add.reduceat(keep, edges[:-1], dtype=np.int64))]), has
 
 
 def _hashed(clean: np.ndarray, order: int, buckets: int) -> np.ndarray:
@@ -70,10 +74,20 @@ def _hashed(clean: np.ndarray, order: int, buckets: int) -> np.ndarray:
     return (value & np.uint32(buckets - 1)).astype(np.int32)
 
 
-def _astride(edges: np.ndarray, order: int, n: int) -> np.ndarray:
-    """Places below ``n`` whose n-gram reaches into the next text."""
-    places = np.concatenate([edges[1:] - i for i in range(1, order)] or [edges[:0]])
-    return places[places < n]
+def _grams(clean: np.ndarray, edges: np.ndarray, order: int, buckets: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Text number and bucket of every n-gram that lies inside its text, ``SLICE`` at a time."""
+    for begin in range(0, clean.size - order + 1, SLICE):
+        end = min(begin + SLICE, clean.size - order + 1)
+        first = int(np.searchsorted(edges, begin, side="right")) - 1
+        last = int(np.searchsorted(edges, end, side="left"))
+        sizes = np.diff(np.clip(edges[first : last + 1], begin, end))
+        text = np.repeat(np.arange(first, last), sizes)
+        inside = np.arange(begin, end) + order <= edges[text + 1]
+        yield text[inside], _hashed(clean[begin : end + order - 1], order, buckets)[inside]
+
+
+def _read(column: pa.Array) -> list[str | None]:
+    return [None if t is None else t.decode("utf-8", "replace") for t in column.cast(pa.binary()).to_pylist()]
 
 
 @dataclass
@@ -88,12 +102,16 @@ class Model:
         if not self.languages or not texts:
             return [UNDETERMINED] * len(texts), [0.0] * len(texts)
         clean, edges, has = _points(texts, self.kinds)
-        each = np.zeros((clean.size, len(self.languages)))
+        buckets = self.logs.shape[0]
+        total = np.tile(self.prior, (len(texts), 1))
+        step = max(1, CELLS // len(self.languages))
         for order in self.orders:
-            rows = self.logs[_hashed(clean, order, self.logs.shape[0])]
-            rows[_astride(edges, order, len(rows))] = 0
-            each[: len(rows)] += rows
-        total = self.prior + np.add.reduceat(each, edges[:-1], axis=0)
+            for text, bucket in _grams(clean, edges, order, buckets):
+                cells, n = np.unique(text * buckets + bucket, return_counts=True)
+                for i in range(0, cells.size, step):
+                    owner, which = np.divmod(cells[i : i + step], buckets)
+                    starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+                    total[owner[starts]] += np.add.reduceat(self.logs[which] * n[i : i + step, None], starts, axis=0)
         best = total.argmax(axis=1)
         top = total[np.arange(len(texts)), best]
         score = 1.0 / np.exp(total - top[:, None]).sum(axis=1)
@@ -117,16 +135,15 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", buckets: int
         texts: dict[str, int] = {}
         for piece in chunks(batches, "text", CHUNK_BYTES):
             langs = np.array(piece.column("lang").to_pylist(), dtype=object)
-            every = np.array(piece.column("text").to_pylist(), dtype=object)
+            every = np.array(_read(piece.column("text")), dtype=object)
             for name in sorted(set(langs)):
                 own = list(every[langs == name])
                 clean, edges, has = _points(own, sent.value)
                 mine = counts.setdefault(name, np.zeros(buckets, dtype=np.int64))
                 texts[name] = texts.get(name, 0) + int(has.sum())
                 for order in orders:
-                    grams = _hashed(clean, order, buckets)
-                    mine += np.bincount(grams, minlength=buckets)
-                    mine -= np.bincount(grams[_astride(edges, order, grams.size)], minlength=buckets)
+                    for _, bucket in _grams(clean, edges, order, buckets):
+                        mine += np.bincount(bucket, minlength=buckets)
         for name, mine in counts.items():
             used = np.flatnonzero(mine)
             yield pa.RecordBatch.from_arrays(
@@ -167,7 +184,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text", lang_pred: str =
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = restored(Model, sent.value)
         for piece in chunks(batches, text, CHUNK_BYTES):
-            names, scores = known.predict(piece.column(text).to_pylist())
+            names, scores = known.predict(_read(piece.column(text)))
             yield pa.RecordBatch.from_arrays(
                 [*(piece.column(c) for c in kept), pa.array(names, pa.string()), pa.array(scores, pa.float64())],
                 names=[*kept, lang_pred, score],
