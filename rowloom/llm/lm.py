@@ -45,7 +45,7 @@ from pyspark.sql import types as T
 from rowloom.llm.words import chunks, joined_hash, lowered, word_hashes
 from rowloom.session import materialize
 
-ORDER = 2
+ORDER = 3
 MASS = 100.0
 BLOCK_BYTES = 4 << 20
 SHARD_BYTES = 16 << 20
