@@ -48,8 +48,7 @@ SELECT doc_id, CAST(line AS INTEGER) AS line, licence FROM canon JOIN known USIN
 
 PACKING = rf"""
 WITH RECURSIVE sized AS (SELECT doc_id, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS n FROM documents),
-stepped AS (SELECT *, CAST(pow(2, greatest(0, len(ltrim(bin(n), '0')) - {packing.DIGITS})) AS BIGINT) AS step FROM sized),
-rounded AS (SELECT doc_id, n, CAST((n + step - 1) // step * step AS BIGINT) AS size FROM stepped),
+rounded AS (SELECT doc_id, n, n AS size FROM sized),
 histogram AS (SELECT size, count(*) AS n FROM rounded GROUP BY 1),
 ends AS (SELECT row_number() OVER (ORDER BY size) AS j, size, CAST(sum(n) OVER (ORDER BY size) AS DOUBLE) AS total FROM histogram),
 points AS (SELECT 0 AS j, CAST(0 AS BIGINT) AS size, CAST(0 AS DOUBLE) AS total UNION ALL SELECT * FROM ends),

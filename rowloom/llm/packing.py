@@ -5,9 +5,11 @@ programming finds the at most ``buckets`` padded lengths that waste the fewest
 tokens. Inside a bucket of padded length L, documents in order of their id form
 batches of floor(``budget`` / L) documents.
 
-Lengths keep their ten leading binary digits and are rounded up beyond that, so
-the histogram, which goes to the driver, has at most 512 entries for each power of
-two however large the corpus is; lengths up to 1024 are exact. Numbers inside a
+The histogram that goes to the driver has at most 512 bins for each power of
+two however large the corpus is: lengths of equal ten leading binary digits share one, and
+lengths up to 1024 have their own. A bin stands for its longest length, which is a length that occurs. Bins
+around the boundaries chosen are then counted length by length, and boundaries chosen again, until none
+lies in or beside a bin that is not. So boundaries and padded lengths are exact lengths. Numbers inside a
 bucket come from counts per range of ids, never from one window over a bucket.
 
 Defined results: a null or empty text has length 0, the padded length of its
@@ -80,19 +82,34 @@ def boundaries(lengths: list[int], counts: list[int], buckets: int) -> list[int]
     return out[::-1]
 
 
+def _exact_edges(rows: DataFrame, buckets: int, beside: int = 2) -> list[int]:
+    """Boundaries over exact lengths for (n_tokens, bin): bins are opened around the boundaries until these do not ask for more."""
+    opened: set[int] = set()
+    while True:
+        own = F.col("bin").isin(*opened) if opened else F.lit(False)
+        points = rows.groupBy("bin", F.when(own, F.col("n_tokens")).alias("own")).agg(F.max("n_tokens").alias("size"), F.count(F.lit(1)).alias("n"))
+        found = points.select("bin", "size", "n").collect()
+        edges = boundaries([r["size"] for r in found], [r["n"] for r in found], buckets)
+        bins = sorted({r["bin"] for r in found})
+        at = {b: i for i, b in enumerate(bins)}
+        of = {r["size"]: r["bin"] for r in found}
+        near = {b for e in edges for b in bins[max(0, at[of[e]] - beside) : at[of[e]] + beside + 1]}
+        if near <= opened:
+            return edges
+        opened |= near
+
+
 def pack(docs: DataFrame, doc_id: str = "doc_id", length: Column | None = None, buckets: int = BUCKETS, budget: int = BUDGET,
          digits: int = DIGITS) -> DataFrame:
     """doc_id, n_tokens, bucket (from 0), bucket_length, batch (from 0 in each bucket), place in the batch."""
     length = word_count(F.col("text")) if length is None else length
     rows = materialize(docs.select(F.col(doc_id).alias("doc_id"), length.alias("n_tokens")), "lengths")
-    rows = rows.withColumn("rounded", rounded(F.col("n_tokens"), digits))
-    histogram = rows.groupBy("rounded").agg(F.count(F.lit(1)).alias("n")).collect()
-    edges = boundaries([r["rounded"] for r in histogram], [r["n"] for r in histogram], buckets)
+    edges = _exact_edges(rows.withColumn("bin", rounded(F.col("n_tokens"), digits)), buckets)
     bucket, padded = F.lit(0), F.lit(edges[0] if edges else 0)
     for k in range(1, len(edges)):
-        beyond = F.col("rounded") > edges[k - 1]
+        beyond = F.col("n_tokens") > edges[k - 1]
         bucket, padded = F.when(beyond, k).otherwise(bucket), F.when(beyond, edges[k]).otherwise(padded)
-    rows = rows.withColumn("bucket", bucket).withColumn("bucket_length", padded.cast("bigint")).drop("rounded")
+    rows = rows.withColumn("bucket", bucket).withColumn("bucket_length", padded.cast("bigint"))
     ranged = rows.repartitionByRange("bucket", "doc_id", "n_tokens").withColumn("part", F.spark_partition_id())
     ranged = materialize(ranged, "ranged")
     counts = ranged.groupBy("bucket", "part").agg(F.count(F.lit(1)).alias("n"))
