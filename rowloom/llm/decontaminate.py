@@ -10,12 +10,19 @@ Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after lower-casing A-Z: digi
 letters and everything beyond ASCII. A window is a run of ``window`` words of an
 item; an item of fewer words, but not none, is one window.
 
+Equal windows are one window with a list of its items, so a window is looked up and its
+places are listed once however many items share it; how far a place matches on is found
+by binary search among the benchmark's own suffixes in order.
+
 Words are compared by 64-bit hashes. The benchmark reaches the tasks in blocks of
-at most ``block_bytes`` of text, one pass over the documents for each block.
+at most ``block_bytes`` of distinct items, one pass over the documents for each block; an item longer than that is
+a block of its own.
 
 Defined results: null or wordless documents have zero words and no hits; null or
 wordless items have no windows; an item without item_id marks words but is not
-listed; repeated documents give a row each; items that repeat count once.
+listed; repeated documents, and rows with a null id, give a row each; items that repeat count once; very long texts are
+one chunk of their own, read whole; extra columns are ignored, and kept by ``remove``, whatever they are
+called; an empty table gives no rows, an empty benchmark no hits.
 """
 
 from __future__ import annotations
@@ -27,11 +34,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rowloom.llm.words import chunks, lowered, restored, word_hashes
+from rowloom.llm.words import chunks, joined_hash, lowered, restored, word_hashes
 
 WINDOW = 10
 CHUNK_BYTES = 6 << 20
 BLOCK_BYTES = 16 << 20
+#: Item names that leave a task in one batch, but for the list of one document.
+LISTED = 1 << 20
 
 
 def _gaps() -> np.ndarray:
@@ -129,9 +138,44 @@ class Benchmark:
         asked = np.minimum(window, sizes[self.owner])
         #: Words of the window that begins at a suffix; 0 where none begins.
         self.asked = np.where(self.left >= asked, asked, 0)
+        self._group()
+        self._order()
+
+    def _group(self) -> None:
+        """Equal windows as one: its first suffix, its words and the items that hold it."""
+        starts = np.flatnonzero(self.asked)
+        content = np.zeros(starts.size, dtype=np.uint64)
+        for i in range(self.window):
+            more = self.asked[starts] > i
+            content[more] = joined_hash(content[more], self.words[self.begin[starts[more]] + i])
+        _, first, group = np.unique(content, return_index=True, return_inverse=True)
+        #: The suffix that stands for each window, and the window that each such suffix stands for.
+        self.suffix = starts[first]
+        self.stands_for = np.full(self.begin.size, -1, dtype=np.int64)
+        self.stands_for[self.suffix] = np.arange(first.size)
+        owned = np.unique(np.stack([group, self.owner[starts]]), axis=1) if starts.size else np.zeros((2, 0), dtype=np.int64)
+        #: Items of window w: holders[edges[w]:edges[w + 1]].
+        self.holders, self.edges = owned[1], np.searchsorted(owned[0], np.arange(first.size + 1))
+
+    def _order(self) -> None:
+        """All suffixes in order, and for each full window the range of those that begin with it."""
+        self.known, ids = np.unique(self.words, return_inverse=True)
+        self.ids = ids.astype(np.int64)
+        self.order = suffix_array(self.ids, max(1, self.longest))
+        self.low, self.high = np.zeros((2, self.suffix.size), dtype=np.int64)
+        full = np.flatnonzero(self.asked[self.suffix] == self.window)
+        low, high = np.zeros(full.size, dtype=np.int64), np.full(full.size, self.words.size)
+        for depth in range(self.window):
+            wanted = self.ids[self.begin[self.suffix[full]] + depth]
+            low, high = _narrowed(lambda s: self.ids[np.minimum(self.order[s] + depth, self.ids.size - 1)], low, high, wanted)
+        self.low[full], self.high[full] = low, high
+
+    def items_of(self, windows: np.ndarray) -> np.ndarray:
+        """Numbers of the items that hold one of the windows."""
+        return np.unique(np.concatenate([self.holders[self.edges[w] : self.edges[w + 1]] for w in windows.tolist()] or [self.holders[:0]]))
 
     def find(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Longest match of every suffix, and for each occurrence of a window: suffix, place, words."""
+        """Longest match of every suffix, and for each occurrence of a window: window, place, words."""
         known, ids = np.unique(words, return_inverse=True)
         ids = ids.astype(np.int64)
         place = np.minimum(np.searchsorted(known, self.words), max(known.size - 1, 0))
@@ -145,7 +189,7 @@ class Benchmark:
         depth, found = 1, []
         while live.size:
             longest[live] = depth
-            whole = self.asked[live] == depth
+            whole = (self.asked[live] == depth) & (self.stands_for[live] >= 0)
             if whole.any():
                 found.append((live[whole], low[whole], high[whole]))
             more = self.left[live] > depth
@@ -162,25 +206,28 @@ class Benchmark:
         times = high - low
         slot = np.repeat(high - np.cumsum(times), times) + np.arange(times.sum())
         suffix = np.repeat(suffix, times)
-        return longest, suffix, order[slot], self.asked[suffix]
-
+        return longest, self.stands_for[suffix], order[slot], self.asked[suffix]
 
-    def extended(self, words: np.ndarray, suffix: np.ndarray, place: np.ndarray, size: np.ndarray) -> np.ndarray:
-        """Words that each occurrence goes on to match, the window included."""
-        size, live = size.copy(), np.arange(suffix.size)
+    def extended(self, words: np.ndarray, window: np.ndarray, place: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Words that each occurrence goes on to match in some item, the window included."""
+        size, live = size.copy(), np.flatnonzero(size == self.window)
+        low, high = self.low[window[live]], self.high[window[live]]
         while live.size:
-            at = size[live]
-            live, at = live[self.left[suffix[live]] > at], at[self.left[suffix[live]] > at]
-            same = self.words[self.begin[suffix[live]] + at] == words[place[live] + at]
-            live = live[same]
+            following = words[place[live] + size[live]]
+            at = np.minimum(np.searchsorted(self.known, following), self.known.size - 1)
+            wanted = np.where((self.known[at] == following) & (following != 0), at, -1)
+            depth = size[live]
+            low, high = _narrowed(lambda slot: self.ids[np.minimum(self.order[slot] + depth, self.ids.size - 1)], low, high, wanted)
+            some = (low < high) & (wanted >= 0)
+            live, low, high = live[some], low[some], high[some]
             size[live] += 1
         return size
 
 
-def findings(texts: list[bytes | None], benchmark: Benchmark) -> list[tuple[int, list[int], list[int], int]]:
-    """Per text: words, numbers of the hit words, numbers of the items, words of the longest match of a window or more."""
+def findings(texts: list[bytes | None], benchmark: Benchmark) -> list[tuple[int, list[int], np.ndarray, int]]:
+    """Per text: words, numbers of the hit words, numbers of the windows, words of the longest match of a window or more."""
     words, edges = numbered(texts)
-    _, suffix, place, size = benchmark.find(words)
+    _, window, place, size = benchmark.find(words)
     change = np.zeros(words.size + 1, dtype=np.int64)
     np.add.at(change, place, 1)
     np.add.at(change, place + size, -1)
@@ -188,19 +235,19 @@ def findings(texts: list[bytes | None], benchmark: Benchmark) -> list[tuple[int,
     whose = np.searchsorted(edges, hit, side="right") - 1
     inside = hit - edges[whose]
     cuts = np.searchsorted(whose, np.arange(len(texts) + 1))
-    pairs = np.unique(np.stack([np.searchsorted(edges, place, side="right") - 1, benchmark.owner[suffix]]), axis=1)
+    pairs = np.unique(np.stack([np.searchsorted(edges, place, side="right") - 1, window]), axis=1)
     parts = np.searchsorted(pairs[0], np.arange(len(texts) + 1))
     reach = np.zeros(len(texts), dtype=np.int64)
-    np.maximum.at(reach, np.searchsorted(edges, place, side="right") - 1, benchmark.extended(words, suffix, place, size))
+    np.maximum.at(reach, np.searchsorted(edges, place, side="right") - 1, benchmark.extended(words, window, place, size))
     return [
-        (int(edges[i + 1] - edges[i] - 1), inside[cuts[i] : cuts[i + 1]].tolist(), pairs[1][parts[i] : parts[i + 1]].tolist(), int(reach[i]))
+        (int(edges[i + 1] - edges[i] - 1), inside[cuts[i] : cuts[i + 1]].tolist(), pairs[1][parts[i] : parts[i + 1]], int(reach[i]))
         for i in range(len(texts))
     ]
 
 
 def _blocks(benchmark: DataFrame, item_id: str, text: str, window: int, block_bytes: int) -> Iterator[Benchmark]:
     """The items in blocks of about ``block_bytes``; one empty block if there are none."""
-    items = benchmark.select(F.col(item_id).cast("string").alias("item"), F.col(text).alias("text"))
+    items = benchmark.select(F.col(item_id).cast("string").alias("item"), F.col(text).alias("text")).distinct()
     size = items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
     n = -(-size // block_bytes) or 1
     for i in range(n):
@@ -226,15 +273,25 @@ def scan(
             names = known.names
             for piece in chunks(batches, "text", CHUNK_BYTES):
                 rows = findings(piece.column("text").cast(pa.binary()).to_pylist(), known)
-                items = [sorted({names[i] for i in r[2]} - {None}) for r in rows]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        piece.column("doc_id"), piece.column("text_hash"),
-                        pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.list_(pa.int32())),
-                        pa.array(items, pa.list_(pa.string())), pa.array([r[3] for r in rows], pa.int64()),
-                    ],
-                    names=["doc_id", "text_hash", "n_words", "hits", "items", "longest"],
-                )
+                listed: dict[bytes, list[str]] = {}
+                for r in rows:
+                    if r[2].tobytes() not in listed:
+                        listed[r[2].tobytes()] = sorted({names[i] for i in known.items_of(r[2]).tolist()} - {None})
+                # documents that share long lists of items go out few at a time
+                ends = np.cumsum([len(listed[r[2].tobytes()]) for r in rows])
+                begin = 0
+                while begin < len(rows):
+                    end = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + LISTED, side="right")))
+                    some, own = piece.slice(begin, end - begin), rows[begin:end]
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            some.column("doc_id"), some.column("text_hash"),
+                            pa.array([r[0] for r in own], pa.int64()), pa.array([r[1] for r in own], pa.list_(pa.int32())),
+                            pa.array([listed[r[2].tobytes()] for r in own], pa.list_(pa.string())), pa.array([r[3] for r in own], pa.int64()),
+                        ],
+                        names=["doc_id", "text_hash", "n_words", "hits", "items", "longest"],
+                    )
+                    begin = end
 
         parts.append(source.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(search, schema))
     if len(parts) == 1:
