@@ -3,13 +3,15 @@
 import hashlib
 import random
 import re
+import tracemalloc
+from collections import Counter
 from itertools import permutations
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rowloom.llm import audit, mixing, negatives
+from rowloom.llm import audit, decontaminate, language, mixing, negatives, packing
 
 SPACE = re.compile("[^\x20\x09-\x0d]+")
 
@@ -251,3 +253,86 @@ def test_bounds_leave_components_unread():
         for (low, high), lines in zip(windows, found, strict=True):
             assert lines == [(j, -s) for s, j in sorted((-scores[j], j) for j in range(4000) if labels[j] != labels[i] and low <= scores[j] <= high)[:10]]
     assert shard.read < 0.5 * 10 * 4000 * 64
+
+
+# -- bounds of earlier operators
+
+def test_long_text_and_many_languages_in_bounded_memory():
+    """20 MB of text with 4 and 1 MB with 400 languages: far below what one row of figures per n-gram would take."""
+    rng = np.random.default_rng(0)
+    for languages, size in ((4, 20 << 20), (400, 1 << 20)):
+        logs = np.log(rng.random((language.BUCKETS, languages)))
+        model = language.Model([f"l{i:03d}" for i in range(languages)], logs, np.zeros(languages), language.letters(), language.ORDERS)
+        text = "".join(rng.choice(list("abcdefghij klmno"), 1024)) * (size // 1024)
+        tracemalloc.start()
+        names, _ = model.predict([text])
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 500 << 20
+        counts = logs.T @ np.sum([np.bincount(language._hashed(language._points([text], model.kinds)[0], k, language.BUCKETS), minlength=language.BUCKETS) for k in language.ORDERS], axis=0)
+        assert names == [f"l{int(counts.argmax()):03d}"]
+
+
+def test_posterior_equals_the_plain_sum():
+    rng = np.random.default_rng(1)
+    logs, prior = np.log(rng.random((language.BUCKETS, 5))), np.log([1, 2, 3, 4, 5])
+    model = language.Model(list("abcde"), logs, prior, language.letters(), language.ORDERS)
+    texts = ["", None, "1 2 3", "zz é"] + ["".join(rng.choice(list("abc dé"), rng.integers(1, 40))) for _ in range(200)]
+    for text, name, score in zip(texts, *model.predict(texts), strict=True):
+        clean, _, has = language._points([text], model.kinds)
+        total = prior + sum(logs[language._hashed(clean, k, language.BUCKETS)].sum(axis=0) for k in language.ORDERS)
+        share = np.exp(total - total.max())
+        assert (name, round(score, 9)) == (("abcde"[int(total.argmax())], round(float((share / share.sum()).max()), 9)) if has[0] else ("und", 0.0))
+
+
+def test_bytes_that_are_no_text(spark):
+    docs = spark.sql("SELECT 1 AS doc_id, CAST(X'61FF62C3' AS STRING) AS text UNION ALL SELECT NULL, 'abc'")
+    model = language.train(docs.withColumn("lang", F.lit("x")))
+    assert {r["doc_id"]: r["lang_pred"] for r in language.predict(docs, model).collect()} == {1: "x", None: "x"}
+
+
+def test_a_window_of_many_items_is_looked_up_once():
+    items = [(str(i), "the end") for i in range(20_000)] + [("x", " ".join(f"w{j % 50}" for j in range(400)))]
+    bench = decontaminate.Benchmark(items)
+    draw = random.Random(2)
+    text = " ".join(draw.choices(["the", "end", "of", "w1", "w2"], k=300_000))
+    tracemalloc.start()
+    (n, hits, windows, longest), = decontaminate.findings([text.encode()], bench)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 300_000 and len(hits) == 2 * text.count("the end") and longest == 2
+    assert len(windows) == 1 and len(bench.items_of(windows)) == 20_000 and peak < 300 << 20
+
+
+def test_longest_match_over_all_items():
+    """The longest run that begins with a window, whichever of the items that share it goes on."""
+    draw = random.Random(6)
+    for _ in range(60):
+        items = [" ".join(draw.choices("abc", k=draw.randrange(0, 14))) for _ in range(8)]
+        texts = [" ".join(draw.choices("abcd", k=draw.randrange(0, 30))) for _ in range(5)]
+        bench = decontaminate.Benchmark([(str(i), t) for i, t in enumerate(items)], 3)
+        for text, row in zip(texts, decontaminate.findings([t.encode() for t in texts], bench), strict=True):
+            words, best = text.split(), 0
+            for item in map(str.split, items):
+                least = min(3, len(item)) or 99
+                for i in range(len(words)):
+                    for j in range(len(item) - least + 1):
+                        k = 0
+                        while i + k < len(words) and j + k < len(item) and words[i + k] == item[j + k]:
+                            k += 1
+                        best = max(best, k if k >= least else 0)
+            assert row[3] == best
+
+
+def test_boundaries_of_long_texts_are_exact(spark):
+    """Lengths far beyond 1024, where bins hold several: the padding is that of the best boundaries over all lengths."""
+    draw = random.Random(8)
+    sizes = [int(draw.lognormvariate(7.5, 1.3)) for _ in range(1500)] + [5461] * 40 + [20_011, 20_020]
+    rows = spark.createDataFrame(list(enumerate(sizes)), "doc_id bigint, size bigint")
+    made = packing.pack(rows, length=F.col("size"), digits=6)
+    found = {r["bucket_length"]: r["longest"] for r in made.groupBy("bucket_length").agg(F.max("n_tokens").alias("longest")).collect()}
+    counts = Counter(sizes)
+    best = packing.boundaries(list(counts), list(counts.values()), packing.BUCKETS)
+    waste = lambda edges: sum(min(e for e in edges if e >= s) - s for s in sizes)
+    assert all(length == longest for length, longest in found.items())
+    assert waste(found) == waste(best)
