@@ -47,7 +47,7 @@ from rowloom.session import materialize
 
 ORDER = 3
 MASS = 100.0
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 3 << 20
 SHARD_BYTES = 16 << 20
 
 
