@@ -12,15 +12,19 @@ by the stored parent distances and the triangle inequality, entries whose distan
 not be computed. A shard returns its best k for each query; the best k of
 those over all shards are the answer.
 
+Every distinct vector goes to one shard, where a task builds the tree once; all queries, a stated set, stream through it
+behind the vectors, ``query_block`` at a time. The k-th best score within a small sample of the vectors is
+a bound that a search starts with; only what is surely worse is left out, so the bound changes no result.
+
 Components become floor(scale * x) as whole numbers, so scores are exact; bounds are
-floating point numbers with a margin. Queries meet the shards in blocks of
-``query_block`` rows.
+floating point numbers with a margin.
 
 Defined results: vectors that are null, or that hold null, NaN or infinite
-components, take no part, as query or candidate; ids that are null neither; repeated
-rows count once, and rows with the query's own id are not its candidates; a
+components, take no part, as query or candidate; ids that are null and vectors without components neither; repeated
+rows count once, and rows with the query's own id are not its candidates; rows that share an id and differ are rows of their own; a
 query meets vectors of its own length only; ties go to the smaller id; scores
-beyond 64 bits are kept at the nearest 64-bit number.
+beyond 64 bits are kept at the nearest 64-bit number; texts and other columns are ignored, whatever they are called; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -33,13 +37,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rowloom.llm.negatives import _runs, _vectors
+from rowloom.session import materialize
+
 SCALE = 1024
 PAGE = 64
 SHARD_ROWS = 8_192
 QUERY_BLOCK = 1_024
+#: Vectors of the sample that gives a search its first bound.
+SAMPLE = 256
 #: Products of whole numbers below this stay within 64 bits for up to 2^15 components.
 SMALL = 1 << 24
 MARGIN = 1e-9
+#: The least 64-bit number.
+LEAST = -(1 << 63)
 
 
 def scaled(vector: Column, scale: int = SCALE) -> Column:
@@ -55,6 +66,8 @@ class MTree:
     def __init__(self, points: np.ndarray, page: int = PAGE):
         self.points = points
         self.page = page
+        #: Rows offered and distances computed, to tell how much the bounds save.
+        self.offered = self.computed = 0
         #: Per page: routing row, radius, and rows (leaf) or children (inner) with their distances to the routing row.
         self.routing: list[int] = []
         self.radius: list[float] = []
@@ -94,12 +107,12 @@ class MTree:
         middles = np.array([self.routing[c] for c in children])
         return self._add(routing, float(distance.max()), children, self._distance(routing, middles), False)
 
-    def search(self, query: np.ndarray, keep, k: int) -> None:
-        """Offer ``keep(rows)`` the rows of every page that may hold one of the k nearest.
+    def search(self, query: np.ndarray, keep, bound: float = np.inf) -> None:
+        """Offer ``keep(rows)`` the rows of every page that may hold one not farther than ``bound``.
 
         ``keep`` returns the distance beyond which nothing more is wanted.
         """
-        points, bound = self.points, np.inf
+        points = self.points
         first = float(np.linalg.norm(query - points[self.routing[self.root]]))
         queue = [(max(0.0, first - self.radius[self.root]), self.root, first)]
         while queue:
@@ -110,6 +123,7 @@ class MTree:
             if self.leaf[page]:
                 rows = entries[np.abs(middle - near) <= bound]
                 if rows.size:
+                    self.offered += rows.size
                     bound = min(bound, keep(rows))
                 continue
             radii = np.array([self.radius[c] for c in entries])
@@ -117,6 +131,7 @@ class MTree:
             if not open_.size:
                 continue
             apart = points[[self.routing[c] for c in entries[open_]]] - query
+            self.computed += open_.size
             distance = np.sqrt(np.einsum("ij,ij->i", apart, apart))
             for c, d, r in zip(entries[open_].tolist(), distance.tolist(), radii[open_].tolist(), strict=True):
                 if d - r <= bound:
@@ -127,78 +142,116 @@ def _products(rows: np.ndarray, query: np.ndarray) -> np.ndarray:
     """Exact products, kept within 64 bits."""
     if rows.dtype != object:
         return rows @ query
-    limit = (1 << 63) - 1
-    return np.array([max(-limit - 1, min(limit, int(x))) for x in rows.dot(query)], dtype=np.int64)
+    return np.array([max(LEAST, min(-LEAST - 1, int(x))) for x in rows.dot(query)], dtype=np.int64)
 
 
-def _integers(vectors: list[list[float]]) -> np.ndarray:
+def _integers(vectors: np.ndarray) -> np.ndarray:
     """Floors as int64, or as Python integers if products might not fit."""
-    floors = np.floor(np.array(vectors, dtype=np.float64))
+    floors = np.floor(vectors)
     if np.abs(floors).max(initial=0) < SMALL and floors.shape[1] <= 1 << 15:
         return floors.astype(np.int64)
     return np.array([[int(x) for x in row] for row in floors], dtype=object).reshape(floors.shape)
 
 
-def best(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, page: int = PAGE) -> Iterator[tuple[int, int, int]]:
-    """(query id, id, score) of the best k of a shard for each query."""
-    exact = vectors.dtype != object and queries.dtype != object
-    if not exact:
-        vectors, queries = vectors.astype(object), queries.astype(object)
-    real = vectors.astype(np.float64)
-    unit = max(1.0, np.abs(real).max(initial=0), np.abs(queries.astype(np.float64)).max(initial=0))
-    real = real / unit
-    norms = np.einsum("ij,ij->i", real, real)
-    top = norms.max(initial=0)
-    tree = MTree(np.column_stack([real, np.sqrt(np.maximum(top - norms, 0))]), page)
-    for query_id, query in zip(query_ids.tolist(), queries, strict=True):
+class Shard:
+    """The vectors of a shard under one tree."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, page: int = PAGE):
+        self.ids, self.vectors = ids, vectors
+        real = vectors.astype(np.float64)
+        self.unit = max(1.0, np.abs(real).max(initial=0))
+        real = real / self.unit
+        norms = np.einsum("ij,ij->i", real, real)
+        self.top = norms.max(initial=0)
+        self.tree = MTree(np.column_stack([real, np.sqrt(np.maximum(self.top - norms, 0))]), page)
+
+    def best(self, query_id: int, query: np.ndarray, k: int, floor: int | None = None) -> list[tuple[int, int]]:
+        """(id, score) of the best k, without the query's own id; scores below ``floor`` may be missing."""
+        vectors = self.vectors
+        if vectors.dtype != query.dtype:
+            vectors, query = vectors.astype(object), query.astype(object)
+        unit = max(1.0, np.abs(query.astype(np.float64)).max(initial=0))
         probe = np.append(query.astype(np.float64) / unit, 0.0)
-        reach = float(probe @ probe + top)
+        # distances are those of a query of its own scale: the order of the products stays
+        reach = float(probe @ probe + self.top)
         found: list[tuple[int, int]] = []
 
+        def distance(score: int) -> float:
+            if score <= LEAST:  # all that is less counts as equal
+                return np.inf
+            return float(np.sqrt(max(0.0, reach - 2 * (score / unit / self.unit)) + MARGIN * max(1.0, reach)))
+
         def keep(rows: np.ndarray) -> float:
             nonlocal found
             scores = _products(vectors[rows], query)
-            found += [(-s, i) for s, i in zip(scores.tolist(), ids[rows].tolist(), strict=True) if i != query_id]
+            found += [(-s, i) for s, i in zip(scores.tolist(), self.ids[rows].tolist(), strict=True) if i != query_id]
             if len(found) < k:
                 return np.inf
             found = heapq.nsmallest(k, found)
-            worst = -found[-1][0] / unit / unit
-            return float(np.sqrt(max(0.0, reach - 2 * worst) + MARGIN * max(1.0, reach)))
+            return distance(-found[-1][0])
 
-        tree.search(probe, keep, k)
-        for negative, i in heapq.nsmallest(k, found):
-            yield query_id, i, -negative
+        self.tree.search(probe, keep, np.inf if floor is None else distance(floor))
+        return [(i, -negative) for negative, i in heapq.nsmallest(k, found)]
+
+
+def first_bound(sample: tuple[np.ndarray, np.ndarray] | None, query_id: int, query: np.ndarray, k: int) -> int | None:
+    """The k-th best score within the sample: the answer holds no lesser one."""
+    if sample is None:
+        return None
+    ids, vectors = sample
+    others = ids != query_id
+    if others.sum() < k:
+        return None
+    if vectors.dtype != query.dtype:
+        vectors, query = vectors.astype(object), query.astype(object)
+    return int(np.sort(_products(vectors[others], query))[-k])
 
 
 def top_k(vectors: DataFrame, queries: Column, vec_id: str = "vec_id", vector: str = "embedding", k: int = 10, scale: int = SCALE,
-          shard_rows: int = SHARD_ROWS, query_block: int = QUERY_BLOCK, page: int = PAGE) -> DataFrame:
+          shard_rows: int = SHARD_ROWS, query_block: int = QUERY_BLOCK, page: int = PAGE, sample: int = SAMPLE) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k best for every row for which ``queries`` holds."""
-    rows = vectors.select(F.col(vec_id).cast("bigint").alias("vec_id"), scaled(F.col(vector), scale).alias("vector"), queries.alias("asks"))
-    rows = rows.filter("vector IS NOT NULL AND vec_id IS NOT NULL").withColumn("length", F.size("vector"))
-    counts = rows.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("asks"), 1)).alias("q")).first()
-    shards, blocks = max(1, -(-counts["n"] // shard_rows)), max(1, -(-counts["q"] // query_block))
-    spot = F.xxhash64("vec_id")
-    stored = rows.select("length", F.pmod(spot, F.lit(shards).cast("bigint")).alias("shard"), "vec_id", "vector")
-    asked = rows.filter("asks").select("length", F.pmod(F.xxhash64(spot), F.lit(blocks).cast("bigint")).alias("block"), "vec_id", "vector")
-    # each shard once for each block of queries, each block of queries once for each shard
-    stored = stored.withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))))
-    asked = asked.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(shards - 1).cast("bigint"))))
-
-    def search(left: pa.Table, right: pa.Table) -> pa.Table:
-        found: list[tuple[int, int, int]] = []
-        if left.num_rows and right.num_rows and left.column("length")[0].as_py():
-            parts = []
-            for table in (left, right):
-                once = {(i, tuple(v)) for i, v in zip(table.column("vec_id").to_pylist(), table.column("vector").to_pylist(), strict=True)}
-                once = sorted(once)
-                parts += [np.array([i for i, _ in once], dtype=np.int64), _integers([v for _, v in once])]
-            ids, points, query_ids, probes = parts
-            found = list(best(ids, points, query_ids, probes, k, page))
-        columns = list(zip(*found, strict=True)) or [(), (), ()]
-        return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("query_id", "vec_id", "score"), columns, strict=True)})
-
-    keys = ("length", "shard", "block")
-    near = stored.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(search, "query_id bigint, vec_id bigint, score bigint")
+    narrow = vectors.select(F.col(vec_id).cast("bigint").alias("vec_id"), scaled(F.col(vector), scale).alias("vector"), queries.alias("asks"))
+    narrow = narrow.filter("vector IS NOT NULL AND vec_id IS NOT NULL AND size(vector) > 0")
+    # one row of each kind, so that no repeated row fills a shard
+    rows = narrow.groupBy("vec_id", "vector").agg(F.max("asks").alias("asks")).withColumn("length", F.size("vector"))
+    rows = materialize(rows, "vectors")
+    spot = F.xxhash64("vec_id", "vector")
+    shards = max(1, -(-rows.count() // shard_rows))
+    few = rows.select("length", "vec_id", "vector").orderBy(spot, "vec_id").limit(sample).collect()
+    samples = {
+        n: (np.array([r["vec_id"] for r in few if r["length"] == n], dtype=np.int64), _integers(np.array([r["vector"] for r in few if r["length"] == n])))
+        for n in {r["length"] for r in few}
+    }
+    sent = rows.sparkSession.sparkContext.broadcast(samples)
+    everywhere = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(shards - 1).cast("bigint")))
+    names = ["shard", "length", "kind", "vec_id", "vector"]
+    stored = rows.withColumn("kind", F.lit(0)).withColumn("shard", F.pmod(spot, F.lit(shards).cast("bigint")))
+    asked = rows.filter("asks").withColumn("kind", F.lit(1)).withColumn("shard", everywhere)
+    ordered = stored.select(names).unionByName(asked.select(names)).repartition(shards, "shard").sortWithinPartitions("shard", "length", "kind", "vec_id")
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, waiting, shard = None, [], None
+        for (number, length, kind), batch in _runs(batches):
+            if at != (number, length):
+                at, waiting, shard = (number, length), [], None
+            if kind == 0:
+                waiting.append((batch.column("vec_id").to_numpy(), _vectors(batch, length)))
+                continue
+            if waiting:
+                ids, points = (np.concatenate(x) for x in zip(*waiting, strict=True))
+                shard, waiting = Shard(ids, _integers(points), page), []
+            if shard is None:
+                continue
+            for begin in range(0, batch.num_rows, query_block):
+                some = batch.slice(begin, query_block)
+                found = []
+                for query_id, query in zip(some.column("vec_id").to_pylist(), _integers(_vectors(some, length)), strict=True):
+                    floor = first_bound(sent.value.get(length), query_id, query, k)
+                    found += [(query_id, *pair) for pair in shard.best(query_id, query, k, floor)]
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["query_id", "vec_id", "score"])
+
+    near = ordered.mapInArrow(search, "query_id bigint, vec_id bigint, score bigint")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
