@@ -227,7 +227,7 @@ def top_k(vectors: DataFrame, queries: Column, vec_id: str = "vec_id", vector: s
     names = ["shard", "length", "kind", "vec_id", "vector"]
     stored = rows.withColumn("kind", F.lit(0)).withColumn("shard", F.pmod(spot, F.lit(shards).cast("bigint")))
     asked = rows.filter("asks").withColumn("kind", F.lit(1)).withColumn("shard", everywhere)
-    ordered = stored.select(names).unionByName(asked.select(names)).repartition(shards, "shard").sortWithinPartitions("shard", "length", "kind", "vec_id")
+    ordered = stored.select(names).unionByName(asked.select(names)).repartitionById(shards, F.col("shard").cast("int")).sortWithinPartitions("shard", "length", "kind", "vec_id")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, waiting, shard = None, [], None
