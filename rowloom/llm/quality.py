@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rowloom.llm.words import chunks, joined_hash, word_hashes
+from rowloom.llm.words import chunks, joined_hash
 
 #: The most ids of positives that are sent to the tasks.
 POSITIVES = 100_000
@@ -41,6 +41,9 @@ STEPS = 600
 #: Buckets of byte pairs, a power of two, and the greatest value of a feature.
 PAIRS, FULL = 64, 1023
 WIDTH = 256 + PAIRS + 8
+#: Base of the hashes of words and lines, an odd number, and its inverse modulo 2^64.
+FACTOR = 0x9E3779B97F4A7C15
+INVERSE = pow(FACTOR, -1, 1 << 64)
 #: Least spread of a feature, and the weight of squared weights in the loss.
 FLOOR, DECAY = 0.03, 0.03
 #: Bins of the score between -RANGE and RANGE for the prior, and the chance that its bound fails.
@@ -49,10 +52,33 @@ BINS, RANGE, DELTA = 2048, 2.0, 0.1
 TASKS = 4
 
 
-def _runs(text: np.ndarray, gap: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Per text: pieces between gaps, distinct pieces, pieces equal to the one before."""
+def _powers(base: int, n: int) -> np.ndarray:
+    """base ^ 0 to base ^ (n - 1) modulo 2^64."""
+    out = np.full(n, base, dtype=np.uint64)
+    out[:1] = 1
+    return np.multiply.accumulate(out, out=out)
+
+
+def _prefix_sums(data: np.ndarray) -> np.ndarray:
+    """Sums of mixed bytes times powers of FACTOR, modulo 2^64, before each place and at the end."""
+    terms = _powers(FACTOR, data.size)
+    terms *= joined_hash(np.arange(256, dtype=np.uint64), np.uint64(1))[data]
+    return np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(terms, out=terms)])
+
+
+def _runs(data: np.ndarray, sums: np.ndarray, back: np.ndarray, gap: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per text: pieces between gaps, distinct pieces, pieces equal to the one before.
+
+    The hash of a piece is a difference of two prefix sums, moved to power 0, with its length; so its cost does not
+    grow with the length of the longest piece.
+    """
     n = edges.size - 1
-    begin, hashes = word_hashes(text, gap)
+    apart = gap[data]
+    turns = np.flatnonzero(apart[1:] != apart[:-1]) + 1
+    if data.size and not apart[0]:
+        turns = np.concatenate([[0], turns])
+    begin, end = turns[0::2], turns[1::2]
+    hashes = joined_hash((end - begin).astype(np.uint64), (sums[end] - sums[begin]) * back[begin])
     owner = np.searchsorted(edges, begin, side="right") - 1
     count = np.bincount(owner, minlength=n)
     keyed = joined_hash(owner.astype(np.uint64), hashes)
@@ -69,7 +95,7 @@ def features(texts: list[bytes | None]) -> np.ndarray:
     sizes = np.array([len(t or b"") + 1 for t in texts], dtype=np.int64)
     edges = np.concatenate([[0], np.cumsum(sizes)])
     data = np.frombuffer(b"".join([(t or b"") + b"\n" for t in texts]), dtype=np.uint8)
-    mixed = np.arange(1 << 16, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    mixed = np.arange(1 << 16, dtype=np.uint64) * np.uint64(FACTOR)
     bucket = (mixed >> np.uint64(65 - PAIRS.bit_length())).astype(np.uint8)
     pairs = bucket[data[:-1].astype(np.uint16) << 8 | data[1:]]
     shares = np.empty((n, 256 + PAIRS))
@@ -82,8 +108,9 @@ def features(texts: list[bytes | None]) -> np.ndarray:
     space[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
     line[0x0A] = True
     extra = []
+    sums, back = _prefix_sums(data), _powers(INVERSE, data.size)
     for gap in (space, line):
-        count, distinct, again = _runs(data, gap, edges)
+        count, distinct, again = _runs(data, sums, back, gap, edges)
         some = np.maximum(count, 1)
         extra += [np.sqrt(again / some), np.sqrt(1 - distinct / some), np.log1p(count) / 10, np.sqrt((sizes - 1) / some) / 10]
     return np.rint(FULL * np.clip(np.column_stack([np.sqrt(shares), *extra]), 0, 1))
