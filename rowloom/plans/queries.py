@@ -21,7 +21,7 @@ from rowloom.plans.curate import Curated
 from rowloom.plans.curate import curate as curate_entities
 from rowloom.plans.oracles import FIRST_MERGES
 from rowloom.plans.represent import represent
-from rowloom.session import materialize, scratch_path
+from rowloom.session import materialize, outlasting, scratch_path
 from rowloom.sources import matrix, tables, tokens
 from rowloom.sources.buckets import write_bucketed
 from rowloom.sources.snapshots import Snapshot
@@ -570,8 +570,9 @@ def shared_vocabulary(spark, folder) -> bpe.Vocabulary:
     """The vocabulary of the original size, learned once per run, written, and read by every query that encodes with it."""
     run = (spark.sparkContext.applicationId, folder)
     if run not in _LEARNED:
-        where = scratch_path(spark, "vocabulary")
-        tokens.write_vocabulary(spark, learned(spark, folder), where)
+        with outlasting():
+            where = scratch_path(spark, "vocabulary")
+            tokens.write_vocabulary(spark, learned(spark, folder), where)
         _LEARNED[run] = where
     return tokens.read_vocabulary(spark, _LEARNED[run])
 
@@ -723,11 +724,12 @@ def shared_corpus(spark, folder) -> Corpus:
     """The whole corpus pipeline over page addresses, run once; only secure ones can be converted."""
     run = (spark.sparkContext.applicationId, folder)
     if run not in _BUILT:
-        source, target = scratch_path(spark, "bulk"), scratch_path(spark, "corpus")
-        pages = table(spark, folder, "pages").select(F.concat_ws("\t", "url", F.col("page_id").cast("string")).alias("line"))
-        tables.write_lines(pages, "line", source)
-        host_and_path = F.when(F.col("url").startswith("https://"), F.substring("url", 9, 1 << 30))
-        _BUILT[run] = build_corpus(spark, source, target, names=["url", "page_id"], column="url", how=host_and_path)
+        with outlasting():
+            source, target = scratch_path(spark, "bulk"), scratch_path(spark, "corpus")
+            pages = table(spark, folder, "pages").select(F.concat_ws("\t", "url", F.col("page_id").cast("string")).alias("line"))
+            tables.write_lines(pages, "line", source)
+            host_and_path = F.when(F.col("url").startswith("https://"), F.substring("url", 9, 1 << 30))
+            _BUILT[run] = build_corpus(spark, source, target, names=["url", "page_id"], column="url", how=host_and_path)
     return _BUILT[run]
 
 
@@ -893,9 +895,10 @@ def shared_baseline(spark, folder) -> Baseline:
     """The baseline over all embeddings with the original rounds, depth and patience, fitted once per run."""
     run = (spark.sparkContext.applicationId, folder)
     if run not in _FITTED:
-        vectors = table(spark, folder, "embeddings")
-        labelled = vectors.select("vec_id", F.array(F.concat(F.lit("c"), F.col("label").cast("string"))).alias("labels"))
-        _FITTED[run] = baseline(vectors.select("vec_id", F.col("embedding").alias("features")), labelled, "vec_id")
+        with outlasting():
+            vectors = table(spark, folder, "embeddings")
+            labelled = vectors.select("vec_id", F.array(F.concat(F.lit("c"), F.col("label").cast("string"))).alias("labels"))
+            _FITTED[run] = baseline(vectors.select("vec_id", F.col("embedding").alias("features")), labelled, "vec_id")
     return _FITTED[run]
 
 
