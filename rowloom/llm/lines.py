@@ -3,7 +3,9 @@
 A line is boilerplate of a site if the share of the site's pages that contain it
 exceeds ``ratio``. Lines are counted once per page and site by 128 bits of their
 hash, so no line travels; the boilerplate of a site has fewer than (distinct
-lines of an average page) / ``ratio`` lines, whatever the number of its pages.
+lines of an average page) / ``ratio`` lines, whatever the number of its pages. It is
+kept in as many slots as it has lines, so a line is looked up in its slot and a page costs time in proportion
+to its lines.
 
 Only DataFrame functions are used.
 
@@ -11,8 +13,10 @@ Defined results: lines are compared without spaces, tabs and carriage returns
 around them; blank lines are neither counted nor dropped. A page without text or
 without host is returned as it is and counts nowhere. A line must stand on
 ``min_pages`` pages of the site at least, so that a site of one page keeps its
-lines. Repeated pages count as often as they occur. A page that loses all lines
-stays, with an empty text.
+lines; a share of just ``ratio`` is not above it, and the line stays. Repeated pages count as often as they occur, and
+a line that a page repeats counts once for it. A page that loses all lines
+stays, with an empty text. Very long pages are read whole. An empty table gives no rows. Extra columns are
+kept, whatever they are called.
 """
 
 from __future__ import annotations
@@ -33,21 +37,28 @@ def site_of(url: Column) -> Column:
 
 
 def _key(line: Column) -> Column:
-    """128 bits for a trimmed line; NULL for a blank one."""
+    """128 bits for a trimmed line, as text, which Spark's array functions hash; NULL for a blank one."""
     bare = F.btrim(line, F.lit(" \t\r"))
-    return F.when(bare != "", F.struct(F.xxhash64(bare).alias("a"), F.xxhash64(F.lit(1), bare).alias("b")))
+    return F.when(bare != "", F.md5(bare))
+
+
+def _slot(line: Column, slots: Column) -> Column:
+    return F.pmod(F.xxhash64(line), slots.cast("bigint")).cast("int")
 
 
 def boilerplate(pages: DataFrame, host: str = "host", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """Per host the keys of its boilerplate lines, sorted (host, lines)."""
+    """Per host the keys of its boilerplate lines, dealt to slots by their hash: (host, slots)."""
     rows = pages.select(F.col(host).alias("host"), F.col(text).alias("text")).filter("host IS NOT NULL AND text IS NOT NULL")
     totals = rows.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
     lines = rows.select("host", F.explode(F.array_distinct(F.transform(F.split("text", "\n", -1), _key))).alias("line"))
     counts = lines.filter("line IS NOT NULL").groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_pages)
-    return (
-        counts.join(totals, "host").filter(F.col("n") > ratio * F.col("pages"))
-        .groupBy("host").agg(F.sort_array(F.collect_list("line")).alias("lines"))
-    )
+    bad = materialize(counts.join(totals, "host").filter(F.col("n") > ratio * F.col("pages")).select("host", "line"), "bad-lines")
+    sizes = bad.groupBy("host").agg(F.count(F.lit(1)).cast("int").alias("size"))
+    filled = bad.join(sizes, "host").select("host", _slot(F.col("line"), F.col("size")).alias("slot"), "line")
+    every = sizes.select("host", F.explode(F.sequence(F.lit(0), F.col("size") - 1)).alias("slot"), F.lit(None).cast("string").alias("line"))
+    slots = filled.unionByName(every).groupBy("host", "slot").agg(F.sort_array(F.collect_list("line")).alias("lines"))
+    dealt = F.sort_array(F.collect_list(F.struct("slot", "lines")))
+    return slots.groupBy("host").agg(F.transform(dealt, lambda x: x["lines"]).alias("slots"))
 
 
 def drop_boilerplate(
@@ -61,10 +72,16 @@ def drop_boilerplate(
     """
     found = materialize(boilerplate(pages, host, text, ratio, min_pages), "boilerplate")
     site, listed, left = (fresh(pages.columns, name) for name in ("_site", "_boilerplate", "_left"))
-    found = found.select(F.col("host").alias(site), F.col("lines").alias(listed))
+    found = found.select(F.col("host").alias(site), F.col("slots").alias(listed))
     joined = pages.join(found, F.col(f"`{host}`") == F.col(site), "left")
     parts = F.split(F.col(f"`{text}`"), "\n", -1)
-    clean = F.filter(parts, lambda x: ~F.coalesce(F.array_contains(F.col(listed), _key(x)), F.lit(False)))
+    keyed = F.transform(parts, lambda x: F.struct(x.alias("line"), _key(x).alias("key")))
+    slots = F.col(listed)
+
+    def known(key: Column) -> Column:
+        return F.coalesce(F.array_contains(F.get(slots, _slot(key, F.size(slots))), key), F.lit(False))
+
+    clean = F.transform(F.filter(keyed, lambda x: ~known(x["key"])), lambda x: x["line"])
     joined = joined.withColumn(left, F.when(F.col(site).isNotNull(), clean))
     extra = {}
     if n_lines:

@@ -47,6 +47,17 @@ def test_lines_follow_site_shares(spark):
     assert lines.drop_boilerplate(docs.limit(0)).count() == 0
 
 
+def test_lines_of_a_very_long_page(spark):
+    """A page of many lines, all of them boilerplate, takes time in proportion to them."""
+    shared = [f"line {i}" for i in range(40_000)]
+    rows = [(i, "h", "\n".join([*shared, f"own {i}", *shared[:3]])) for i in range(6)]
+    rows += [(10 + i, "tie", "half" if i < 5 else f"x {i}") for i in range(10)]
+    made = lines.drop_boilerplate(spark.createDataFrame(rows, "doc_id bigint, host string, text string"), ratio=0.5, n_dropped="gone")
+    found = {r["doc_id"]: (r["text"], r["gone"]) for r in made.collect()}
+    assert all(found[i] == (f"own {i}", 40_003) for i in range(6))
+    assert all(found[10 + i] == ("half" if i < 5 else f"x {i}", 0) for i in range(10))
+
+
 def test_site_of(spark):
     found = spark.createDataFrame([("HTTPS://WWW.Ab.example.com:80/x?y",), ("no address",), (None,)], "url string").select(lines.site_of(F.col("url")).alias("h"))
     assert [r["h"] for r in found.collect()] == ["ab.example.com", None, None]
