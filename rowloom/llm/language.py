@@ -14,7 +14,7 @@ space.
 Defined results: a text that is null or has no letter gives ``und`` and score 0;
 so does every text if nothing could be learned. Ties go to the smaller language
 name. Rows without a text or a language teach nothing; repeated rows teach and are scored each. Bytes that are no
-valid UTF-8 are no letters. Very long texts are read whole. A null id is an id like any other. An empty table
+valid UTF-8 are no letters. Very long texts are read whole. A null id is an id like any other here; in the query it has no fold, is held out and teaches nothing. An empty table
 gives no rows. Extra columns pass through ``predict`` untouched; its two new columns replace columns of those names.
 """
 

@@ -10,8 +10,9 @@ twice the longest known one has characters cannot match, as no spelling halves a
 and line ends do not count.
 
 Defined results: null, empty and purely copyright units match nothing; several known
-licences with one canonical text all match; repeated rows give a finding each; an empty
-list of licences finds nothing.
+licences with one canonical text all match; repeated rows give a finding each, rows with a null id too; very long texts
+are units like any other, and so are all their lines; an empty table or an empty
+list of licences finds nothing; extra columns are ignored, whatever they are called.
 """
 
 from __future__ import annotations

@@ -23,8 +23,9 @@ in the empty state.
 Words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z; a token for the end follows them.
 
 Defined results: a null text is empty and has the end as its only token;
-without training texts every token has probability one; repeated rows are scored
-each. ``docs`` comes from a scan or a written table: its rows are read
+without training texts every token has probability one; repeated rows are scored, and counted,
+each; a row for which ``held_out`` is null, as for a fold of a null id, is held out; a very long text is a block of its own,
+read whole; an empty table gives no rows; extra columns are ignored, whatever they are called. ``docs`` comes from a scan or a written table: its rows are read
 twice and must come in the same order, else the query fails rather than guesses.
 """
 
@@ -191,7 +192,7 @@ def _block_id(piece: pa.RecordBatch, texts: list[bytes | None]) -> bytes:
 def score(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str = "text", order: int = ORDER, mass: float = MASS,
           block_bytes: int = BLOCK_BYTES, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; learned from rows not held out."""
-    rows = docs.select(F.col(doc_id).alias("doc_id"), held_out.alias("held_out"), F.col(text).alias("text"))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(held_out, F.lit(True)).alias("held_out"), F.col(text).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = max(0, math.ceil(math.log2(max(1, size / shard_bytes))))
     shift = np.uint64(64 - bits)

@@ -14,8 +14,8 @@ bucket come from counts per range of ids, never from one window over a bucket.
 
 Defined results: a null or empty text has length 0, the padded length of its
 bucket may be 0, and a batch then holds ``budget`` documents; a document longer
-than the budget is a batch of its own; rows of equal ids follow each
-other by length; an empty table gives no rows.
+than the budget is a batch of its own; rows with a null id come first in their bucket; rows of equal ids follow each
+other by length; very long texts count whole; an empty table gives no rows; extra columns are ignored, whatever they are called.
 """
 
 from __future__ import annotations

@@ -16,8 +16,9 @@ Only DataFrame functions are used. Patterns are written without unbounded backtr
 long text costs time in proportion to its length; those of the base kinds match what the plain forms in the
 comments match.
 
-Defined results: a null or empty text has no spans; matches of one kind do not overlap, spans of different
-kinds may; repeated rows get a row each.
+Defined results: a null or empty text has no spans; matches of one kind do not overlap, the first one wins, spans of
+different kinds may; very long texts are read whole; repeated rows, and rows with a null id, get a row each; an empty table gives
+no rows; extra columns are kept, and one called like a column of a kind is replaced.
 """
 
 from __future__ import annotations

@@ -21,6 +21,11 @@ def fold(doc_id: str, parts: int) -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % parts
 
 
+def in_fold(doc_id: str, parts: int, number: int) -> Column:
+    """Whether a document is held out, being of that fold; one without an id has no fold and is held out too."""
+    return F.coalesce(fold(doc_id, parts) == number, F.lit(True))
+
+
 def line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents").select("doc_id", "source", "text")
     made = lines.drop_boilerplate(docs, host="source", n_lines="n_lines", n_dropped="n_dropped")
@@ -32,7 +37,7 @@ def line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 def language_id(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents")
-    held_out = fold("doc_id", 3) == 1
+    held_out = in_fold("doc_id", 3, 1)
     model = language.train(docs.filter(~held_out))
     found = language.predict(docs.select("doc_id", held_out.alias("held_out"), "text"), model)
     return found.select("doc_id", "held_out", "lang_pred", "score")
@@ -60,7 +65,7 @@ def licence_scan(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def lm_scores(spark: SparkSession, folder: str) -> DataFrame:
-    return lm.score(_table(spark, folder, "documents"), fold("doc_id", 5) == 1)
+    return lm.score(_table(spark, folder, "documents"), in_fold("doc_id", 5, 1))
 
 
 def nearest_vectors(spark: SparkSession, folder: str) -> DataFrame:
@@ -76,7 +81,7 @@ def personal_data(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def quality_scores(spark: SparkSession, folder: str) -> DataFrame:
-    docs = _table(spark, folder, "documents").select("doc_id", "text", (fold("doc_id", 5) == 0).alias("held_out"))
+    docs = _table(spark, folder, "documents").select("doc_id", "text", in_fold("doc_id", 5, 0).alias("held_out"))
     learned = docs.filter(~F.col("held_out"))
     model = quality.train(learned, _table(spark, folder, "labels").filter(fold("doc_id", 5) != 0))
     found = quality.score(docs, model)

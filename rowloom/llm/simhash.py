@@ -17,9 +17,11 @@ Fingerprint: A-Z in lower case, words ``[^\\x20\\x09-\\x0D]+``, shingles of thre
 repeats included; a bit is 1 if it is set in over half of the shingles' XXH64 (seed 42).
 
 Defined results: null, empty and blank texts have fingerprint zero and are linked
-like any other; fewer than three words are one shingle; repeated rows are
+like any other; fewer than three words are one shingle; a bit set in just half of the shingles is 0; very long texts
+are read whole; repeated rows are
 copies of each other; a null doc_id takes part and never names a component
-that has another id.
+that has another id; an empty table gives no rows; ``near_duplicates`` ignores extra columns, and ``keep_one`` keeps
+them, whatever they are called.
 """
 
 from __future__ import annotations

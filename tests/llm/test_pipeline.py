@@ -98,6 +98,6 @@ def test_stages_keep_the_columns_and_stand_empty_tables(spark, folder):
 
 def test_every_operator_is_registered():
     known = contract.queries()
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(name.startswith(f"op{n}_") for name in known) == 1
     assert "pipeline" in known
