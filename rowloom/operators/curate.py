@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rowloom.operators.order import dense_order, null_safe_join
+from rowloom.session import materialize
 
 
 # Fixed value: what made-up codes begin with.
@@ -58,17 +59,27 @@ def join_by_position(left: DataFrame, right: DataFrame, pos: str = "pos") -> Dat
     return left.join(right, pos)
 
 
-def flag_duplicates(df: DataFrame, key: Column | str, pos: str, out: str = "is_duplicate") -> DataFrame:
-    """Mark every row that is not the first of its key; NULL keys equal each other.
+def later_places(df: DataFrame, key: Column | str, pos: str) -> DataFrame:
+    """Positions of the rows that are not the first of their key, as a written table; NULL keys equal each other.
 
-    The first positions come from a map-side combined minimum, and the rows are
-    matched with them on ``pos``, which is unique. So neither step gathers a hot
-    key, unlike a window over the key.
+    Only keys and positions move. The first positions come from a map-side combined
+    minimum, and are taken from all positions by an anti-join on ``pos``, which is unique; so neither
+    step gathers a hot key, unlike a window over the key.
     """
     key = F.col(key) if isinstance(key, str) else key
     firsts = df.groupBy(key.alias("_key")).agg(F.min(pos).alias(pos))
-    marked = df.join(firsts.select(pos, F.lit(True).alias("_first")), pos, "left")
-    return marked.withColumn(out, F.col("_first").isNull()).select(*df.columns, out)
+    return materialize(df.select(pos).join(firsts.select(pos), pos, "left_anti"), "later")
+
+
+def flag_duplicates(df: DataFrame, key: Column | str, pos: str, out: str = "is_duplicate") -> DataFrame:
+    """Mark every row that is not the first of its key; NULL keys equal each other.
+
+    The rows meet the written positions of the later ones. While these are few, Spark sends them to
+    all tasks by their measured size and the rows stay where they are.
+    """
+    later = later_places(df, key, pos).select(F.col(pos).alias("_later"))
+    marked = df.join(later, F.col(f"`{pos}`") == F.col("_later"), "left")
+    return marked.withColumn(out, F.col("_later").isNotNull()).select(*df.columns, out)
 
 
 def duplicate_entities(

@@ -250,6 +250,14 @@ def test_no_window_over_the_duplicate_key(spark):
         assert "Window" not in built._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_flagged_rows_stay_where_they_are(spark):
+    df = spark.createDataFrame(entity_rows(), "e string, k string, pos bigint").withColumn("wide", F.repeat(F.lit("x"), 1000))
+    built = curate.flag_duplicates(df, "k", "pos")
+    plan = built._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan and "BroadcastExchange" in plan
+    assert curate.later_places(df, "k", "pos").columns == ["pos"]
+
+
 def test_lookup_counter_advances_over_failed_details(spark):
     gaps = spark.createDataFrame([("e1", "n1", 7), ("e2", "none", 8), ("e3", "n3", 9)], "entity string, name string, pos bigint")
     dictionary = spark.createDataFrame(
