@@ -33,6 +33,23 @@ def cast_vector(vector: Column | str, element: str) -> Column:
     return _column(vector).cast(f"array<{element}>")
 
 
+#: Values of a batch that are worked on together in Python.
+PART_VALUES = 1 << 20
+
+
+def bounded_parts(lists: pa.ListArray, amounts: np.ndarray, most: int) -> Iterator[pa.ListArray]:
+    """The rows of a batch in order, in runs whose amounts add up to at most ``most``; a larger row is alone.
+
+    What is made from a run is several times its size, and Spark limits only the batch.
+    """
+    edges = np.r_[0, np.cumsum(amounts, dtype=np.int64)]
+    begin = 0
+    while begin < len(lists):
+        end = max(begin + 1, int(np.searchsorted(edges, edges[begin] + most, "right")) - 1)
+        yield lists.slice(begin, end - begin)
+        begin = end
+
+
 def _filled(rows: int, width: int, places: pa.ListArray, amounts: np.ndarray | None) -> pa.ListArray:
     row = np.repeat(np.arange(rows), np.diff(places.offsets.to_numpy()))
     at = row * width + places.flatten().to_numpy(zero_copy_only=False)
@@ -46,26 +63,31 @@ def tally(width: int):
     @F.arrow_udf("array<int>")
     def fill(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for indices in batches:
-            for i in range(0, len(indices), 1024):
-                part = indices.slice(i, 1024)
+            # a row costs its vector besides what it holds
+            for part in bounded_parts(indices, np.diff(indices.offsets.to_numpy()) + width, 2 * PART_VALUES):
                 yield _filled(len(part), width, part, None)
 
     return fill
 
 
+def _counted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for batch in batches:
+        for lists in bounded_parts(batch, np.diff(batch.offsets.to_numpy()), PART_VALUES):
+            sizes = np.diff(lists.offsets.to_numpy())
+            key = np.repeat(np.arange(len(lists), dtype=np.int64) << 32, sizes)
+            key |= lists.flatten().to_numpy(zero_copy_only=False)
+            found, n = np.unique(key, return_counts=True)
+            places = np.searchsorted(found >> 32, np.arange(len(lists) + 1)).astype(np.int32)
+            pairs = pa.StructArray.from_arrays([pa.array((found & 0xFFFFFFFF).astype(np.int32)), pa.array(n)], names=["bucket", "n"])
+            yield pa.ListArray.from_arrays(pa.array(places), pairs)
+
+
 def sparse_counts(indices: Column) -> Column:
     """Each index that occurs in the list with how often it does, in order."""
 
     @F.arrow_udf("array<struct<bucket:int,n:bigint>>")
     def counted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for lists in batches:
-            edges = lists.offsets.to_numpy() - lists.offsets[0].as_py()
-            row = np.repeat(np.arange(len(lists)), np.diff(edges))
-            key = (row.astype(np.int64) << 32) | lists.flatten().to_numpy(zero_copy_only=False)
-            found, n = np.unique(key, return_counts=True)
-            places = np.searchsorted(found >> 32, np.arange(len(lists) + 1)).astype(np.int32)
-            pairs = pa.StructArray.from_arrays([pa.array((found & 0xFFFFFFFF).astype(np.int32)), pa.array(n)], names=["bucket", "n"])
-            yield pa.ListArray.from_arrays(pa.array(places), pairs)
+        yield from _counted(batches)
 
     return counted(_column(indices))
 
