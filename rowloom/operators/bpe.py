@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rowloom.functions.arrays import frame_ids, pad_ids, validity_mask
+from rowloom.functions.arrays import bounded_parts, frame_ids, pad_ids, validity_mask
 from rowloom.functions.text import BYTE_LEVEL_PATTERN, _column, pieces
 from rowloom.operators.profile import longest_row
 from rowloom.session import discard, materialize
@@ -524,6 +524,10 @@ def merge_symbols(symbols: list[int], ranks: dict[tuple[int, int], tuple[int, in
     return [s for s in symbols if s >= 0]
 
 
+#: Bytes of text that are encoded together, and about what a remembered piece takes besides its bytes.
+PART_BYTES, PIECE_BYTES = 1 << 21, 256
+
+
 def _encoder(vocabulary: Vocabulary, spark, remembered_bytes: int = 1 << 25):
     shared = spark.sparkContext.broadcast((vocabulary.byte_ids(), vocabulary.ranks()))
 
@@ -532,36 +536,47 @@ def _encoder(vocabulary: Vocabulary, spark, remembered_bytes: int = 1 << 25):
         byte_ids, ranks = shared.value
         memory: dict[str, list[int]] = {}
         held = 0
-        for texts in batches:
-            distinct = texts.flatten().dictionary_encode()
-            known = distinct.dictionary.to_pylist()
-            fresh = [piece for piece in known if piece not in memory]
-            data = [piece.encode("utf-8") for piece in fresh]
-            symbols = byte_ids[np.frombuffer(b"".join(data), dtype=np.uint8)].tolist()
-            at = 0
-            for piece, spelled in zip(fresh, data):
-                memory[piece] = merge_symbols(symbols[at : at + len(spelled)], ranks)
-                at += len(spelled)
-            held += at
-
-            coded = [memory[piece] for piece in known]
-            sizes = np.fromiter(map(len, coded), dtype=np.int64, count=len(coded))
-            table = np.fromiter(chain.from_iterable(coded), dtype=np.int32, count=sizes.sum())
-            starts = np.cumsum(sizes) - sizes
-            which = distinct.indices.to_numpy()
-            taken = sizes[which]
-            ends = np.cumsum(taken)
-            ids = table[np.repeat(starts[which] - (ends - taken), taken) + np.arange(taken.sum())]
-            lists = texts.offsets.to_numpy() - texts.offsets[0].as_py()
-            offsets = np.r_[0, ends][lists].astype(np.int32)
-            mask = texts.is_null() if texts.null_count else None
-            yield pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids), mask=mask)
-            if held > remembered_bytes:
-                memory, held = {}, 0
+        for batch in batches:
+            for texts in bounded_parts(batch, _text_bytes(batch), PART_BYTES):
+                distinct = texts.flatten().dictionary_encode()
+                known = distinct.dictionary.to_pylist()
+                fresh = [piece for piece in known if piece not in memory]
+                data = [piece.encode("utf-8") for piece in fresh]
+                symbols = byte_ids[np.frombuffer(b"".join(data), dtype=np.uint8)].tolist()
+                at = 0
+                for piece, spelled in zip(fresh, data):
+                    memory[piece] = merge_symbols(symbols[at : at + len(spelled)], ranks)
+                    at += len(spelled)
+                # a symbol of a remembered piece is a reference of 8 bytes
+                held += 9 * at + PIECE_BYTES * len(fresh)
+
+                coded = [memory[piece] for piece in known]
+                sizes = np.fromiter(map(len, coded), dtype=np.int64, count=len(coded))
+                table = np.fromiter(chain.from_iterable(coded), dtype=np.int32, count=sizes.sum())
+                starts = np.cumsum(sizes) - sizes
+                which = distinct.indices.to_numpy()
+                taken = sizes[which]
+                ends = np.cumsum(taken)
+                ids = table[np.repeat(starts[which] - (ends - taken), taken) + np.arange(taken.sum())]
+                lists = texts.offsets.to_numpy() - texts.offsets[0].as_py()
+                offsets = np.r_[0, ends][lists].astype(np.int32)
+                mask = texts.is_null() if texts.null_count else None
+                yield pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids), mask=mask)
+                if held > remembered_bytes:
+                    memory, held = {}, 0
 
     return encode_pieces
 
 
+def _text_bytes(lists: pa.ListArray) -> np.ndarray:
+    """Bytes of the pieces of each row, from where these begin and end."""
+    values = lists.values
+    if not len(values):
+        return np.zeros(len(lists), dtype=np.int64)
+    ends = np.frombuffer(values.buffers()[1], dtype=np.int64 if pa.types.is_large_string(values.type) else np.int32)
+    return np.diff(ends[values.offset :][lists.offsets.to_numpy()])
+
+
 def encode(
     df: DataFrame, text: str, vocabulary: Vocabulary, out: str = "ids", pattern: str = BYTE_LEVEL_PATTERN
 ) -> DataFrame:
