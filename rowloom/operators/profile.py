@@ -171,11 +171,14 @@ def sketch_profile(sketches: DataFrame) -> DataFrame:
 
 
 def longest_row(df: DataFrame, text: str, pos: str = "pos") -> DataFrame:
-    """The row with the longest text, the first one on ties, with ``length``."""
-    return (
-        df.filter(F.col(text).isNotNull()).withColumn("length", F.char_length(text))
-        .orderBy(F.desc("length"), F.asc(pos)).limit(1)
-    )
+    """The row with the longest text, the first one on ties, with ``length``.
+
+    An aggregate, so each task sends one row, and what is worked out from the result is not
+    worked out for every row: Spark moves a projection below a limit.
+    """
+    sized = df.filter(F.col(text).isNotNull()).withColumn("length", F.char_length(text))
+    first = F.min_by(F.struct("*"), F.struct(-F.col("length"), F.col(pos)))
+    return sized.agg(first.alias("_row")).filter("_row IS NOT NULL").select("_row.*")
 
 
 def matrix_shape(df: DataFrame, vector: str) -> DataFrame:
