@@ -101,14 +101,31 @@ def pair_counts(counts: DataFrame) -> DataFrame:
     return long.groupBy("l", "r").agg(F.sum("n").alias("n"))
 
 
-def _flat(symbols: pa.ListArray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _edges(values: pa.Array) -> np.ndarray:
+    """Where the values of a text or binary array begin and end in its bytes."""
+    if not len(values):
+        return np.zeros(1, dtype=np.int64)
+    wide = pa.types.is_large_string(values.type) or pa.types.is_large_binary(values.type)
+    ends = np.frombuffer(values.buffers()[1], dtype=np.int64 if wide else np.int32)
+    return ends[values.offset : values.offset + len(values) + 1]
+
+
+def _packed(symbols: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    """Pieces of so many symbols as binary values of four bytes a symbol."""
+    ends = pa.py_buffer(np.r_[0, np.cumsum(lengths) * 4].astype(np.int32))
+    return pa.Array.from_buffers(pa.binary(), len(lengths), [None, ends, pa.py_buffer(np.ascontiguousarray(symbols, dtype="<i4"))])
+
+
+def _flat(symbols: pa.Array, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """All symbols in one array with -1 behind each piece, and their weights."""
-    lengths = np.diff(symbols.offsets.to_numpy())
+    edges = _edges(symbols) // 4
+    lengths = np.diff(edges)
     flat = np.full(lengths.sum() + len(lengths), -1, dtype=np.int32)
     ends = np.cumsum(lengths + 1) - 1
     inside = np.ones(len(flat), dtype=bool)
     inside[ends] = False
-    flat[inside] = symbols.flatten().to_numpy()
+    if lengths.any():
+        flat[inside] = np.frombuffer(symbols.buffers()[2], dtype="<i4", count=int(edges[-1]))[edges[0] :]
     return flat, np.repeat(weights, lengths + 1)
 
 
@@ -199,14 +216,14 @@ def _rewrite(state: DataFrame, rounds: list[Round]) -> DataFrame:
             change = change.filter(pc.not_equal(change.column(2), 0))
             after = after[np.repeat(new > 1, new + 1)]
             left = new[new > 1]
-            symbols = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(left)].astype(np.int32)), pa.array(after[after >= 0]))
+            symbols = _packed(after[after >= 0], left)
             weight = pa.array(batch.column(1).to_numpy()[new > 1])
             none = [pa.nulls(len(left), t) for t in (pa.int32(), pa.int32(), pa.int64())]
             yield pa.RecordBatch.from_arrays([symbols, weight, *none], names=_STATE_NAMES)
-            none = [pa.nulls(change.num_rows, t) for t in (pa.list_(pa.int32()), pa.int64())]
+            none = [pa.nulls(change.num_rows, t) for t in (pa.binary(), pa.int64())]
             yield pa.RecordBatch.from_arrays([*none, *change.columns], names=_STATE_NAMES)
 
-    return state.mapInArrow(rewrite, "symbols array<int>, weight bigint, l int, r int, n bigint")
+    return state.mapInArrow(rewrite, "symbols binary, weight bigint, l int, r int, n bigint")
 
 
 _STATE_NAMES = ["symbols", "weight", "l", "r", "n"]
@@ -238,12 +255,11 @@ def _byte_symbols(counts: DataFrame, byte_ids: np.ndarray) -> DataFrame:
     def symbols(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(0).cast(pa.binary()).to_pylist()
-            offsets = np.cumsum([0, *map(len, texts)]).astype(np.int32)
             used = np.frombuffer(b"".join(texts), dtype=np.uint8)
-            out = pa.ListArray.from_arrays(pa.array(offsets), pa.array(byte_ids[used]))
+            out = _packed(byte_ids[used], np.fromiter(map(len, texts), dtype=np.int64, count=len(texts)))
             yield pa.RecordBatch.from_arrays([out, batch.column(1)], names=["symbols", "weight"])
 
-    return counts.select("piece", "n").mapInArrow(symbols, "symbols array<int>, weight bigint")
+    return counts.select("piece", "n").mapInArrow(symbols, "symbols binary, weight bigint")
 
 
 def _next_merges(
@@ -402,7 +418,7 @@ def learn(
 ) -> Vocabulary:
     """Learn merges from (piece, n): the most frequent pair first, ties by ids.
 
-    The pair counts are a written table. A step takes its best pairs as
+    Pieces are packed symbols and the pair counts a written table. A step takes its best pairs as
     candidates and cuts the pieces into runs of symbols linked by candidates.
     The distinct runs, at most ``most_runs`` of ``run_bytes`` together, decide on
     the driver all merges down to the count of the best pair that is no candidate. One pass
@@ -570,11 +586,7 @@ def _encoder(vocabulary: Vocabulary, spark, remembered_bytes: int = 1 << 25):
 
 def _text_bytes(lists: pa.ListArray) -> np.ndarray:
     """Bytes of the pieces of each row, from where these begin and end."""
-    values = lists.values
-    if not len(values):
-        return np.zeros(len(lists), dtype=np.int64)
-    ends = np.frombuffer(values.buffers()[1], dtype=np.int64 if pa.types.is_large_string(values.type) else np.int32)
-    return np.diff(ends[values.offset :][lists.offsets.to_numpy()])
+    return np.diff(_edges(lists.values)[lists.offsets.to_numpy()])
 
 
 def encode(

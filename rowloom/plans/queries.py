@@ -621,9 +621,7 @@ def bpe_roundtrip(spark, folder):
 def ids_file(spark, folder, vocabulary: bpe.Vocabulary) -> DataFrame:
     """Ids as text lines in order of the documents, read back."""
     path = scratch_path(spark, "lines")
-    documents = texts(spark, folder)
-    coded = bpe.encode(documents, "text", vocabulary)
-    tokens.export_token_ids(coded, "ids", path, "doc_id")
+    tokens.export_encoded(texts(spark, folder), "text", vocabulary, path, "doc_id")
     read = tokens.import_token_ids(spark, path)
     return read.select("pos", F.size("ids").alias("n_tokens"), F.aggregate("ids", F.lit(0), lambda a, i: a + i).alias("total"))
 

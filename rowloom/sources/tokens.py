@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowloom.functions.text import words
-from rowloom.operators.bpe import Vocabulary
+from rowloom.operators.bpe import Vocabulary, encode
 from rowloom.sources.tables import read_lines
 
 
@@ -22,10 +22,23 @@ def read_token_ids(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def _id_line(ids: str) -> Column:
+    return F.array_join(F.transform(ids, lambda i: i.cast("string")), " ")
+
+
 def export_token_ids(df: DataFrame, ids: str, path: str, pos: str = "pos") -> None:
     """Ids joined by one space, one line per row in order of the position, as text for other tools."""
-    line = F.array_join(F.transform(ids, lambda i: i.cast("string")), " ")
-    df.select(pos, line.alias("value")).orderBy(pos).select("value").write.mode("overwrite").text(path)
+    df.select(pos, _id_line(ids).alias("value")).orderBy(pos).select("value").write.mode("overwrite").text(path)
+
+
+def export_encoded(df: DataFrame, text: str, vocabulary: Vocabulary, path: str, pos: str = "pos") -> None:
+    """The lines of ``export_token_ids`` from texts that are not encoded yet.
+
+    The texts are put in order before they are encoded: they are shorter than their lines,
+    and Spark reads what it sorts twice, so each would be encoded twice.
+    """
+    coded = encode(df.select(pos, text).orderBy(pos), text, vocabulary, "_ids")
+    coded.select(_id_line("_ids").alias("value")).write.mode("overwrite").text(path)
 
 
 def import_token_ids(spark: SparkSession, path: str, pos: str = "pos") -> DataFrame:

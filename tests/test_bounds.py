@@ -1,7 +1,9 @@
 """What a task holds does not grow with its batches, its texts or the table."""
 
 import io
+import random
 import tracemalloc
+from collections.abc import Iterator
 from contextlib import redirect_stdout
 
 import numpy as np
@@ -10,6 +12,7 @@ from pyspark.sql import functions as F
 
 from rowloom.functions import arrays
 from rowloom.operators import bpe, features, profile
+from rowloom.sources import tokens
 
 
 def peak(work) -> int:
@@ -115,3 +118,40 @@ def test_adding_up_a_large_batch_takes_no_more_than_a_small_one():
         return lambda: [len(x) for x in features._sums(lists, tokens, vectors)]
 
     assert peak(add(2000)) < 1.5 * peak(add(500))
+
+
+def test_texts_are_encoded_once_for_a_file_in_order(spark, tmp_path, monkeypatch):
+    rows = [(i, None if i == 7 else "" if i == 8 else f"text {i} " * (i % 5)) for i in range(200)]
+    random.Random(1).shuffle(rows)
+    df = spark.createDataFrame(rows, "pos bigint, text string").repartition(4)
+    initial, calls = bpe.Vocabulary.initial(), spark.sparkContext.accumulator(0)
+
+    def counted(vocabulary, session):
+        encoder = encode(vocabulary, session).func
+
+        @F.arrow_udf("array<int>")
+        def seen(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            for made in encoder(batches):
+                calls.add(len(made))
+                yield made
+
+        return seen
+
+    encode = bpe._encoder
+    monkeypatch.setattr(bpe, "_encoder", counted)
+    tokens.export_encoded(df, "text", initial, str(tmp_path / "lines"))
+    assert calls.value == len(rows)
+    monkeypatch.setattr(bpe, "_encoder", encode)
+    tokens.export_token_ids(bpe.encode(df, "text", initial), "ids", str(tmp_path / "plain"))
+    read, plain = [[r["ids"] for r in tokens.import_token_ids(spark, str(tmp_path / x)).orderBy("pos").collect()] for x in ("lines", "plain")]
+    assert read == plain and len(read) == 200
+
+
+def test_pieces_are_packed(spark):
+    counts = spark.createDataFrame([("ab", 2), ("abc", 3), ("é", 1)], "piece string, n bigint")
+    made = bpe._byte_symbols(counts.coalesce(1), bpe.Vocabulary.initial().byte_ids())
+    assert dict(made.dtypes)["symbols"] == "binary"
+    held = pa.array([r["symbols"] for r in made.collect()], pa.binary())
+    flat, weights = bpe._flat(held[1:], np.array([3, 1]))
+    assert (np.flatnonzero(flat == -1).tolist(), weights.tolist()) == ([3, 6], [3] * 4 + [1] * 3)
+    assert bpe._flat(held[:0], np.array([], dtype=np.int64))[0].tolist() == []
