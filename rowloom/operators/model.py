@@ -5,7 +5,7 @@ from __future__ import annotations
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
-from pyspark import inheritable_thread_target
+from pyspark import SparkContext, inheritable_thread_target
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
@@ -129,7 +129,8 @@ def fit_labels(
 
     An ensemble of ``first`` rounds gives the validation loss after each of them in one
     pass over the validation rows; it is fitted with twice the rounds, up to ``rounds``, until the curve has
-    stopped falling, and then with those up to the best. Every fit draws the same trees. Without
+    stopped falling, and then cut behind the best. Every fit draws the same trees, so labels
+    that come later begin with the rounds that most of the earlier ones needed, without a change of the result. Without
     validation rows boosting takes all rounds. The table is cached
     once and shared by all fits, of which ``at_once`` run side by side.
     """
@@ -138,6 +139,7 @@ def fit_labels(
         truth,
         F.col(validation).alias("_val"),
     ).persist()
+    needed: list[int] = []
 
     def fit(i: int) -> Boosted:
         rows = vectors.select("_x", "_val", F.col(truth)[i].cast("double").alias("_y"))
@@ -149,13 +151,14 @@ def fit_labels(
             )
             return trees.fit(learned)
 
-        size, curve = min(first, rounds) if checked else rounds, []
+        size, curve = min(first_size(first, needed, patience), rounds) if checked else rounds, []
         model = ensemble(size)
         while checked:
             curve = model.evaluateEachIteration(held)
             best, stopped = best_round(curve, patience)
             if stopped or size >= rounds:
-                model = model if best == size else ensemble(max(1, best))
+                needed.append(min(best + patience, size))
+                model = model if best == size else cut_ensemble(model, max(1, best))
                 break
             size = min(2 * size, rounds)
             model = ensemble(size)
@@ -169,6 +172,27 @@ def fit_labels(
         vectors.unpersist()
 
 
+def first_size(first: int, needed: list[int], patience: int) -> int:
+    """Rounds of a label's first ensemble: what three quarters of the ``needed`` were enough for, and ``patience`` more."""
+    if not needed:
+        return first
+    return max(first, sorted(needed)[(3 * len(needed) - 1) // 4] + patience)
+
+
+def cut_ensemble(model: GBTClassificationModel, size: int) -> GBTClassificationModel:
+    """The first ``size`` trees of a model, which is what a fit of that many rounds gives."""
+    java, gateway = model._java_obj, SparkContext._active_spark_context._gateway
+    trees = gateway.new_array(gateway.jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, size)
+    weights = gateway.new_array(gateway.jvm.double, size)
+    for i, (tree, weight) in enumerate(zip(list(java.trees())[:size], list(java.treeWeights())[:size])):
+        trees[i], weights[i] = tree, weight
+    cut = gateway.jvm.org.apache.spark.ml.classification.GBTClassificationModel(java.uid(), trees, weights)
+    made = GBTClassificationModel(cut)
+    model._copyValues(made)
+    made._transfer_params_to_java()
+    return made
+
+
 def predict_labels(df: DataFrame, models: list[GBTClassificationModel], features: str) -> DataFrame:
     """Add ``probability`` and the 0/1 vector ``predicted``, one entry per label.
 

@@ -8,10 +8,11 @@ from contextlib import redirect_stdout
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from rowloom.functions import arrays
-from rowloom.operators import bpe, features, profile
+from rowloom.operators import bpe, features, model, profile
 from rowloom.sources import tokens
 
 
@@ -155,3 +156,35 @@ def test_pieces_are_packed(spark):
     flat, weights = bpe._flat(held[1:], np.array([3, 1]))
     assert (np.flatnonzero(flat == -1).tolist(), weights.tolist()) == ([3, 6], [3] * 4 + [1] * 3)
     assert bpe._flat(held[:0], np.array([], dtype=np.int64))[0].tolist() == []
+
+
+def test_an_ensemble_is_cut_without_another_fit(spark, monkeypatch):
+    draw = random.Random(5)
+    points = [[draw.gauss(0, 1) for _ in range(3)] for _ in range(240)]
+    data = [(x, [int(x[i] + draw.gauss(0, 0.8) > 0) for i in range(3)], i % 4 == 0) for i, x in enumerate(points)]
+    df = spark.createDataFrame(data, "x array<double>, y array<int>, val boolean").repartition(2)
+    sizes, fit = [], model.GBTClassifier.fit
+    monkeypatch.setattr(model.GBTClassifier, "fit", lambda self, rows: sizes.append(self.getMaxIter()) or fit(self, rows))
+    fitted = model.fit_labels(df, "x", "y", 3, validation="val", rounds=30, max_depth=3, first=4, at_once=1)
+    tried, want = 0, [4, *[len(one.curve) for one in fitted]]
+    assert all(size == 30 or size >= one.rounds + 2 for size, one in zip(want[1:], fitted))
+    # every fit tries new rounds: none repeats a smaller one up to the best
+    for one in fitted:
+        while sizes[tried] < len(one.curve):
+            assert sizes[tried + 1] == min(30, 2 * sizes[tried])
+            tried += 1
+        assert sizes[tried] == len(one.curve)
+        tried += 1
+    assert tried == len(sizes)
+    learned = df.filter("not val").select(array_to_vector("x").alias("_x"), F.col("y")[0].cast("double").alias("_y"))
+    plain = fit(model.GBTClassifier(featuresCol="_x", labelCol="_y", maxIter=fitted[0].rounds, stepSize=0.1, maxDepth=3, seed=0), learned)
+    rows = df.select(array_to_vector("x").alias("_x"))
+    assert fitted[0].model.getNumTrees == fitted[0].rounds == plain.getNumTrees
+    got, wanted = [[r["probability"] for r in m.transform(rows).collect()] for m in (fitted[0].model, plain)]
+    assert np.allclose(got, wanted, atol=1e-12)
+
+
+def test_later_labels_begin_where_earlier_ones_ended():
+    assert model.first_size(8, [], 2) == 8
+    assert model.first_size(8, [5], 2) == 8
+    assert model.first_size(8, [20, 9, 12, 14], 2) == 16
