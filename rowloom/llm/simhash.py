@@ -159,7 +159,8 @@ def links(fingerprints: DataFrame, distance: int = DISTANCE, most: int = MOST) -
         raise ValueError("two segments with one deleted bit find up to 3 differing bits")
     index = fingerprints.select("fp", F.explode(variants(F.col("fp"))).alias("signature"))
     shared = index.groupBy("signature").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    met = index.join(shared, "signature")
+    # Spark sizes both sides as if a fingerprint had one signature; without the hint it sends one of them through the driver
+    met = index.join(shared.hint("merge"), "signature")
     blocks = F.ceil(F.col("n") / most).cast("int")
     met = met.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
     other = F.sequence(F.lit(0), F.col("blocks") - 1)

@@ -13,6 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from rowloom.llm import decontaminate, language, licences, lines, lm, mtree, packing, pii, quality, simhash
+from rowloom.session import materialize
 
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 DOCS = "doc_id bigint, text string"
@@ -305,6 +306,15 @@ def test_components_are_exact(spark, most):
     assert sorted(map(sorted, made.values())) == sorted(map(sorted, {frozenset(g) for g in groups.values()}))
 
 
+def test_signatures_are_not_sent_through_the_driver(spark):
+    """A fingerprint has 64 signatures, which the planner sizes as one: the fingerprints look small enough to send."""
+    fingerprints = spark.range(5_000).select(F.xxhash64("id").alias("fp")).union(spark.sql("select 0L union all select 5L"))
+    made = simhash.links(materialize(fingerprints, "groups"))
+    assert (0, 5) in {tuple(r) for r in made.collect()}
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "isFinalPlan=true" in plan and "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_long_chains_become_one_component(spark):
     chain = spark.range(300).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")).union(spark.sql("select 1000L, 1000L"))
     found = simhash.components(chain).collect()
