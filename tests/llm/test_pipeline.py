@@ -8,7 +8,7 @@ import pytest
 
 import __spark_entry__ as contract
 import corpus_pipeline
-from rowloom.llm import lines, packing
+from rowloom.llm import lines, packing, simhash
 from test_llm_operators import plain_components, plain_fingerprint, plain_windows
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, score double"
@@ -82,6 +82,14 @@ def test_pipeline_against_plain_stages(spark, folder):
         assert own == [divmod(k, packing.BUDGET // edge) for k in range(len(own))]
 
 
+def test_no_stage_sends_signatures_through_the_driver(spark, folder, monkeypatch):
+    """What the near copies are linked by is 64 times the documents, which the planner sizes as one each."""
+    plans, found = [], simhash.components
+    monkeypatch.setattr(simhash, "components", lambda edges: plans.append(edges._jdf.queryExecution().executedPlan().toString()) or found(edges))
+    assert contract.queries()["pipeline"](spark, folder).count() > 0
+    assert len(plans) == 1 and "SortMergeJoin" in plans[0] and "Broadcast" not in plans[0]
+
+
 def test_stages_keep_the_columns_and_stand_empty_tables(spark, folder):
     names = [name for name, _ in corpus_pipeline.STAGES]
     assert len(names) == 5 and "simhash" in names
