@@ -689,12 +689,15 @@ def learned_frame_batches(spark, folder):
     return framed_sizes(spark, folder, shared_vocabulary(spark, folder))
 
 
-def cut_masks(spark, folder, vocabulary: bpe.Vocabulary) -> DataFrame:
-    """The first 1024 positions of each sequence, with their mask up to the longest of the table."""
+def cut_masks(spark, folder, vocabulary: bpe.Vocabulary, width: int | None = None) -> DataFrame:
+    """The first 1024 positions of each sequence, with their mask up to the longest of the table, or up to ``width``."""
     documents = texts(spark, folder)
     ids = bpe.encode(documents, "text", vocabulary)
     cut = ids.select("doc_id", arrays.truncate("ids").alias("ids"))
-    mask = arrays.validity_mask("ids", F.lit(1024))
+    if width is None:
+        cut = materialize(cut, "cut")  # measured and masked, but encoded once
+        width = cut.agg(F.max(F.size("ids"))).first()[0] or 0
+    mask = arrays.validity_mask("ids", F.lit(width))
     total = F.aggregate("ids", F.lit(0), lambda a, i: a + i)
     return cut.select(
         "doc_id", F.size("ids").alias("n_ids"), total.alias("total"),
@@ -705,8 +708,8 @@ def cut_masks(spark, folder, vocabulary: bpe.Vocabulary) -> DataFrame:
 
 @query
 def truncate_mask(spark, folder):
-    """Cut byte sequences: what SQL can follow of ``learned_truncate_mask``."""
-    return cut_masks(spark, folder, bpe.Vocabulary.initial())
+    """Cut byte sequences, masked up to the limit: what SQL can follow of ``learned_truncate_mask``."""
+    return cut_masks(spark, folder, bpe.Vocabulary.initial(), 1024)
 
 
 @query

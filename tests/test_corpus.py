@@ -272,6 +272,21 @@ def test_queries_encode_with_the_learned_vocabulary(spark, tmp_path, monkeypatch
     assert len(want[5].ids) < 510 < len(texts[5])
 
 
+@pytest.mark.parametrize("longest", [9, 1500])
+def test_masks_reach_to_the_longest_of_the_table(spark, tmp_path, longest):
+    """Cut first, then masked; the byte query masks up to the limit, as its SQL does."""
+    texts = [" 1" * longest, " 1 1 1", "", None, " 1 1 1", " 1" * longest]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    sizes = {i: None if t is None else min(1024, len(t) // 2) for i, t in enumerate(texts)}
+    width = min(longest, 1024)
+    made = {r["doc_id"]: r for r in queries.QUERIES["learned_truncate_mask"](spark, str(tmp_path)).collect()}
+    assert {i: (r["n_ids"], r["n_valid"]) for i, r in made.items()} == {i: (n, n) for i, n in sizes.items()}
+    assert {i: r["first_padding"] for i, r in made.items()} == {i: 0 if n in (None, width) else n + 1 for i, n in sizes.items()}
+    plain = queries.QUERIES["truncate_mask"](spark, str(tmp_path)).collect()
+    assert {r["doc_id"]: r["first_padding"] for r in plain if r["n_ids"] is not None} == {
+        i: len(t) + 1 if len(t) < 1024 else 0 for i, t in enumerate(texts) if t is not None}
+
+
 def plain_merges(counts, vocab_size=2000, least=2):
     """Merges one by one, every pair counted again each time."""
     vocabulary = bpe.Vocabulary.initial()
