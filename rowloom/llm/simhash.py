@@ -228,7 +228,7 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how)
     verdicts = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.bool_or(F.expr("doc_id = component_id")).alias("first"))
     verdicts = materialize(verdicts.filter("NOT first OR n > 1"), "verdicts")
     name = fresh(docs.columns, "_gone")
-    gone = materialize(verdicts.filter("NOT first").select(F.col("doc_id").alias(name)), "gone")
+    gone = materialize(verdicts.filter("NOT first").select(F.col("doc_id").alias(name)), "lesser-copies")
     left = docs.join(gone, F.col(f"`{doc_id}`") == F.col(name), "left_anti")
     if verdicts.filter("first").isEmpty():
         return left
